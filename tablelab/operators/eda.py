@@ -39,7 +39,7 @@ def _finite(value: float | None) -> float | None:
     return value if value is not None and math.isfinite(value) else None
 
 
-def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, digits: int = 6) -> DataFrame:
     """Count, mean, sample deviation, min, median and max of every numeric column."""
     columns = list(columns or numeric_columns(df))
     found = numeric_summary(df, columns, (0.5,))
@@ -48,7 +48,7 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
         s = found[c]
         rows.append((c, s.count, *map(_finite, (s.mean, s.std, s.min, s.quantiles.get(0.5), s.max))))
     out = small_table(df.sparkSession, rows, DESCRIBE)
-    return out.select("column", "count", *[rounded(F.col(c)).alias(c) for c in out.columns[2:]])
+    return out.select("column", "count", *[rounded(F.col(c), digits).alias(c) for c in out.columns[2:]])
 
 
 def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = HISTOGRAM_BINS) -> DataFrame:

@@ -65,3 +65,8 @@ def small_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFra
         pa.array([row[i] for row in cells], type=to_arrow_type(f.dataType)) for i, f in enumerate(schema.fields)
     ]
     return spark.createDataFrame(pa.table(arrays, names=schema.names), schema=schema)
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """A result table of a bounded number of rows, computed once."""
+    return small_table(df.sparkSession, [tuple(r) for r in df.collect()], df.schema.toDDL())
