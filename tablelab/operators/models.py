@@ -145,42 +145,48 @@ def fit_ridge_cv(
     return LinearModel(spec, w, _intercept(g, w), alpha=float(alphas[best]))
 
 
-def _descend(
-    xx: np.ndarray, xy: np.ndarray, yy: float, alphas: np.ndarray, ratios: np.ndarray, tolerance: float = 1e-12
+def _net_paths(
+    xx: np.ndarray, xy: np.ndarray, yy: np.ndarray, ratios: np.ndarray, alphas: Sequence[float], tolerance: float = 1e-10
 ) -> np.ndarray:
-    """Coordinate descent for one data set and many elastic-net penalties at once.
+    """Elastic-net weights ``[alpha, problem, column]`` for falling penalties, by coordinate descent.
 
-    Minimises (y - Xw)'(y - Xw) / 2 + alpha (ratio |w| + (1 - ratio) w'w / 2), with the
-    cross products given per row, until the duality gap is a ``tolerance`` of ``yy``.
+    Problem b minimises (y - Xw)'(y - Xw) / 2 + alpha (ratio |w| + (1 - ratio) w'w / 2) for its own
+    cross products per row. Each penalty starts from the solution of the one before and
+    ends with the exact optimum, or a duality gap of ``tolerance`` times ``yy``.
     """
-    width = len(xy)
-    l1, l2 = alphas * ratios, alphas * (1 - ratios)
-    w = np.zeros((len(alphas), width))
-    slack = np.tile(xy, (len(alphas), 1))
-    own = np.diag(xx)
-    columns = [j for j in range(width) if own[j] > 0]
-    active = np.arange(len(alphas))
-    for sweep in range(MAX_SWEEPS):
-        a, s, p1, p2 = w[active], slack[active], l1[active], l2[active]
-        for j in columns:
-            pull = s[:, j] + own[j] * a[:, j]
-            after = np.sign(pull) * np.maximum(np.abs(pull) - p1, 0.0) / (own[j] + p2)
-            s -= (after - a[:, j])[:, None] * xx[j]
-            a[:, j] = after
-        w[active], slack[active] = a, s
-        if sweep % 10 == 9:
-            residual = yy - a @ xy - (a * s).sum(axis=1) + p2 * (a * a).sum(axis=1)
+    problems, width = xy.shape
+    own = np.einsum("bii->bi", xx)
+    w, slack = np.zeros((problems, width)), xy.copy()
+    out = np.zeros((len(alphas), problems, width))
+    for k, alpha in enumerate(alphas):
+        l1, l2 = alpha * ratios, alpha * (1 - ratios)
+        active = np.arange(problems)
+        for sweep in range(MAX_SWEEPS):
+            a, s, g, d = w[active], slack[active], xx[active], own[active]
+            p1, p2 = l1[active], l2[active]
+            for j in range(width):
+                pull = s[:, j] + d[:, j] * a[:, j]
+                bottom = np.where(d[:, j] > 0, d[:, j] + p2, np.inf)
+                after = np.sign(pull) * np.maximum(np.abs(pull) - p1, 0.0) / bottom
+                s -= (after - a[:, j])[:, None] * g[:, j]
+                a[:, j] = after
+            w[active], slack[active] = a, s
+            if sweep % 5 != 2:
+                continue
+            fit = (a * xy[active]).sum(axis=1)
+            residual = yy[active] - fit - (a * s).sum(axis=1) + p2 * (a * a).sum(axis=1)
             steepest = np.abs(s - p2[:, None] * a).max(axis=1)
             share = np.minimum(1.0, p1 / np.maximum(steepest, 1e-300))
-            gap = residual * (1 + share**2) / 2 + p1 * np.abs(a).sum(axis=1) - share * (yy - a @ xy)
+            gap = residual * (1 + share**2) / 2 + p1 * np.abs(a).sum(axis=1) - share * (yy[active] - fit)
             for i, b in enumerate(active):
-                exact = _solve_support(xx, xy, p1[i], p2[i], a[i])
+                exact = _solve_support(xx[b], xy[b], p1[i], p2[i], a[i])
                 if exact is not None:
-                    w[b], gap[i] = exact, 0.0
-            active = active[gap > tolerance * yy]
+                    w[b], slack[b], gap[i] = exact, xy[b] - xx[b] @ exact, 0.0
+            active = active[gap > tolerance * yy[active]]
             if not len(active):
                 break
-    return w
+        out[k] = w
+    return out
 
 
 def _solve_support(xx: np.ndarray, xy: np.ndarray, l1: float, l2: float, w: np.ndarray) -> np.ndarray | None:
@@ -209,25 +215,27 @@ def fit_elastic_net_cv(
     """
     folds = [by_fold[f] for f in sorted(by_fold)]
     whole = sum(folds[1:], folds[0])
-    # of equal errors the stronger penalty wins
-    grid = [(r, a) for r in ratios for a in sorted(alphas, reverse=True)]
-    penalty, mix = np.array([a for _, a in grid]), np.array([r for r, _ in grid])
-
-    def solve(g: Gram, alphas: np.ndarray, ratios: np.ndarray) -> np.ndarray:
-        xx, xy, yy = g.centred()
-        return _descend(xx / g.n, xy / g.n, yy / g.n, alphas, ratios)
-
-    error = np.zeros(len(grid))
-    for held in folds:
-        rest = whole - held
-        w = solve(rest, penalty, mix)
-        # squared error on the held-out rows, for y about the fold's shift
+    alphas = sorted(alphas, reverse=True)  # of equal errors the stronger penalty wins
+    sets = [whole - held for held in folds] + [whole]
+    parts = [(g.n, *g.centred()) for _ in ratios for g in sets]
+    paths = _net_paths(
+        np.array([xx / n for n, xx, _, _ in parts]),
+        np.array([xy / n for n, _, xy, _ in parts]),
+        np.array([yy / n for n, _, _, yy in parts]),
+        np.repeat(ratios, len(sets)),
+        alphas,
+    )
+    paths = paths.reshape(len(alphas), len(ratios), len(sets), -1)
+    error = np.zeros((len(ratios), len(alphas)))
+    for i, (held, rest) in enumerate(zip(folds, sets)):
+        w = paths[:, :, i].transpose(1, 0, 2)
+        # squared error on the held-out rows, for y about the shift
         constants = rest.y_mean - rest.shift - w @ rest.sums / rest.n
-        terms = np.column_stack([-constants, -w, np.ones(len(grid))])
-        error += np.einsum("bi,ij,bj->b", terms, held.cross, terms, optimize=True) / held.n / len(folds)
-    best = int(np.argmin(error))
-    w = solve(whole, penalty[[best]], mix[[best]])[0]
-    return LinearModel(spec, w, _intercept(whole, w), alpha=float(penalty[best]), l1_ratio=float(mix[best]))
+        terms = np.concatenate([-constants[..., None], -w, np.ones((*w.shape[:2], 1))], axis=2)
+        error += np.einsum("rai,ij,raj->ra", terms, held.cross, terms, optimize=True) / held.n / len(folds)
+    r, a = divmod(int(np.argmin(error)), len(alphas))
+    w = paths[a, r, -1]
+    return LinearModel(spec, w, _intercept(whole, w), alpha=float(alphas[a]), l1_ratio=float(ratios[r]))
 
 
 def fit_lasso_cv(spec: FeatureSpec, by_fold: dict[int, Gram], alphas: Sequence[float] = LASSO_ALPHAS) -> LinearModel:

@@ -15,7 +15,7 @@ def is_valid(lines: DataFrame, encoding: str) -> bool:
     if encoding == "UTF-8":
         bad = ~F.is_valid_utf8("value")
     else:
-        bad = F.col("value").isNotNull() & F.decode(F.col("value").cast("binary"), F.lit(encoding)).contains("�")
+        bad = F.col("value").isNotNull() & F.decode(F.col("value").cast("binary"), encoding).contains("�")
     return lines.filter(bad).isEmpty()
 
 
