@@ -34,6 +34,7 @@ ACTIONS = {
     "fill_missing": "缺失值填补",
     "cap_outliers": "异常值缩尾",
 }
+COPIES = "_copies"
 COLUMN_STEPS = ("convert_numeric", "fill_missing", "cap_outliers")
 
 
@@ -188,9 +189,10 @@ def apply_cleaning(df: DataFrame, accepted: Sequence[str], approx: bool = False)
         renamed = sum(a != b for a, b in zip(df.columns, data.columns))
         out.steps.append(("normalize_columns", None, f"{renamed} renamed", None, None))
     if "drop_duplicates" in steps:
-        total = data.count()
-        data = materialise(drop_duplicates(data), "distinct")
-        removed = total - data.count()
+        groups = data.groupBy(*[col(c) for c in data.columns]).agg(F.count("*").alias(COPIES))
+        written = materialise(groups, "distinct")
+        removed = written.agg(F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0))).first()[0]
+        data = written.drop(COPIES)
         out.steps.append(("drop_duplicates", None, f"{removed} removed", None, None))
     if "convert_numeric" in steps:
         data = to_numeric(data, steps["convert_numeric"])

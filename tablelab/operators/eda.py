@@ -17,7 +17,7 @@ from tablelab.functions.columns import (
     numeric_columns,
     rounded,
 )
-from tablelab.operators.stats import column_moments, numeric_summary, value_counts
+from tablelab.operators.stats import column_moments, label_counts, numeric_summary
 from tablelab.session import small_table
 
 # How many columns and rows each result covers.
@@ -152,31 +152,34 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     live = [i for i, c in enumerate(columns) if found[c].count and found[c].max > found[c].min]
     centred = df.select(*[(as_double(columns[i]) - F.lit(found[columns[i]].mean)).alias(f"{i}") for i in live])
 
-    def r_of(i: int, j: int):
+    def sums(i: int, j: int) -> list[Column]:
         a, b = col(f"{i}"), col(f"{j}")
-        full = not (found[columns[i]].missing or found[columns[j]].missing)
-        if full:
-            n = F.lit(float(found[columns[i]].count))
-            sa, sb = F.lit(0.0), F.lit(0.0)
-            saa = F.lit(found[columns[i]].var_pop) * n
-            sbb = F.lit(found[columns[j]].var_pop) * n
-        else:
-            n = F.count(a * b).cast("double")
-            x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-            sa, sb, saa, sbb = F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y)
-        va, vb = saa - F.try_divide(sa * sa, n), sbb - F.try_divide(sb * sb, n)
-        cov = F.sum(a * b) - F.try_divide(sa * sb, n)
+        if not (found[columns[i]].missing or found[columns[j]].missing):
+            return [F.sum(a * b)]
+        x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+        return [F.sum(a * b), F.count(a * b), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y)]
+
+    def correlation(i: int, j: int, ab: float, n=None, a=0.0, b=0.0, aa=None, bb=None) -> float:
+        if n is None:
+            n = found[columns[i]].count
+            aa, bb = n * found[columns[i]].var_pop, n * found[columns[j]].var_pop
+        if not n:
+            return 0.0
+        va, vb = aa - a * a / n, bb - b * b / n
         # what is left of a constant after centring is rounding noise
-        sound = (va > saa * 1e-12) & (vb > sbb * 1e-12)
-        r = F.when(sound, F.try_divide(cov, F.sqrt(va) * F.sqrt(vb)))
-        return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias(f"{i}_{j}")
+        if va <= aa * 1e-12 or vb <= bb * 1e-12:
+            return 0.0
+        r = (ab - a * b / n) / math.sqrt(va) / math.sqrt(vb)
+        return max(-1.0, min(1.0, r)) if math.isfinite(r) else 0.0
 
     pairs = [(i, j) for p, i in enumerate(live) for j in live[p + 1 :]]
     r = {(i, j): 0.0 for i in range(len(columns)) for j in range(len(columns))}
     r.update({(i, i): 1.0 for i in live if found[columns[i]].count > 1})
     if pairs:
-        for (i, j), value in zip(pairs, centred.agg(*[r_of(i, j) for i, j in pairs]).first()):
-            r[i, j] = r[j, i] = _finite(value) or 0.0
+        wanted = {pair: sums(*pair) for pair in pairs}
+        got = iter(centred.agg(*[s for parts in wanted.values() for s in parts]).first())
+        for (i, j), parts in wanted.items():
+            r[i, j] = r[j, i] = correlation(i, j, *[next(got) for _ in parts])
     rows = [(i, j, columns[i], columns[j], v) for (i, j), v in r.items()]
     return small_table(df.sparkSession, rows, schema).withColumn("r", rounded(F.col("r")))
 
@@ -219,11 +222,6 @@ def scatter_bins(
     )
 
 
-def _labelled_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Value counts in which missing cells count under their label."""
-    return value_counts(df, columns).withColumn("label", F.coalesce("value", F.lit(NULL_LABEL)))
-
-
 def top_categories(df: DataFrame, columns: Sequence[str] | None = None, rows: int = CATEGORY_ROWS) -> DataFrame:
     """The most frequent values of the first categorical columns, missing as a value of its own.
 
@@ -233,9 +231,9 @@ def top_categories(df: DataFrame, columns: Sequence[str] | None = None, rows: in
     columns = list(columns or categorical_columns(df)[:CATEGORY_COLUMNS])
     if not columns:
         return small_table(df.sparkSession, [], "column string, value string, n bigint, rank int")
-    merged = _labelled_counts(df, columns).groupBy("column", "label").agg(F.sum("n").alias("n"))
+    counts = label_counts(df, columns, NULL_LABEL)
     order = Window.partitionBy("column").orderBy(F.col("n").desc(), "label")
-    ranked = merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
+    ranked = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
     return ranked.select("column", F.col("label").alias("value"), "n", "rank")
 
 
@@ -244,16 +242,6 @@ def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) ->
     columns = list(columns or categorical_columns(df)[:DESCRIBED_CATEGORIES])
     if not columns:
         return small_table(df.sparkSession, [], "column string, unique bigint, top string, top_count bigint")
-    merged = (
-        _labelled_counts(df, columns)
-        .groupBy("column", "label")
-        .agg(F.sum("n").alias("n"), F.count("value").alias("real"))
-    )
-    return (
-        merged.groupBy("column")
-        .agg(
-            F.sum("real").alias("unique"),
-            F.min(F.struct((-F.col("n")).alias("m"), "label")).alias("x"),
-        )
-        .select("column", "unique", F.col("x.label").alias("top"), (-F.col("x.m")).alias("top_count"))
-    )
+    best = F.min(F.struct((-F.col("n")).alias("m"), "label")).alias("x")
+    facts = label_counts(df, columns, NULL_LABEL).groupBy("column").agg(F.count_if(F.col("real") > 0).alias("unique"), best)
+    return facts.select("column", "unique", F.col("x.label").alias("top"), (-F.col("x.m")).alias("top_count"))

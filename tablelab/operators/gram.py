@@ -14,7 +14,7 @@ from tablelab.operators.features import FeatureSpec
 from tablelab.session import small_table
 
 NARROW = 16  # design columns up to which plain sums are used
-WIDEST = 1024  # design columns up to which a cross-product matrix is formed
+WIDEST = 2048  # design columns up to which a cross-product matrix is formed
 EIGEN_CUT = 1e-11  # relative size below which an eigenvalue counts as zero
 
 

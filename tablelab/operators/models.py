@@ -34,6 +34,7 @@ NET_RATIOS = (0.15, 0.5, 0.85)
 MAX_SWEEPS = 8000
 HUBER_EPSILON, HUBER_ALPHA, HUBER_ITERATIONS = 1.35, 1e-4, 800
 POLY_FEATURES = 6
+POLY_WIDEST = 1024  # expanded columns up to which a cross-product matrix is worth its work per row
 RSS_FLOOR = 1e-12
 PREDICTION_ROWS = 240
 
@@ -265,19 +266,20 @@ def fit_huber(spec: FeatureSpec, train: DataFrame, target: str) -> LinearModel:
     return LinearModel(spec, fitted.coefficients.toArray() * unit, y.mean + fitted.intercept * unit)
 
 
-def fit_poly2(spec: FeatureSpec, train: DataFrame, target: str, g: Gram | None = None) -> LinearModel | VectorModel:
-    """Least squares on the encoded columns, their squares and products.
-
-    Beyond a thousand columns an iterative solver on sparse vectors replaces
-    the cross-product matrix.
-    """
-    if spec.expanded_width(2) <= WIDEST:
-        return fit_linear(spec, g or gram(train, spec, target, spec.target.mean, 2), 2)
-    vectors = encoded_vector(train, spec, 2).select("_features", col(target).alias("_label"))
+def fit_iterative(spec: FeatureSpec, train: DataFrame, target: str, degree: int = 1) -> VectorModel:
+    """Least squares on sparse vectors, for designs too wide for a cross-product matrix."""
+    vectors = encoded_vector(train, spec, degree).select("_features", col(target).alias("_label"))
     fitted = LinearRegression(
         featuresCol="_features", labelCol="_label", solver="l-bfgs", standardization=False, maxIter=500, tol=1e-10
     ).fit(vectors)
-    return VectorModel(spec, fitted, 2)
+    return VectorModel(spec, fitted, degree)
+
+
+def fit_poly2(spec: FeatureSpec, train: DataFrame, target: str, g: Gram | None = None) -> LinearModel | VectorModel:
+    """Least squares on the encoded columns, their squares and products."""
+    if spec.expanded_width(2) > POLY_WIDEST:
+        return fit_iterative(spec, train, target, 2)
+    return fit_linear(spec, g or gram(train, spec, target, spec.target.mean, 2), 2)
 
 
 def _score(sums: DataFrame) -> DataFrame:
@@ -365,7 +367,7 @@ def _train_sums(
     if spec.width > WIDEST:
         return {}, None, None
     folds = F.col("_word") % fold_count(spec.target.count)
-    degree = 2 if squares and spec.expanded_width(2) <= WIDEST // 8 else 1
+    degree = 2 if squares and spec.expanded_width(2) <= POLY_WIDEST // 8 else 1
     found = grams(train, spec, target, spec.target.mean, degree, folds)
     parts = list(found.values())
     total = sum(parts[1:], parts[0])
@@ -402,7 +404,7 @@ def compare_models(df: DataFrame, target: str, features: Sequence[str], key: Seq
         return run
 
     candidates: list[tuple[str, Callable]] = [
-        ("Linear Regression", needs_sums(lambda: fit_linear(spec, whole))),
+        ("Linear Regression", lambda: fit_linear(spec, whole) if whole else fit_iterative(spec, train, target)),
         ("Ridge", needs_sums(lambda: fit_ridge_cv(spec, whole, train, target))),
         ("LASSO", needs_sums(lambda: fit_lasso_cv(spec, by_fold))),
         ("ElasticNet", needs_sums(lambda: fit_elastic_net_cv(spec, by_fold))),

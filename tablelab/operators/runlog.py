@@ -53,7 +53,7 @@ def drop_runs(log: DataFrame, deletions: DataFrame, id: str, status: str | None
     queued or running.
     """
     wanted = deletions.select(col(id)).distinct()
-    if not wanted.join(log.select(col(id)), id, "left_anti").isEmpty():
+    if not wanted.join(log.select(col(id)).distinct(), id, "left_anti").isEmpty():
         raise KeyError("deletion of an unknown run")
     if status is not None:
         states = latest_state(log, id, at)

@@ -13,14 +13,15 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tablelab.functions.columns import as_double, col
 
 BINS_PER_E = 128  # first-pass bins per factor e of magnitude, 0.8 % wide
 SPLIT = 4096  # parts a large bin is split into
-GATHER = 16384  # most values of one bin that are sorted together
-WIDE = 48  # columns up to which one flat aggregate is used
+GATHER = 1 << 20  # most values that are brought together to pick the ranks
+WIDE = 48  # most columns of one flat aggregate or one pass over bins
 
 
 @dataclass
@@ -127,43 +128,30 @@ def _descend(df: DataFrame, columns: Sequence[str], bins: list[_Bin]) -> dict[tu
     found: dict[tuple[int, int], float] = {}
     bins = [b for b in bins if not b.settle(found)]
     while bins:
-        small = [b for b in bins if b.count <= GATHER]
-        large = [b for b in bins if b.count > GATHER]
+        small = [b for b in bins if b.count <= GATHER // len(bins)]
+        large = [b for b in bins if b.count > GATHER // len(bins)]
         if small:
-            # At most GATHER values per bin, counted above.
-            lists = _cells_in(df, columns, small, False).groupBy("b").agg(
-                F.sort_array(F.collect_list("v")).alias("vs")
-            )
-            picked = [
-                F.when(
-                    F.col("b") == i,
-                    F.array(*[F.col("vs")[r - b.before] for r in b.ranks]),
-                )
-                for i, b in enumerate(small)
-            ]
-            for row in lists.select("b", F.coalesce(*picked).alias("x")).collect():
-                b = small[row["b"]]
-                found.update({(b.column, r): x for r, x in zip(b.ranks, row["x"])})
+            # At most GATHER values in all, counted above; no shuffle.
+            values = _cells_in(df, columns, small, False).toPandas()
+            for i, part in values.groupby("b")["v"]:
+                b, ordered = small[i], np.sort(part.to_numpy())
+                found.update({(b.column, r): float(ordered[r - b.before]) for r in b.ranks})
         bins = []
         if large:
             groups = (
                 _cells_in(df, columns, large, True)
                 .groupBy("b", "s")
                 .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+                .toPandas()  # at most SPLIT rows per bin
             )
-            rising = Window.partitionBy("b").orderBy("s")
-            run = F.sum("n").over(rising)
-            groups = groups.select("*", (run - F.col("n")).alias("skip"))
-            hit = F.lit(False)
-            for i, b in enumerate(large):
-                for r in b.ranks:
-                    at = F.col("skip") + b.before
-                    hit = hit | ((F.col("b") == i) & (at <= r) & (at + F.col("n") > r))
-            for row in groups.filter(hit).collect():
-                b = large[row["b"]]
-                start = b.before + row["skip"]
-                ranks = [r for r in b.ranks if start <= r < start + row["n"]]
-                bins.append(_Bin(b.column, row["low"], row["high"], start, row["n"], ranks))
+            for i, part in groups.sort_values("s").groupby("b"):
+                b, after = large[i], np.cumsum(part["n"].to_numpy())
+                for k in np.unique(np.searchsorted(after, [r - b.before for r in b.ranks], side="right")):
+                    n = int(part["n"].iloc[k])
+                    start = b.before + int(after[k]) - n
+                    ranks = [r for r in b.ranks if start <= r < start + n]
+                    low, high = float(part["low"].iloc[k]), float(part["high"].iloc[k])
+                    bins.append(_Bin(b.column, low, high, start, n, ranks))
             bins = [b for b in bins if not b.settle(found)]
     return found
 
@@ -175,10 +163,15 @@ def numeric_summary(
 
     Two passes for most data; one more for each factor ``SPLIT`` of rows.
     """
-    if not columns:
-        return {}
     if not probs:
         return column_moments(df, columns)
+    out: dict[str, Summary] = {}
+    for start in range(0, len(columns), WIDE):
+        out.update(_binned_summary(df, columns[start : start + WIDE], probs))
+    return out
+
+
+def _binned_summary(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, Summary]:
     v = F.col("v")
     bins = (
         long_doubles(df, columns)
@@ -190,40 +183,30 @@ def numeric_summary(
             F.min(v).alias("low"),
             F.max(v).alias("high"),
         )
+        # One row per column and bin, some thousands for a column of any length.
+        .toPandas()
     )
-    # From here on there is one row per column and bin, whatever the table holds.
-    whole = Window.partitionBy("i")
-    rising = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = F.when(F.col("bin").isNotNull(), F.col("n")).otherwise(0)
-    bins = bins.select(
-        "*",
-        F.sum(held).over(whole).alias("count"),
-        F.sum(F.col("n") - held).over(whole).alias("missing"),
-        F.sum(held).over(rising).alias("after"),
-        F.min("low").over(whole).alias("min"),
-        F.max("high").over(whole).alias("max"),
-        F.try_divide(F.sum(F.col("mean") * held).over(whole), F.sum(held).over(whole)).alias("avg"),
-    )
-    spread = held * (F.col("var") + (F.col("mean") - F.col("avg")) * (F.col("mean") - F.col("avg")))
-    bins = bins.withColumn("var_pop", F.try_divide(F.sum(spread).over(whole), F.col("count")))
-    wanted = F.col("count") == 0
-    for p in probs:
-        at = F.lit(float(p)) * (F.col("count") - 1)
-        for rank in (F.floor(at), F.least(F.floor(at) + 1, F.col("count") - 1)):
-            wanted = wanted | ((F.col("after") > rank) & (F.col("after") - held <= rank))
-    rows = bins.filter(wanted & (F.col("bin").isNotNull() | (F.col("count") == 0))).collect()
-
     out = {c: Summary() for c in columns}
     open_bins: list[_Bin] = []
-    for row in rows:
-        c = int(row["i"])
-        n = row["count"]
-        out[columns[c]] = Summary(n, row["missing"], row["avg"], row["var_pop"], row["min"], row["max"])
-        if n:
-            before = row["after"] - row["n"]
-            ranks = sorted({r for p in probs for r in _rank_pair(n, p)[:2]})
-            ranks = [r for r in ranks if before <= r < row["after"]]
-            open_bins.append(_Bin(c, row["low"], row["high"], before, row["n"], ranks))
+    for i, part in bins.groupby(bins["i"].astype(int)):
+        s = out[columns[i]]
+        held = part[part["bin"].notna()].sort_values("bin")
+        s.missing = int(part.loc[part["bin"].isna(), "n"].sum())
+        if not len(held):
+            continue
+        n = held["n"].to_numpy()
+        mean, var = held["mean"].to_numpy(), held["var"].to_numpy()
+        after = np.cumsum(n)
+        s.count, s.min, s.max = int(after[-1]), float(held["low"].min()), float(held["high"].max())
+        with np.errstate(invalid="ignore"):  # infinite values have no finite moments
+            s.mean = float((n * mean).sum() / s.count)
+            s.var_pop = float((n * (var + (mean - s.mean) ** 2)).sum() / s.count)
+        ranks = sorted({r for p in probs for r in _rank_pair(s.count, p)[:2]})
+        for k in np.unique(np.searchsorted(after, ranks, side="right")):
+            before = int(after[k] - n[k])
+            here = [r for r in ranks if before <= r < after[k]]
+            low, high = held["low"].iloc[k], held["high"].iloc[k]
+            open_bins.append(_Bin(i, float(low), float(high), before, int(n[k]), here))
     found = _descend(df, columns, open_bins)
     for i, c in enumerate(columns):
         s = out[c]
@@ -239,21 +222,33 @@ def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     return {c: found[c].quantiles.get(0.5) for c in columns}
 
 
+def _long_texts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    cells = df.select(*[col(c).cast("string").alias(f"{i}") for i, c in enumerate(columns)])
+    return cells.unpivot([], [col(f"{i}") for i in range(len(columns))], "i", "value")
+
+
+def _named(columns: Sequence[str]) -> Column:
+    return F.array(*[F.lit(c) for c in columns])[F.col("i").cast("int")].alias("column")
+
+
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(column, value, n)``: every distinct value of the columns, as text.
 
     One scan and one shuffle for all columns; repeated values are combined
-    before the shuffle. ``value`` is null for missing cells, so a text equal to
-    the label of missing values stays apart from them.
+    before the shuffle. ``value`` is null for missing cells.
     """
-    cells = df.select(*[col(c).cast("string").alias(f"{i}") for i, c in enumerate(columns)])
-    names = F.array(*[F.lit(c) for c in columns])
-    return (
-        cells.unpivot([], [col(f"{i}") for i in range(len(columns))], "i", "value")
-        .groupBy("i", "value")
-        .agg(F.count("*").alias("n"))
-        .select(names[F.col("i").cast("int")].alias("column"), "value", "n")
-    )
+    counts = _long_texts(df, columns).groupBy("i", "value").agg(F.count("*").alias("n"))
+    return counts.select(_named(columns), "value", "n")
+
+
+def label_counts(df: DataFrame, columns: Sequence[str], missing: str) -> DataFrame:
+    """``(column, label, n, real)``: as above, missing cells counted under a label.
+
+    ``real`` leaves them out, so that a text equal to the label stays apart.
+    """
+    label = F.coalesce("value", F.lit(missing)).alias("label")
+    counts = _long_texts(df, columns).groupBy("i", label).agg(F.count("*").alias("n"), F.count("value").alias("real"))
+    return counts.select(_named(columns), "label", "n", "real")
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:

@@ -271,12 +271,24 @@ def test_polynomial_by_both_solvers(frame, monkeypatch):
     exact = models.fit_poly2(spec, df, "y")
     got = exact.predict(df, "p").orderBy("k").toPandas()["p"]
     assert np.allclose(got, want, atol=1e-6)
-    monkeypatch.setattr(models, "WIDEST", 3)
+    monkeypatch.setattr(models, "POLY_WIDEST", 3)
     loose = models.fit_poly2(spec, df, "y")
     assert isinstance(loose, models.VectorModel) and loose.parameters == exact.parameters
     assert np.allclose(loose.predict(df, "p").orderBy("k").toPandas()["p"], want, atol=1e-2)
 
 
+def test_designs_too_wide_for_sums(frame, monkeypatch):
+    _, df = frame
+    monkeypatch.setattr(models, "WIDEST", 3)
+    monkeypatch.setattr(models, "POLY_WIDEST", 3)
+    rows = {r["model"]: r for r in models.compare_models(df, "y", ["a", "b", "c"], ["k"]).table.collect()}
+    assert "too many" in rows["Ridge"]["error"]
+    monkeypatch.undo()
+    same = {r["model"]: r for r in models.compare_models(df, "y", ["a", "b", "c"], ["k"]).table.collect()}
+    for name in ("Linear Regression", "Huber Robust", "Polynomial Degree 2"):
+        assert rows[name]["rmse"] == pytest.approx(same[name]["rmse"], abs=1e-2)
+
+
 def test_comparison(frame, monkeypatch):
     data, df = frame
 

@@ -24,7 +24,7 @@ def frame(spark):
     return data, spark.createDataFrame(data).repartition(6)
 
 
-@pytest.mark.parametrize("gather,split", [(16384, 4096), (8, 16)])
+@pytest.mark.parametrize("gather,split", [(1 << 20, 4096), (300, 16)])
 def test_quantiles_equal_interpolated_ones(frame, monkeypatch, gather, split):
     data, df = frame
     monkeypatch.setattr(stats, "GATHER", gather)
