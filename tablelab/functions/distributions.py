@@ -6,7 +6,7 @@ import math
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 _NORMAL = NormalDist()
 
@@ -45,12 +45,21 @@ def _ratio(region: str, x: Column) -> Column:
     return horner(top) / horner(bottom)
 
 
-def normal_quantile(p: Column) -> Column:
-    """Inverse of the standard normal distribution function for 0 < p < 1."""
-    q = p - 0.5
-    r = F.sqrt(-F.ln(F.least(p, 1 - p)))
-    outer = F.when(r <= 5, _ratio("middle", r - 1.6)).otherwise(_ratio("tail", r - 5))
-    return F.when(F.abs(q) <= 0.425, q * _ratio("centre", F.lit(0.180625) - q * q)).otherwise(F.signum(q) * outer)
+def add_normal_quantile(df: DataFrame, p: str, out: str) -> DataFrame:
+    """Adds the inverse of the standard normal distribution function at a column with 0 < p < 1.
+
+    The argument of the polynomials is a column of its own, worked out once.
+    """
+    q, r, x = F.col(p) - 0.5, F.col("_r"), F.col("_x")
+    central = F.abs(q) <= 0.425
+    argument = F.when(central, F.lit(0.180625) - q * q).when(r <= 5, r - 1.6).otherwise(r - 5)
+    value = (
+        F.when(central, q * _ratio("centre", x))
+        .when(r <= 5, F.signum(q) * _ratio("middle", x))
+        .otherwise(F.signum(q) * _ratio("tail", x))
+    )
+    staged = df.withColumn("_r", F.sqrt(-F.ln(F.least(F.col(p), 1 - F.col(p))))).withColumn("_x", argument)
+    return staged.withColumn(out, value).drop("_r", "_x")
 
 
 def chi_square_tail(x: float, df: int) -> float:

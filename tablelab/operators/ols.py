@@ -12,12 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablelab.functions.columns import col
-from tablelab.functions.distributions import chi_square_tail, normal_quantile, shapiro_wilk
+from tablelab.functions.distributions import add_normal_quantile, chi_square_tail, shapiro_wilk
 from tablelab.operators.features import FeatureSpec
 from tablelab.operators.gram import NARROW, Gram, gram, pseudo_inverse
 from tablelab.operators.stats import column_moments, order_bin
 from tablelab.session import small_table
 
+BROADCAST_ROWS = 100_000  # most rows of a lookup table that is sent to every task
+SPREAD = 65536  # most ranks of one value that one row unfolds to
+
 # Limits of the diagnostics and what they recommend.
 VIF_FEATURES, VIF_LIMIT = 40, 10.0
 SHAPIRO_ROWS, P_LIMIT = 5000, 0.05
@@ -281,25 +284,22 @@ def qq_points(df: DataFrame, column: str) -> DataFrame:
         .agg(F.count("*").alias("n"))
         .withColumn("bin", order_bin(F.col("sample"), per_e))
     )
-    # One row per bin: some thousands, so that one task can add them up.
-    running = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        values.groupBy("bin")
-        .agg(F.sum("n").alias("size"))
-        .select("bin", F.coalesce(F.sum("size").over(running), F.lit(0)).alias("start"))
-    )
+    # One row per bin, some thousands for a column of any length: where each bin starts.
+    sizes = values.groupBy("bin").agg(F.sum("n").alias("size"), F.max("n").alias("most")).orderBy("bin").toPandas()
+    offsets = sizes["size"].cumsum() - sizes["size"]
+    starts = small_table(df.sparkSession, list(zip(sizes["bin"].tolist(), offsets.tolist())), "bin bigint, start bigint")
     inside = Window.partitionBy("bin").orderBy("sample").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         values.withColumn("skip", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(starts, "bin")
+        .join(F.broadcast(starts) if len(sizes) <= BROADCAST_ROWS else starts, "bin")
         .select("sample", (F.col("start") + F.col("skip")).alias("below"), "n")
     )
-    step = 65536
-    # Few values need it, but one with billions of copies must not unfold in one task.
-    parts = placed.select("sample", "below", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(step))).alias("at"))
-    if s.count > step:
-        parts = parts.repartition(F.col("sample"), F.col("at"))
-    last = F.least(F.col("at") + step, F.col("n")) - 1
-    ranks = parts.select("sample", F.explode(F.sequence(F.col("below") + F.col("at"), F.col("below") + last)).alias("r"))
-    p = (F.col("r") + 1) / F.lit(float(s.count + 1))
-    return ranks.select((F.col("r") + 1).alias("rank"), normal_quantile(p).alias("theoretical"), "sample")
+    if int(sizes["most"].max()) > SPREAD:  # the ranks of a very frequent value unfold in many tasks
+        chunks = F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(SPREAD))).alias("at")
+        parts = placed.select("sample", "below", "n", chunks).repartition("sample", "at")
+        placed = parts.select(
+            "sample", (F.col("below") + F.col("at")).alias("below"), F.least(F.lit(SPREAD), F.col("n") - F.col("at")).alias("n")
+        )
+    ranks = placed.select("sample", F.explode(F.sequence(F.col("below"), F.col("below") + F.col("n") - 1)).alias("r"))
+    at = ranks.select((F.col("r") + 1).alias("rank"), "sample", ((F.col("r") + 1) / F.lit(float(s.count + 1))).alias("p"))
+    return add_normal_quantile(at, "p", "theoretical").select("rank", "theoretical", "sample")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from tablelab.functions.distributions import chi_square_tail, normal_quantile, shapiro_wilk
+from tablelab.functions.distributions import add_normal_quantile, chi_square_tail, shapiro_wilk
 from tablelab.operators import features, gram, models, ols
 
 
@@ -144,7 +144,7 @@ def test_shapiro_known_values():
 
 def test_normal_quantile(spark):
     p = [1e-12, 1e-4, 0.02, 0.3, 0.5, 0.7, 0.999, 1 - 1e-9]
-    got = [r[0] for r in spark.createDataFrame([(v,) for v in p], "p double").select(normal_quantile(F.col("p"))).collect()]
+    got = [r["z"] for r in add_normal_quantile(spark.createDataFrame([(v,) for v in p], "p double"), "p", "z").collect()]
     assert np.allclose(got, [NormalDist().inv_cdf(v) for v in p], rtol=1e-9, atol=1e-12)
 
 
@@ -154,7 +154,9 @@ def test_chi_square_tail():
     assert chi_square_tail(0.0, 3) == 1.0
 
 
-def test_qq_points_rank_ties_and_theory(spark, monkeypatch):
+@pytest.mark.parametrize("spread", [65536, 7])
+def test_qq_points_rank_ties_and_theory(spark, monkeypatch, spread):
+    monkeypatch.setattr(ols, "SPREAD", spread)
     rng = np.random.default_rng(4)
     v = np.concatenate([np.full(300, 0.5), rng.normal(size=700)])
     df = spark.createDataFrame([(float(x),) for x in v], "v double").repartition(4)
