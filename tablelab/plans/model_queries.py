@@ -328,14 +328,14 @@ def _(spark, folder):
 
 # --- candidate models ------------------------------------------------------------------
 
-# One feature, standardised on the training rows; y about its training mean.
+# One feature, standardised on the training rows; y about its training mean. The error sum is floored at 1e-12 in AIC and BIC.
 SPLIT = f"""sp AS (SELECT p_partkey, p_partkey AS x, p_retailprice AS y, {_word('p_partkey')} % 10000 < 2200 AS test, {_word('p_partkey', 1)} % 5 AS fold FROM part),
  tm AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, CAST(count(*) AS DOUBLE) AS n FROM sp WHERE NOT test),
  z AS (SELECT p_partkey, (x - mx) / sx AS z, y, y - my AS yc, test, fold, n, my FROM sp, tm),
  tr AS (SELECT sum(z * z) AS zz, sum(z * yc) AS zy FROM z WHERE NOT test)"""
 SCORE = """score AS (SELECT count(*) AS nt, sum((y - (my + w * z)) * (y - (my + w * z))) AS rss, sum(abs(y - (my + w * z))) AS ae, var_pop(y) * count(*) AS tss FROM z, fit WHERE test)
  SELECT round(w, 6) AS weight, round(sqrt(rss / nt), 6) AS rmse, round(ae / nt, 6) AS mae, round(1 - rss / tss, 6) AS r2,
-   round(1 - (rss / tss) * (nt - 1) / (nt - 2), 6) AS adjusted_r2, round(nt * ln(rss / nt) + 2, 4) AS aic, round(nt * ln(rss / nt) + ln(nt), 4) AS bic"""
+   round(1 - (rss / tss) * (nt - 1) / (nt - 2), 6) AS adjusted_r2, round(nt * ln(greatest(rss, 1e-12) / nt) + 2, 4) AS aic, round(nt * ln(greatest(rss, 1e-12) / nt) + ln(nt), 4) AS bic"""
 
 
 def _training(spark, folder, names=("p_partkey",)):
@@ -417,7 +417,7 @@ def _(spark, folder):
     p AS (SELECT y, y - (m + w1 * (z - mz) + w2 * (u - mu)) AS e FROM q, fit WHERE test),
     s AS (SELECT count(*) AS nt, sum(e * e) AS rss, sum(abs(e)) AS ae, var_pop(y) * count(*) AS tss FROM p)
     SELECT round(w1, 6) AS weight, round(sqrt(rss / nt), 6) AS rmse, round(ae / nt, 6) AS mae, round(1 - rss / tss, 6) AS r2,
-      round(1 - (rss / tss) * (nt - 1) / (nt - 3), 6) AS adjusted_r2, round(nt * ln(rss / nt) + 4, 4) AS aic, round(nt * ln(rss / nt) + 2 * ln(nt), 4) AS bic FROM s, fit""",
+      round(1 - (rss / tss) * (nt - 1) / (nt - 3), 6) AS adjusted_r2, round(nt * ln(greatest(rss, 1e-12) / nt) + 4, 4) AS aic, round(nt * ln(greatest(rss, 1e-12) / nt) + 2 * ln(nt), 4) AS bic FROM s, fit""",
 )
 def _(spark, folder):
     train, test, spec = _training(spark, folder)
