@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablelab.llm import chat, packing, tokens, warc
+from tablelab.llm import chat, jaccard, packing, tokens, warc
 from tablelab.plans.registry import Run
 
 RUNS: dict[str, Run] = {}
@@ -25,6 +25,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_ngram_jaccard")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of all documents by sets of three words and a similarity of 0.9."""
+    return jaccard.jaccard_components(table(spark, folder, "documents"), k=3, share=(90, 100)).drop("set_key")
+
+
 @query("op3_token_counts")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Every context limit that occurs as a document length, with its counts and truncated totals."""
