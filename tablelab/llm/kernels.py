@@ -10,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: All of ASCII but letters and digits.
+MARKS = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,13 +48,13 @@ def eights(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, at: np.ndarray, between: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of all rows, A-Z in lower case: their hashes, their first bytes, and where each row's words start.
 
-    A word is a run of bytes other than space and 0x09-0x0D. Hashing takes eight
-    bytes of every word at a time.
+    A word is a run of bytes that are not marked in ``between``: space and
+    0x09-0x0D. Hashing takes eight bytes of every word at a time.
     """
-    inside = ~SPACES[data]
+    inside = ~between[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -72,6 +74,13 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return hashes, starts, np.searchsorted(starts, at)
 
 
+def word_sizes(data: np.ndarray, starts: np.ndarray, between: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bytes of the words that begin at ``starts``."""
+    outside = np.flatnonzero(between[data])
+    ends = np.concatenate([outside, [len(data)]])[np.searchsorted(outside, starts)]
+    return np.minimum(ends, at[np.searchsorted(at, starts, "right")]) - starts
+
+
 def distinct(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's distinct hashes, sorted, and where each row starts."""
     out = hashes.copy()
@@ -114,3 +123,16 @@ def slices(batch: pa.RecordBatch, column: int, size: int = 8 << 20) -> Iterator[
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + size, "right")))
         yield batch.slice(i, j - i)
         i = j
+
+
+def squeezed(column: pa.Array) -> pa.Array:
+    """Each text compressed by itself, for a shuffle. Null: empty."""
+    codec = pa.Codec("zstd", 1)
+    texts = (v.as_buffer() or b"" for v in pc.fill_null(column.cast(pa.large_binary()), b""))
+    return pa.array([len(t).to_bytes(8) + (codec.compress(t, asbytes=True) if len(t) else b"") for t in texts], pa.binary())
+
+
+def expanded(column: pa.Array) -> pa.Array:
+    codec = pa.Codec("zstd", 1)
+    values = (v.as_py() for v in column)
+    return pa.array([codec.decompress(v[8:], int.from_bytes(v[:8]), asbytes=True) if len(v) > 8 else b"" for v in values], pa.large_binary())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablelab.llm import chat, jaccard, packing, tokens, warc
+from tablelab.llm import chat, decontaminate, jaccard, packing, tokens, toxicity, warc
 from tablelab.plans.registry import Run
 
 RUNS: dict[str, Run] = {}
@@ -129,6 +129,31 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("headers", shown)
 
 
+@query("op7_decontamination")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and benchmark item found in it."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+#: The chain: toxic texts by language first, then all toxic ones.
+CATEGORIES = ("toxic_english", "toxic_other", "toxic")
+
+
+def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain:
+    """The chain of CATEGORIES, fitted on at most toxicity.FIT_ROWS labelled rows."""
+    sample = toxicity.labelled_sample(docs.select("doc_id", "text", "lang"), labels.select("doc_id", "toxic"))
+    english = F.coalesce(F.col("lang") == "en", F.lit(False)).cast("int")
+    sample = sample.withColumn("toxic_english", F.col("toxic") * english).withColumn("toxic_other", F.col("toxic") * (1 - english))
+    return toxicity.fit_chain(sample, CATEGORIES)
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Category probabilities and decisions of all documents."""
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity_chain(docs, table(spark, folder, "labels")))
+
+
 @query("op10_packing")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """All documents packed into length buckets and batches of 65,536 tokens."""
