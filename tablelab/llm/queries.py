@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablelab.llm import chat, decontaminate, jaccard, packing, tokens, toxicity, warc
+from tablelab.llm import chat, decontaminate, jaccard, packing, pii, tokens, toxicity, warc
 from tablelab.plans.registry import Run
 
 RUNS: dict[str, Run] = {}
@@ -135,6 +135,17 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+#: The key of the registered query's surrogates; a real run brings its own.
+PII_KEY = "tablelab"
+
+
+@query("op8_pii")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts with their personal data replaced."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.replace_pii(docs, PII_KEY, count="n_entities")
+
+
 #: The chain: toxic texts by language first, then all toxic ones.
 CATEGORIES = ("toxic_english", "toxic_other", "toxic")
 
