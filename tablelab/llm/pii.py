@@ -70,6 +70,16 @@ PATTERN = "|".join(
 )
 
 
+def _may_hold(text: Column) -> Column:
+    """What every match needs, as far as it is cheap to see: a digit or sign, an access key's head or a title."""
+    heads = ["AKIA", *(t for ts in TITLES.values() for t in ts)]
+    return functools.reduce(lambda a, b: a | b, [text.contains(h) for h in heads], text.rlike("[0-9@=:]"))
+
+
+def _has_match(text: Column) -> Column:
+    return F.coalesce(_may_hold(text) & text.rlike(PATTERN), F.lit(False))
+
+
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, r"\D", "")
 
@@ -220,7 +230,7 @@ def replace_pii(docs: DataFrame, key: str, id: str = "doc_id", text: str = "text
     """``docs`` with entities replaced in ``text``; ``count`` names a column for their number."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
     key_of = F.struct(F.col("row").getField(id).alias("id"), F.xxhash64("text").alias("h"), F.md5("text").alias("m"))
-    touched = rows.withColumn("found", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).filter(F.size("found") > 0)
+    touched = rows.filter(_has_match(F.col("text"))).withColumn("found", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
     touched = materialise(touched.select("row", "text", key_of.alias("key"), F.transform("found", _units).alias("units")), "pii")
 
     places = touched.select("key", F.posexplode("units").alias("i", "units")).select("key", "i", F.posexplode("units").alias("j", "u"))
@@ -237,6 +247,6 @@ def replace_pii(docs: DataFrame, key: str, id: str = "doc_id", text: str = "text
         F.concat(F.array_join(filled, ""), F.element_at(gaps, -1)).alias("text"),
         F.size(F.filter("new", lambda x: x["is"] & (x["j"] == 0))).alias("n"),
     )
-    clean = rows.filter(F.col("text").isNull() | ~F.col("text").rlike(PATTERN)).withColumn("n", F.lit(0))
+    clean = rows.filter(~_has_match(F.col("text"))).withColumn("n", F.lit(0))
     kept = [F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c != count]
     return changed.unionByName(clean).select(*kept, *([] if count is None else [F.col("n").alias(count)]))
