@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablelab.llm import chat, decontaminate, jaccard, packing, pii, tokens, toxicity, warc
+from tablelab.llm import ann, chat, decontaminate, jaccard, packing, pii, tokens, toxicity, warc
 from tablelab.plans.registry import Run
 
 RUNS: dict[str, Run] = {}
@@ -31,6 +31,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, folder, "documents"), k=3, share=(90, 100)).drop("set_key")
 
 
+@query("op2_nearest")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest rows of every row whose id is divisible by 100."""
+    return ann.nearest(table(spark, folder, "embeddings"), F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)))
+
+
 @query("op3_token_counts")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Every context limit that occurs as a document length, with its counts and truncated totals."""

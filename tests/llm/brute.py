@@ -38,3 +38,16 @@ def jaccard_components(rows: list[tuple], k: int, num: int, den: int) -> list[tu
         if key is not None:
             least[root(i)] = min(key, least.get(root(i), key))
     return [(key, len(sets[i]), least.get(root(i)) if sets[i] else key) for i, (key, _) in enumerate(rows)]
+
+
+def nearest(rows: list[tuple], k: int) -> list[tuple]:
+    """(query id, rank, id, distance) for the ids divisible by 100 of (id, vector) rows."""
+    import numpy as np
+
+    usable = [(i, np.array(v, float)) for i, v in rows if v is not None and None not in v and np.isfinite(v).all() and any(v)]
+    out = []
+    for q, x in usable:
+        if q % 100 == 0:
+            near = sorted((float(np.sqrt(((y - x) ** 2).sum())), i) for i, y in usable if i != q)[:k]
+            out += [(q, rank + 1, i, far) for rank, (far, i) in enumerate(near)]
+    return sorted(out)
