@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablelab.llm import ann, chat, decontaminate, jaccard, packing, pii, tokens, toxicity, warc
+from tablelab.llm import ann, chat, decontaminate, jaccard, packing, pii, suffix, tokens, toxicity, warc
 from tablelab.plans.registry import Run
 
 RUNS: dict[str, Run] = {}
@@ -135,6 +135,19 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("headers", shown)
 
 
+@query("op6_suffix_array")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the bytes that strings of 400 bytes cover which also start elsewhere."""
+    done = suffix.remove_repeats(table(spark, folder, "documents"))
+    return done.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op7_decontamination")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Every document and benchmark item found in it."""

@@ -51,3 +51,25 @@ def nearest(rows: list[tuple], k: int) -> list[tuple]:
             near = sorted((float(np.sqrt(((y - x) ** 2).sum())), i) for i, y in usable if i != q)[:k]
             out += [(q, rank + 1, i, far) for rank, (far, i) in enumerate(near)]
     return sorted(out)
+
+
+def without_repeats(rows: list[tuple], size: int) -> list[tuple]:
+    """(id, bytes, removed bytes, removed runs, SHA-256 of the rest) of (id, text) rows."""
+    import hashlib
+
+    seen: dict[bytes, int] = {}
+    data = [(i, (text or "").encode()) for i, text in rows]
+    for _, own in data:
+        for s in range(len(own) - size + 1):
+            key = hashlib.blake2b(own[s : s + size], digest_size=16).digest()
+            seen[key] = seen.get(key, 0) + 1
+    out = []
+    for i, own in data:
+        gone = bytearray(len(own))
+        for s in range(len(own) - size + 1):
+            if seen[hashlib.blake2b(own[s : s + size], digest_size=16).digest()] > 1:
+                gone[s : s + size] = b"\1" * size
+        runs = sum(1 for s in range(len(own)) if gone[s] and (s == 0 or not gone[s - 1]))
+        kept = bytes(b for b, g in zip(own, gone) if not g)
+        out.append((i, len(own), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
