@@ -253,16 +253,16 @@ def _squeezed(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE, first: int = FIRST) -> DataFrame:
     """One row a document: ``id``, ``kept`` (the bytes that are left), ``spans`` (removed, start and end) and ``n_bytes``."""
     rows = docs.select(F.col(id).cast("long").alias("id"), F.hash(F.col(text)).alias("h"), F.col(text).cast("string").alias("text"))
-    length = first
+    spread, length = min(SPREAD, size // 4), first // 2 * 2
     spans = _by_document(_repeated(_positions(rows, length, size, False, False)).filter("whole"))
     stored = materialise(_with(_squeezed(rows), spans, "left"), "doubling")
-    while 2 * length <= size - SPREAD:
+    while 2 * length <= size - spread:
         length *= 2
         spans = _by_document(_repeated(_positions(stored.filter("spans IS NOT NULL"), length, size, False, True)).filter("whole"))
         stored = materialise(_with(stored.drop("spans"), spans, "left"), "doubling")
 
-    spread = min(SPREAD, size // 4)
-    runs = materialise(_repeated(_positions(stored.filter("spans IS NOT NULL"), size - spread, size, True, True)), "runs")
+    longest = (size - spread) // 2 * 2
+    runs = materialise(_repeated(_positions(stored.filter("spans IS NOT NULL"), longest, size, True, True)), "runs")
     mixed = _with(stored.drop("spans"), _by_document(runs.filter("mixed"), "whole"), "inner")
     single = _repeated(_windows(mixed, size)).filter("whole")
     final = _by_document(runs.filter("whole").select("id", "h", "lo", "hi").unionAll(single.select("id", "h", "lo", "hi")))
