@@ -20,12 +20,15 @@ signed for the next one, too. Frequency decides only how selective signatures
 are, never which pairs are found.
 
 Signatures meet in one shuffle and are read as a sorted stream, so that a bucket
-may be of any size. Each bucket names its first member as pivot, and each
-document is verified against the pivot it shares most signatures with. Buckets
-whose members are then still in different components are gone through pair by
-pair across those components. All pairs that could join two components are
-verified on whole texts, hence components are exact. Equal sets count as one
-from the start.
+may be of any size; buckets of frequent tokens are also cut into parts. Inside a
+bucket, sets are compared by small parity maps, whose differing bits are a lower
+bound for the tokens that two sets do not share (bitmap filter); only pairs that
+are needed to join what may link are handed on, at most one for each member. A
+bucket beyond ``BUCKET`` members hands on all its members as they are. This gives
+clusters outside of which no link is possible. The whole texts of a cluster are
+then compared exactly, two blocks of ``BLOCK`` sets at a time, and again only the
+links that join components are returned: components are exact, and no step
+returns all pairs of a group. Equal sets count as one from the start.
 
 Defined cases: words are runs of bytes other than space and 0x09-0x0D, A-Z in
 lower case; a text with fewer than ``k`` words is one token; null and empty
@@ -39,10 +42,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tablelab.llm import kernels
@@ -53,7 +57,8 @@ SLOTS_LOG = 18
 SALTS = 8
 #: Levels of frequency (doublings of 32 documents beyond what a slot holds on average) from which combinations are used.
 PAIRS_FROM, TRIPLES_FROM = 4, 9
-MEMBERS, PARTS = 256, 64
+#: Parts of a bucket of frequent tokens, members up to which a bucket is compared as it is, sets of a block, bits of a parity map in buckets and in blocks.
+PARTS, BUCKET, BLOCK, MAP_BITS, EXACT_BITS = 64, 2048, 512, 512, 4096
 
 
 def _sets(batch: pa.RecordBatch, column: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +68,7 @@ def _sets(batch: pa.RecordBatch, column: int, k: int) -> tuple[np.ndarray, np.nd
 
 
 def _scan(docs: DataFrame, k: int) -> DataFrame:
-    """A row a document (id, text hash, set size, set key), and the task's token counts by slot."""
+    """A row a document (id, text hash, set size, set key, in ``slots`` its parity map), and the task's token counts by slot."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.zeros(1 << SLOTS_LOG, np.int64)
@@ -73,8 +78,9 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
                 slots += np.bincount(values >> np.uint64(64 - SLOTS_LOG), minlength=len(slots))
                 n = np.diff(rows)
                 none = pa.nulls(len(n), pa.int32())
+                maps = pa.array([m.tobytes() for m in parity(values, rows)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(n), pa.array(kernels.set_keys(values, rows).view(np.int64), mask=n == 0), none, pa.nulls(len(n), pa.binary())],
+                    [part.column(0), part.column(1), pa.array(n), pa.array(kernels.set_keys(values, rows).view(np.int64), mask=n == 0), none, maps],
                     names=names,
                 )
         one = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64())]
@@ -84,6 +90,14 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(scan, "id long, h long, n long, set long, salt int, slots binary")
 
 
+def parity(values: np.ndarray, rows: np.ndarray, bits: int = MAP_BITS) -> np.ndarray:
+    """For each set some bits, each the parity of the tokens that fall on it."""
+    place = ((values >> np.uint64(20)) % np.uint64(bits)).astype(np.int64)
+    owner = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    odd = np.bincount(owner * bits + place, minlength=(len(rows) - 1) * bits) % 2
+    return np.packbits(odd.astype(bool).reshape(-1, bits), axis=1).view(np.uint64)
+
+
 def _levels(scanned: DataFrame) -> np.ndarray:
     """How frequent the tokens of each slot are, from the counts of all tasks: 0 for rare, then doublings."""
 
@@ -194,89 +208,124 @@ def _stream(rows: DataFrame, key: str) -> DataFrame:
     return rows.mapInArrow(stream, "sig long, a long, n long, b long, m long")
 
 
-def _buckets(signed: DataFrame) -> DataFrame:
-    """Members and pivots of all buckets of two sets or more. The buckets of frequent tokens are cut into ``PARTS``, whose pivots meet again."""
-    part = F.when(F.col("combined"), F.xxhash64("sig", F.pmod("set", F.lit(PARTS)))).otherwise(F.col("sig"))
-    parts = materialise(_stream(signed.withColumn("part", part), "part"), "parts")
-    heads = parts.filter("a = b").select("sig", F.col("a").alias("set"), F.col("n").cast("int"), F.lit(False).alias("combined"))
-    return parts.unionByName(_stream(heads, "sig")).filter("a != b")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
-    """Those of the pairs of set keys ``a``, ``b`` that link. Members ``a`` of one ``b`` are shared out in runs of some hundred."""
+def allowed(n: np.ndarray, m: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """Tokens that may be in one of two linked sets of these sizes only; -1 where the sizes alone forbid a link."""
     num, den = share
+    both = -((-(n + m) * num) // (num + den))
+    return np.where(both > np.minimum(n, m), -1, n + m - 2 * both)
+
+
+def _joined(n: np.ndarray, bits: np.ndarray, share: tuple[int, int], exact=None) -> list[tuple[int, int]]:
+    """Pairs that join the rows which can link into the same groups as all such pairs would. ``exact(i, j)`` has the last word."""
+    label, out = np.arange(len(n)), []
+    for i in range(len(n) - 1):
+        j = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        for x in j[apart <= allowed(n[j], n[i], share)]:
+            if label[x] != label[i] and (exact is None or exact(i, x)):
+                out.append((i, int(x)))
+                label[label == label[x]] = label[i]
+    return out
+
+
+def _near(members: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs ``a``, ``b`` that join what can link in each bucket: parity maps bound the tokens that two sets do not share from below."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sig, key, n, bits in kernels.whole_groups(batches, 1):
+            key, n = key.to_numpy(zero_copy_only=False), n.to_numpy(zero_copy_only=False).astype(np.int64)
+            bits = np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(key), -1)
+            sig = sig.to_numpy(zero_copy_only=False)
+            begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            size = np.diff(begin, append=len(sig))
+            first = np.repeat(begin, size)
+            fits = np.bitwise_count(bits ^ bits[first]).sum(axis=1, dtype=np.int64) <= allowed(n, n[first], share)
+            star = fits & (np.arange(len(sig)) != first)
+            out = [(key[star], key[first[star]])]
+            for a, m in zip(begin, size):
+                if m > 2 and not fits[a : a + m].all():
+                    pairs = _joined(n[a : a + m], bits[a : a + m], share)
+                    out.append((key[[a + i for i, _ in pairs]], key[[a + j for _, j in pairs]]) if pairs else (key[:0], key[:0]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
+
+    rows = members.repartition("sig").sortWithinPartitions("sig")
+    return rows.select("sig", "set", "n", "bits").mapInArrow(compare, "a long, b long")
+
+
+def _linked(members: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
+    """Verified links ``a``, ``b`` that join the sets of each cluster, two blocks of a cluster at a time."""
+    num, den = share
+
+    def members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+        for batch in batches:
+            for part in kernels.slices(batch, 2, 1 << 18):
+                whole = pa.RecordBatch.from_arrays([part.column(0), part.column(1), kernels.expanded(part.column(2))], names=["pair", "set", "text"])
+                for piece in kernels.slices(whole, 2, 4 << 20):
+                    values, rows = _sets(piece, 2, k)
+                    for i in range(piece.num_rows):
+                        yield piece.column(0)[i].as_py(), piece.column(1)[i].as_py(), values[rows[i] : rows[i + 1]].copy()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, held = None, np.empty(0, np.uint64)
+        for _, group in groupby(members_of(batches), key=lambda member: member[0]):
+            _, keys, sets = zip(*group)
+            rows = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+
+            def exact(i: int, j: int, sets=sets) -> bool:
+                x, y = sets[i], sets[j]
+                both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                return den * both >= num * (len(x) + len(y) - both)
+
+            pairs = _joined(np.diff(rows), parity(np.concatenate(sets), rows, EXACT_BITS), share, exact)
+            yield pa.RecordBatch.from_arrays([pa.array([keys[pair[t]] for pair in pairs], pa.int64()) for t in (0, 1)], names=["a", "b"])
+
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("set"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))
+    rows = rows.select(pair.alias("pair"), "set", "text").repartition("pair").sortWithinPartitions("pair", "set")
+    return rows.mapInArrow(verify, "a long, b long")
+
+
+def _squeezed(docs: DataFrame) -> DataFrame:
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in kernels.slices(batch, 3):
-                values, rows = _sets(part, 3, k)
-                a, b, first = (part.column(i).to_pylist() for i in range(3))
-                kept = []
-                for i, (x, y) in enumerate(zip(rows[:-1], rows[1:])):
-                    own = values[x:y]
-                    if first[i]:
-                        pivot, held = b[i], own
-                    elif pivot == b[i] and len(held):
-                        at = np.searchsorted(held, own)
-                        both = int((held[np.minimum(at, len(held) - 1)] == own).sum())
-                        if den * both >= num * (len(held) + len(own) - both):
-                            kept.append(i)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept, pa.int64())), part.column(1).take(pa.array(kept, pa.int64()))], names=["a", "b"])
-
-    runs = pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).alias("runs"))
-    members = pairs.join(runs, "b").withColumn("run", F.pmod(F.xxhash64("a"), "runs")).join(texts.withColumnRenamed("set", "a"), "a")
-    pivots = runs.withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).join(texts.withColumnRenamed("set", "b"), "b")
-    rows = members.select("a", "b", F.lit(False).alias("first"), "text", "run")
-    rows = rows.unionByName(pivots.select(F.col("b").alias("a"), "b", F.lit(True).alias("first"), "text", "run"))
-    rows = rows.repartition("b", "run").sortWithinPartitions("b", "run", F.desc("first"))
-    return rows.select("a", "b", "first", "text").mapInArrow(verify, "a long, b long")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kernels.squeezed(batch.column(2))], names=["id", "h", "text"])
+
+    return docs.mapInArrow(squeeze, "id long, h long, text binary")
 
 
 def jaccard_components(
     docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, share: tuple[int, int] = (80, 100)
 ) -> DataFrame:
-    """One row a document: ``id``, ``n_shingles``, ``component_id``, and ``set_key``, which equal sets share."""
+    """One row a document: ``id``, ``n_shingles``, ``component_id``, and the keys of its set, its component and its text.
+
+    Equal sets share ``set_key``; ``component_key`` and ``set_key`` are null without words; ``text_key`` is ``xxhash64(text)``.
+    """
     docs = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).cast("string").alias("text"))
     scanned = materialise(_scan(docs, k), "sets")
-    owners = scanned.filter("salt IS NULL").select("id", "h", "n", "set")
-    buckets = materialise(_buckets(_signed(docs, _levels(scanned), k, share)), "buckets")
-
-    num, den = share
-    fits = (F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num)
-    shared = buckets.filter(fits).groupBy("a", "b").agg(F.count("*").alias("c"))
-    best = materialise(shared.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b")), "pivots")
+    owners = scanned.filter("salt IS NULL")
+    signed = _signed(docs, _levels(scanned), k, share)
+    part = F.when(F.col("combined"), F.xxhash64("sig", F.pmod("set", F.lit(PARTS)))).otherwise(F.col("sig"))
+    parts = materialise(_stream(signed.withColumn("part", part), "part"), "parts")
 
-    wanted = buckets.select(F.col("a").alias("set")).unionAll(buckets.select(F.col("b").alias("set"))).distinct()
-    one = owners.join(wanted, "set").groupBy("set").agg(F.min(F.struct("id", "h")).alias("o"))
+    sizes = parts.groupBy("sig").agg(F.count("*").alias("rows"), F.min("b").alias("pivot"), F.max(F.greatest("a", "b")).alias("top"))
+    sizes = sizes.filter("pivot < top")
+    small = parts.join(sizes.filter(F.col("rows") <= BUCKET).select("sig"), "sig")
+    small = small.select("sig", F.col("a").alias("set")).unionAll(small.select("sig", "b")).distinct()
+    maps = owners.filter("set IS NOT NULL").groupBy("set").agg(F.first("n").alias("n"), F.first("slots").alias("bits"))
+    near = _near(small.join(maps, "set"), share)
+    large = parts.join(sizes.filter(F.col("rows") > BUCKET).select("sig", "pivot"), "sig")
+    near = near.unionAll(large.select("a", "pivot")).unionAll(large.select("b", "pivot"))
+    clusters = materialise(components(near), "clusters").withColumnRenamed("id", "set")
+
+    one = owners.join(clusters, "set").groupBy("set", "root").agg(F.min(F.struct("id", "h")).alias("o")).select("set", "root", "o.id", "o.h")
     where = F.col("d.id").eqNullSafe(F.col("o.id")) & (F.col("d.h") == F.col("o.h"))
-    one = one.select("set", "o.id", "o.h")
-    texts = materialise(docs.alias("d").join(one.alias("o"), where).select("set", "text"), "texts")
-
-    links = materialise(_verified(best, texts, k, share), "links")
-    roots = components(links)
-
-    def rooted(rows: DataFrame, key: str) -> DataFrame:
-        found = rows.join(roots.withColumnRenamed("id", key), key, "left")
-        return found.select("sig", F.col(key).alias("set"), F.coalesce("root", key).alias("root"), "n")
-
-    members = rooted(buckets.select("sig", "a", "n"), "a").unionByName(
-        rooted(buckets.select("sig", "b", F.col("m").alias("n")).distinct(), "b")
-    )
-    mixed = members.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("sig")
-    members = materialise(members.join(mixed, "sig"), "mixed")
-    x, y = members.alias("x"), members.alias("y")
-    across = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.root") < F.col("y.root"))
-    fits = (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num)
-    pairs = x.join(y, across & fits).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
-    done = best.unionByName(best.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = materialise(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(_verified(pairs, texts, k, share))
-    roots = components(materialise(links, "links"))
+    texts = materialise(_squeezed(docs).alias("d").join(one.alias("o"), where).select("set", "root", "text"), "texts")
+    roots = components(_linked(texts, k, share))
 
     names = owners.join(roots.withColumnRenamed("id", "set"), "set", "left")
-    names = names.select("id", "n", "set", F.coalesce("root", "set").alias("root"))
+    names = names.select("id", "n", "set", F.coalesce("root", "set").alias("root"), "h")
     least = names.groupBy("root").agg(F.min("id").alias("component_id"))
-    linked = names.join(least, "root").select("id", "n", "set", "component_id")
-    alone = owners.filter("set IS NULL").select("id", "n", "set", F.col("id").alias("component_id"))
-    return linked.unionByName(alone).select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id", F.col("set").alias("set_key"))
+    linked = names.join(least, "root").select("id", "n", "component_id", "set", "root", "h")
+    alone = owners.filter("set IS NULL").select("id", "n", F.col("id").alias("component_id"), "set", F.col("set").alias("root"), "h")
+    return linked.unionByName(alone).toDF(id, "n_shingles", "component_id", "set_key", "component_key", "text_key")

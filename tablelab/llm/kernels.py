@@ -136,3 +136,20 @@ def expanded(column: pa.Array) -> pa.Array:
     codec = pa.Codec("zstd", 1)
     values = (v.as_py() for v in column)
     return pa.array([codec.decompress(v[8:], int.from_bytes(v[:8]), asbytes=True) if len(v) > 8 else b"" for v in values], pa.large_binary())
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.Array]]:
+    """The columns of rows that are sorted by the first column, cut between its values, ``size`` batches at a time at least."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        last = int(np.searchsorted(key, key[-1]))  # where the group that may go on begins
+        if len(held) > size and last:
+            held[-1] = batch.slice(0, last)
+            yield [pa.concat_arrays(c) for c in zip(*(b.columns for b in held))]
+            held = [batch.slice(last)]
+    if held:
+        yield [pa.concat_arrays(c) for c in zip(*(b.columns for b in held))]

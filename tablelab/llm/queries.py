@@ -28,7 +28,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op1_ngram_jaccard")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """Components of all documents by sets of three words and a similarity of 0.9."""
-    return jaccard.jaccard_components(table(spark, folder, "documents"), k=3, share=(90, 100)).drop("set_key")
+    return jaccard.jaccard_components(table(spark, folder, "documents"), k=3, share=(90, 100)).select("doc_id", "n_shingles", "component_id")
 
 
 @query("op2_nearest")
