@@ -329,3 +329,50 @@ def jaccard_components(
     linked = names.join(least, "root").select("id", "n", "component_id", "set", "root", "h")
     alone = owners.filter("set IS NULL").select("id", "n", F.col("id").alias("component_id"), "set", F.col("set").alias("root"), "h")
     return linked.unionByName(alone).toDF(id, "n_shingles", "component_id", "set_key", "component_key", "text_key")
+
+
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The rows of ``docs``, all columns: of each component the one with the smallest id, and every row without words."""
+    found = jaccard_components(docs, id, text, k, share).withColumnRenamed(id, "id").withColumnRenamed("text_key", "h")
+    first = found.filter("component_key IS NOT NULL").groupBy("component_key")
+    first = first.agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("k")).select("k.id", "k.h", F.lit(0).alias("kind"))
+    wordless = found.filter("component_key IS NULL").select("id", "h", F.lit(1).alias("kind")).distinct()
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            missing = batch.column(4).is_null()
+            packed = pc.if_else(missing, pa.scalar(None, pa.binary()), kernels.squeezed(batch.column(4)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], packed], names=names)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kind, taken = None, None, False
+        for batch in batches:
+            ids, hashes, kinds = (batch.column(i).to_pylist() for i in range(3))
+            kept = []
+            for i, now in enumerate(zip(ids, hashes)):
+                if now != key:
+                    key, kind, taken = now, None, False
+                if kinds[i] < 2:
+                    kind = kinds[i]
+                elif kind == 1 or (kind == 0 and not taken):
+                    kept.append(i)
+                    taken = True
+            part = batch.take(pa.array(kept, pa.int64()))
+            for piece in kernels.slices(part, 4, 1 << 20):
+                missing = piece.column(4).is_null()
+                texts = kernels.expanded(pc.fill_null(piece.column(4), b"")).cast(pa.large_string()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([piece.column(3), pc.if_else(missing, pa.scalar(None, pa.string()), texts)], names=["row", "text"])
+
+    names = ["id", "h", "kind", "row", "text"]
+    rest = F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text])
+    rows = docs.select(
+        F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"), F.lit(2).alias("kind"), rest.alias("row"),
+        F.col(text).cast("string").alias("text"),
+    )
+    row = rows.schema["row"].dataType.simpleString()
+    rows = rows.mapInArrow(squeeze, f"id long, h long, kind int, row {row}, text binary")
+    for few in (first, wordless):
+        few = few.withColumn("row", F.lit(None).cast(rows.schema["row"].dataType)).withColumn("text", F.lit(None).cast("binary"))
+        rows = rows.unionByName(few)
+    rows = rows.repartition("id", "h").sortWithinPartitions("id", "h", "kind").mapInArrow(choose, f"row {row}, text string")
+    return rows.select(*[F.col("text").alias(c) if c == text else F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
