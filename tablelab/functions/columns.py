@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Sequence
 
@@ -15,7 +16,7 @@ EMPTY_NAME = "column"
 # What counts as a blank, a separator and a name character.
 BLANKS = r"\s\x1c-\x1f"
 SEPARATORS = BLANKS + r"\-/\\"
-NAME_CHARS = r"\p{L}\p{N}_一-鿿"
+NAME_CHARS = r"\p{L}\p{N}"
 
 # Fixed value: the texts that parse as a number.
 NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
@@ -91,28 +92,24 @@ def parse_grouped_number(value: Column) -> Column:
 
 
 def normalize_name_expr(value: Column) -> Column:
-    """The column-name rule applied to data values."""
-    joined = F.regexp_replace(F.lower(strip_blanks(value)), rf"(?U)[{SEPARATORS}]+", "_")
-    plain = F.regexp_replace(joined, f"[^{NAME_CHARS}]+", "")
-    squeezed = F.regexp_replace(F.regexp_replace(plain, "_+", "_"), "^_|_$", "")
-    return F.when(squeezed == "", EMPTY_NAME).otherwise(squeezed)
+    """The column-name rule applied to data values: runs of letters and digits in lower case, joined by underscores.
+
+    Separators and underscores end a run; any other character is left out of it.
+    """
+    kept = F.regexp_replace(F.lower(value), rf"(?U)[^{NAME_CHARS}{SEPARATORS}_]", "")
+    joined = F.array_join(F.regexp_extract_all(kept, F.lit(f"[{NAME_CHARS}]+"), F.lit(0)), "_")
+    return F.when(joined == "", EMPTY_NAME).otherwise(joined)
 
 
 def normalize_names(names: Sequence[str]) -> list[str]:
     """The same rule for a schema; a name in use gets the next free number."""
-    taken: set[str] = set()
-    out = []
+    out: dict[str, None] = {}
     for name in names:
-        words = re.split(r"[\s\-/\\_]+", str(name).strip().lower())
-        kept = [re.sub(r"[^\w一-鿿]", "", w) for w in words]
-        base = re.sub("_+", "_", "_".join(w for w in kept if w)).strip("_") or EMPTY_NAME
-        candidate, number = base, 1
-        while candidate in taken:
-            number += 1
-            candidate = f"{base}_{number}"
-        taken.add(candidate)
-        out.append(candidate)
-    return out
+        runs = "".join(c if c.isalnum() else "_" if re.match(f"[{SEPARATORS}_]", c) else "" for c in str(name).lower())
+        base = "_".join(filter(None, runs.split("_"))) or EMPTY_NAME
+        numbered = (f"{base}_{i}" for i in itertools.count(2))
+        out[next(n for n in itertools.chain([base], numbered) if n not in out)] = None
+    return list(out)
 
 
 def escape_cell(value: Column) -> Column:
@@ -123,7 +120,7 @@ def escape_cell(value: Column) -> Column:
 def safe_filename(value: Column) -> Column:
     """Last path component with runs of other characters as one underscore."""
     base = F.regexp_extract(F.regexp_replace(value, "/+$", ""), "([^/]*)$", 1)
-    name = F.regexp_replace(base, rf"[^{NAME_CHARS}.\-]+", "_")
+    name = F.regexp_replace(base, rf"[^{NAME_CHARS}_.\-]+", "_")
     return F.when(name == "", "uploaded_data.csv").otherwise(name)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from statistics import NormalDist
 
 import numpy as np
@@ -106,27 +107,39 @@ def _poly(coefficients, x: float) -> float:
 
 
 def shapiro_wilk(values) -> tuple[float, float] | None:
-    """The W statistic and its p-value for 3 to 5000 values; null when undefined."""
+    """The W statistic and its p-value of values at hand; null when undefined."""
     x = np.sort(np.asarray(values, dtype=float))
     n = len(x)
     if n < 3 or x[0] == x[-1]:
         return None if n < 3 else (1.0, 1.0)
     m = np.array([_NORMAL.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    spread = x - x.mean()
+    ends = [x[i] for i in sorted({0, 1, n - 2, n - 1})]
+    return shapiro_from_sums(n, float(m @ x), float(m @ m), ends, float(spread @ spread))
+
+
+def shapiro_from_sums(n: int, cross: float, norm: float, ends: Sequence[float], spread: float) -> tuple[float, float] | None:
+    """W and its p-value from sums over ``n`` sorted values.
+
+    ``cross`` and ``norm`` are the sums of the normal scores times the values
+    and squared, ``ends`` the two smallest and two largest values (their weights
+    are not the scores), ``spread`` the squared deviations from the mean.
+    """
+    if n < 3 or len(ends) < 3:
+        return None
     if n == 3:
-        weights = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
+        top = math.sqrt(0.5) * (ends[-1] - ends[0])
     else:
-        norm = float(m @ m)
+        scores = [_NORMAL.inv_cdf((n + 1 - i - 0.375) / (n + 0.25)) for i in (1, 2)]
         u = 1 / math.sqrt(n)
-        edge = [m[-1] / math.sqrt(norm) + _poly(R94_LAST, u)]
+        edge = [scores[0] / math.sqrt(norm) + _poly(R94_LAST, u)]
         if n > 5:
-            edge.append(m[-2] / math.sqrt(norm) + _poly(R94_SECOND, u))
-        k = len(edge)
-        rest = norm - 2 * sum(float(v) ** 2 for v in m[-k:])
-        weights = m / math.sqrt(rest / (1 - 2 * sum(e * e for e in edge)))
-        for i, e in enumerate(edge):
-            weights[-1 - i], weights[i] = e, -e
-    spread = x - x.mean()
-    w = min(1.0, float(weights @ x) ** 2 / float(spread @ spread))
+            edge.append(scores[1] / math.sqrt(norm) + _poly(R94_SECOND, u))
+        gaps = [ends[-1] - ends[0], ends[-2] - ends[1]]
+        rest = norm - 2 * sum(v * v for v in scores[: len(edge)])
+        inner = cross - sum(v * g for v, g in zip(scores[: len(edge)], gaps))
+        top = inner / math.sqrt(rest / (1 - 2 * sum(e * e for e in edge))) + sum(e * g for e, g in zip(edge, gaps))
+    w = min(1.0, top * top / spread)
     if n == 3:
         p = 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))
         return w, min(1.0, max(0.0, p))

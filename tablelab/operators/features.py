@@ -18,7 +18,7 @@ from tablelab.functions.columns import (
     numeric_columns,
     parse_number,
 )
-from tablelab.operators.stats import Summary, column_moments, medians, value_counts
+from tablelab.operators.stats import Summary, column_moments, medians, numeric_summary, value_counts
 
 # Sizes of the encoding, the split and the folds.
 MAX_LEVELS = 20
@@ -28,14 +28,14 @@ INFREQUENT = "infrequent_sklearn"
 
 
 def select_features(df: DataFrame, target: str, features: Sequence[str] = ()) -> list[str]:
-    """Known features other than the target; none left means every other column."""
-    if target not in df.columns:
-        raise ValueError(f"no such target column: {target}")
-    chosen = [c for c in features if c in df.columns and c != target]
-    chosen = chosen or [c for c in df.columns if c != target]
-    if not chosen:
-        raise ValueError("at least one feature column is needed")
-    return chosen
+    """The named features, or every column where none is named, without the target. Unknown names are errors."""
+    if unknown := sorted({target, *features}.difference(df.columns)):
+        raise ValueError(f"no such columns: {unknown}")
+    wanted = dict.fromkeys(features or df.columns)
+    wanted.pop(target, None)
+    if not wanted:
+        raise ValueError("a model needs a feature besides its target")
+    return list(wanted)
 
 
 def prepare_target(
@@ -285,19 +285,50 @@ def poly2(df: DataFrame, spec: FeatureSpec, keep: Sequence[str] = ()) -> DataFra
     return rows.select(*[col(c) for c in keep], *[e.alias(n) for e, n in zip(spec.products(), names)])
 
 
-def test_flag(key: Sequence[str]) -> Column:
-    """True for about 22 % of the keys, the same ones on every run."""
-    return digest_word(key) % 10000 < TEST_PER_10000
+def _digest(key: Sequence[str], part: int) -> Column:
+    """A part of the key digest as a double; its whole range is exact."""
+    return digest_word(key, part).cast("double")
+
+
+def _smallest(df: DataFrame, value: Column, ranks: Sequence[int], count: int) -> list[float]:
+    """The values of the given ranks (from 1) of ``count``: an exact search, no sort."""
+    probs = {r: (r - 1) / max(count - 1, 1) for r in ranks}
+    found = numeric_summary(df.select(value.alias("v")), ["v"], sorted(set(probs.values())))["v"].quantiles
+    return [float(round(found[probs[r]])) for r in ranks]
+
+
+def test_limit(df: DataFrame, key: Sequence[str], count: int | None = None) -> float:
+    """The digest up to which a row is a test row: that of rank 22 % of the rows, rounded up. -1 for no rows."""
+    count = df.count() if count is None else count
+    return _smallest(df, _digest(key, 0), [math.ceil(count * TEST_PER_10000 / 10000)], count)[0] if count else -1.0
 
 
 def train_test_split(df: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    return df.filter(~test_flag(key)), df.filter(test_flag(key))
+    """Training and test rows; rows with one key stay together."""
+    limit = F.lit(test_limit(df, key))
+    return df.filter(_digest(key, 0) > limit), df.filter(_digest(key, 0) <= limit)
 
 
 def fold_count(train_rows: int) -> int:
     return min(5, max(2, train_rows // 6))
 
 
+def fold_number(df: DataFrame, key: Sequence[str], folds: int, count: int | None = None) -> Column:
+    """Folds of equal size, by ranges of a part of the key digest that the split does not use."""
+    count = df.count() if count is None else count
+    if not count:
+        return F.lit(0)
+    cuts = _smallest(df, _digest(key, 1), [max(1, math.ceil(count * i / folds)) for i in range(1, folds)], count)
+    return sum(((_digest(key, 1) > F.lit(c)).cast("int") for c in cuts), F.lit(0))
+
+
 def assign_folds(df: DataFrame, key: Sequence[str], folds: int) -> DataFrame:
-    """Fold number by a part of the key digest that the split does not use."""
-    return df.withColumn("fold", (digest_word(key, 1) % folds).cast("int"))
+    return df.withColumn("fold", fold_number(df, key, folds))
+
+
+def with_split(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """``_test`` and, counted over the training rows, ``_fold``."""
+    limit = F.lit(test_limit(df, key))
+    train = df.filter(_digest(key, 0) > limit)
+    count = train.count()
+    return df.withColumns({"_test": _digest(key, 0) <= limit, "_fold": fold_number(train, key, fold_count(count), count)})

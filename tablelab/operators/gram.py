@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablelab.functions.columns import col
+from tablelab.operators.blocks import BLOCK, block_batch, merged, r_factor
 from tablelab.operators.features import FeatureSpec
 from tablelab.session import small_table
 
 NARROW = 16  # design columns up to which plain sums are used
-WIDEST = 2048  # design columns up to which a cross-product matrix is formed
 EIGEN_CUT = 1e-11  # relative size below which an eigenvalue counts as zero
 
 
@@ -87,12 +87,10 @@ def grams(
     """The sums for each fold (fold 0 when there are none).
 
     Narrow designs are sums of products inside generated code. Wide ones are
-    matrix products of Arrow batches, one partial matrix per task and fold;
-    their cells are added up by a grouped sum.
+    matrix products of Arrow batches, one partial matrix per task and fold,
+    added up on executors.
     """
     width = spec.expanded_width(degree)
-    if width > WIDEST:
-        raise ValueError(f"{width} design columns are too many for a cross-product matrix")
     fold = F.lit(0) if fold is None else fold
     y = col(target) - F.lit(float(shift))
     size = width + 2
@@ -106,7 +104,6 @@ def grams(
         return {r["fold"]: Gram(names, _cross_of(r["g"], size), shift) for r in rows}
 
     block, k = spec.reader(degree), len(spec.compact())
-    upper = np.triu_indices(size)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -117,20 +114,30 @@ def grams(
             for f in np.unique(of):
                 part = z[of == f]
                 total[int(f)] = total.get(int(f), 0) + part.T @ part
-        for f, g in total.items():
-            cells = g[upper]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "fold": pa.array(np.full(len(cells), f, dtype=np.int32)),
-                    "at": pa.array(np.arange(len(cells), dtype=np.int32)),
-                    "value": pa.array(cells),
-                }
-            )
+        yield block_batch(total)
 
     packed = df.select(*spec.compact(), y.alias("y"), fold.cast("int").alias("fold"))
-    added = packed.mapInArrow(partial, "fold int, at int, value double").groupBy("fold", "at").agg(F.sum("value").alias("value"))
-    found = added.toPandas().sort_values("at")
-    return {int(f): Gram(names, _cross_of(part["value"].to_numpy(), size), shift) for f, part in found.groupby("fold")}
+    found = merged(packed.mapInArrow(partial, BLOCK), size, np.add)
+    return {f: Gram(names, g, shift) for f, g in sorted(found.items())}
+
+
+def triangle(df: DataFrame, spec: FeatureSpec, target: str, shift: float) -> np.ndarray:
+    """The triangular factor of the rows ``(1, x, y - shift)``.
+
+    It has the singular values of the rows themselves, where cross products
+    would square them. Each task reduces its batches to a factor of its own.
+    """
+    block, k, size = spec.reader(), len(spec.compact()), spec.width + 2
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, size))
+        for batch in batches:
+            y = batch.column(k).to_numpy(zero_copy_only=False)
+            r = r_factor(r, np.column_stack([np.ones(len(y)), block(batch), y]))
+        yield block_batch({0: r} if len(r) else {})
+
+    packed = df.select(*spec.compact(), (col(target) - F.lit(float(shift))).alias("y"))
+    return merged(packed.mapInArrow(reduce, BLOCK), size, r_factor).get(0, np.zeros((0, size)))
 
 
 def gram(df: DataFrame, spec: FeatureSpec, target: str, shift: float = 0.0, degree: int = 1) -> Gram:

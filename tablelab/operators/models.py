@@ -13,16 +13,16 @@ from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame, functions as F
 
-from tablelab.functions.columns import col, digest_word, rounded
+from tablelab.functions.columns import col, rounded
 from tablelab.operators.features import (
     FeatureSpec,
     fold_count,
     prepare_target,
     select_features,
-    test_flag,
+    with_split,
 )
-from tablelab.operators.gram import NARROW, WIDEST, Gram, gram, grams, pseudo_inverse
-from tablelab.operators.ols import linear_expr
+from tablelab.operators.gram import NARROW, Gram, gram, grams, pseudo_inverse, triangle
+from tablelab.operators.ols import linear_expr, singular
 from tablelab.operators.stats import column_moments
 from tablelab.session import materialise, small_table
 
@@ -34,7 +34,7 @@ NET_RATIOS = (0.15, 0.5, 0.85)
 MAX_SWEEPS = 8000
 HUBER_EPSILON, HUBER_ALPHA, HUBER_ITERATIONS = 1.35, 1e-4, 800
 POLY_FEATURES = 6
-POLY_WIDEST = 1024  # expanded columns up to which a cross-product matrix is worth its work per row
+SHARED_WIDTH = 128  # expanded columns up to which the sums of squares and products ride along with the other sums
 RSS_FLOOR = 1e-12
 PREDICTION_ROWS = 240
 
@@ -106,10 +106,17 @@ def _intercept(g: Gram, weights: np.ndarray) -> float:
     return g.y_mean - float(g.sums @ weights) / g.n
 
 
-def fit_linear(spec: FeatureSpec, g: Gram, degree: int = 1) -> LinearModel:
-    """Least squares with intercept, minimum norm about the means."""
-    xx, xy, _ = g.centred()
-    w = pseudo_inverse(xx)[0] @ xy
+def fit_linear(spec: FeatureSpec, g: Gram, degree: int = 1, factor: np.ndarray | None = None) -> LinearModel:
+    """Least squares with intercept, minimum norm about the means.
+
+    A triangular ``factor`` of the same rows keeps nearly collinear columns apart, which sums of products cannot.
+    """
+    if factor is None:
+        xx, xy, _ = g.centred()
+        w = pseudo_inverse(xx)[0] @ xy
+    else:  # the first row and column belong to the constant
+        left, size, right = singular(factor[1:, 1:-1])
+        w = right.T @ ((left.T @ factor[1:, -1]) / size)
     return LinearModel(spec, w, _intercept(g, w), degree)
 
 
@@ -275,9 +282,11 @@ def fit_iterative(spec: FeatureSpec, train: DataFrame, target: str, degree: int
     return VectorModel(spec, fitted, degree)
 
 
-def fit_poly2(spec: FeatureSpec, train: DataFrame, target: str, g: Gram | None = None) -> LinearModel | VectorModel:
-    """Least squares on the encoded columns, their squares and products."""
-    if spec.expanded_width(2) > POLY_WIDEST:
+def fit_poly2(
+    spec: FeatureSpec, train: DataFrame, target: str, g: Gram | None = None, solver: str = "exact"
+) -> LinearModel | VectorModel:
+    """Least squares on the encoded columns, their squares and products; ``solver="iterative"`` for an approximate fit of very wide designs."""
+    if solver == "iterative":
         return fit_iterative(spec, train, target, 2)
     return fit_linear(spec, g or gram(train, spec, target, spec.target.mean, 2), 2)
 
@@ -362,13 +371,10 @@ def best_model(table: DataFrame) -> DataFrame:
 
 def _train_sums(
     train: DataFrame, spec: FeatureSpec, target: str, squares: bool
-) -> tuple[dict[int, Gram], Gram | None, Gram | None]:
+) -> tuple[dict[int, Gram], Gram, Gram | None]:
     """Sums per fold and overall, with squares and products where they are few: one pass."""
-    if spec.width > WIDEST:
-        return {}, None, None
-    folds = F.col("_word") % fold_count(spec.target.count)
-    degree = 2 if squares and spec.expanded_width(2) <= POLY_WIDEST // 8 else 1
-    found = grams(train, spec, target, spec.target.mean, degree, folds)
+    degree = 2 if squares and spec.expanded_width(2) <= SHARED_WIDTH else 1
+    found = grams(train, spec, target, spec.target.mean, degree, F.col("_fold"))
     parts = list(found.values())
     total = sum(parts[1:], parts[0])
     by_fold = {f: g.first(spec.width) for f, g in found.items()}
@@ -385,8 +391,8 @@ def compare_models(df: DataFrame, target: str, features: Sequence[str], key: Seq
     """
     features = select_features(df, target, features)
     rows = prepare_target(df, target, features, key)
-    # Read many times from here on, so the split is worked out once and written.
-    rows = rows.withColumns({"_test": test_flag(key), "_word": digest_word(key, 1)})
+    # Read many times from here on, so the split and the folds are worked out once and written.
+    rows = with_split(rows, key)
     rows = materialise(rows, "model-rows", ["_test"])
     train, test = rows.filter(~F.col("_test")), rows.filter("_test")
     spec = FeatureSpec.fit(train, features, target)
@@ -395,19 +401,11 @@ def compare_models(df: DataFrame, target: str, features: Sequence[str], key: Seq
     shift = spec.target.mean
     by_fold, whole, squares = _train_sums(train, spec, target, len(features) <= POLY_FEATURES)
 
-    def needs_sums(fit: Callable) -> Callable:
-        def run():
-            if whole is None:
-                raise ValueError(f"{spec.width} design columns are too many for a cross-product matrix")
-            return fit()
-
-        return run
-
     candidates: list[tuple[str, Callable]] = [
-        ("Linear Regression", lambda: fit_linear(spec, whole) if whole else fit_iterative(spec, train, target)),
-        ("Ridge", needs_sums(lambda: fit_ridge_cv(spec, whole, train, target))),
-        ("LASSO", needs_sums(lambda: fit_lasso_cv(spec, by_fold))),
-        ("ElasticNet", needs_sums(lambda: fit_elastic_net_cv(spec, by_fold))),
+        ("Linear Regression", lambda: fit_linear(spec, whole, factor=triangle(train, spec, target, shift))),
+        ("Ridge", lambda: fit_ridge_cv(spec, whole, train, target)),
+        ("LASSO", lambda: fit_lasso_cv(spec, by_fold)),
+        ("ElasticNet", lambda: fit_elastic_net_cv(spec, by_fold)),
         ("Huber Robust", lambda: fit_huber(spec, train, target)),
     ]
     if len(features) <= POLY_FEATURES:
@@ -434,4 +432,6 @@ def compare_models(df: DataFrame, target: str, features: Sequence[str], key: Seq
         got = found.get(name, (None,) * 5)
         rows.append((i + 1, name, *got, models[name].parameters if name in models else None, errors.get(name)))
     table = _score(small_table(df.sparkSession, rows, f"candidate int, model string, {SUMS}, error string"))
+    if not any(got and got[0] for got in found.values()):
+        raise ValueError("no candidate has a score: no test row can be predicted")
     return Comparison(table.select(COMPARISON), models, train, marked, spec, target, tuple(key))

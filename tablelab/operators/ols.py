@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablelab.functions.columns import col
-from tablelab.functions.distributions import add_normal_quantile, chi_square_tail, shapiro_wilk
+from tablelab.functions.distributions import add_normal_quantile, chi_square_tail, shapiro_from_sums
 from tablelab.operators.features import FeatureSpec
-from tablelab.operators.gram import NARROW, Gram, gram, pseudo_inverse
+from tablelab.operators.gram import NARROW, Gram, triangle
 from tablelab.operators.stats import column_moments, order_bin
 from tablelab.session import small_table
 
@@ -22,8 +22,7 @@ BROADCAST_ROWS = 100_000  # most rows of a lookup table that is sent to every ta
 SPREAD = 65536  # most ranks of one value that one row unfolds to
 
 # Limits of the diagnostics and what they recommend.
-VIF_FEATURES, VIF_LIMIT = 40, 10.0
-SHAPIRO_ROWS, P_LIMIT = 5000, 0.05
+VIF_LIMIT, P_LIMIT = 10.0, 0.05
 RECOMMENDATIONS = {
     "vif": "compare Ridge, LASSO and ElasticNet: strong collinearity",
     "shapiro": "compare a robust fit or transform the target: residuals are not normal",
@@ -40,6 +39,7 @@ class OlsFit:
     spec: FeatureSpec
     target: str
     gram: Gram
+    factor: np.ndarray
     params: np.ndarray
     inverse: np.ndarray
     rank: int
@@ -91,14 +91,21 @@ def ols_fit(df: DataFrame, target: str, features: Sequence[str], spec: FeatureSp
     """
     spec = spec or FeatureSpec.fit(df, features, target)
     shift = spec.target.mean
-    g = gram(df, spec, target, shift)
-    a, b = g.cross[:-1, :-1], g.cross[:-1, -1]
-    inverse, rank = pseudo_inverse(a)
+    r = triangle(df, spec, target, shift)
+    left, size, right = singular(r[:, :-1])
+    params = right.T @ ((left.T @ r[:, -1]) / size)
     # The constant moves by the shift along the minimum-norm solution for a column of ones.
-    params = inverse @ b
-    ones = inverse @ a[:, 0]
-    rss = max(float(g.cross[-1, -1] - b @ params), 0.0)
-    return OlsFit(spec, target, g, params + shift * ones, inverse, rank, rss)
+    ones = right.T @ ((left.T @ r[:, 0]) / size)
+    rest = r[:, -1] - r[:, :-1] @ params
+    inverse = (right.T / size**2) @ right
+    return OlsFit(spec, target, Gram(spec.names, r.T @ r, shift), r, params + shift * ones, inverse, len(size), float(rest @ rest))
+
+
+def singular(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The singular value decomposition without what rounding alone can make."""
+    left, size, right = np.linalg.svd(a, full_matrices=False)
+    keep = size > size.max(initial=0.0) * np.finfo(float).eps * 16 * max(a.shape)
+    return left[:, keep], size[keep], right[keep]
 
 
 def ols_summary(fit: OlsFit, df: DataFrame) -> DataFrame:
@@ -194,20 +201,19 @@ def breusch_pagan(fit: OlsFit, df: DataFrame) -> DataFrame:
     return small_table(df.sparkSession, [(found.lm, fit.spec.width, found.breusch_pagan_p)], "lm double, df int, p double")
 
 
-def vif_values(fit: OlsFit, features: int = VIF_FEATURES) -> list[tuple[str, float | None]]:
-    """Variance inflation of the first encoded columns, the constant left out.
+def vif_values(fit: OlsFit) -> list[tuple[str, float | None]]:
+    """Variance inflation of all encoded columns, the constant left out, from one decomposition.
 
     Null where the other columns determine a column exactly.
     """
-    xx, out = fit.gram.xx, []
-    if len(xx) < 2:
+    x = fit.factor[:, 1:-1]
+    if x.shape[1] < 2:
         return []
-    for j in range(min(features, len(xx))):
-        rest = np.arange(len(xx)) != j
-        g, own = xx[rest, j], xx[j, j]
-        left = own - float(g @ pseudo_inverse(xx[np.ix_(rest, rest)])[0] @ g)
-        out.append((fit.spec.names[j], own / left if own > 0 and left > own * 1e-9 else None))
-    return out
+    _, size, right = singular(x)
+    free = 1 - (right**2).sum(axis=0)  # the share of a column that lies in what the columns cancel out to
+    inverse = ((right / size[:, None]) ** 2).sum(axis=0)
+    own = (x**2).sum(axis=0)
+    return [(n, float(o * i) if o > 0 and f < 1e-9 else None) for n, o, i, f in zip(fit.spec.names, own, inverse, free)]
 
 
 def vif(fit: OlsFit, df: DataFrame) -> DataFrame:
@@ -215,25 +221,33 @@ def vif(fit: OlsFit, df: DataFrame) -> DataFrame:
     return small_table(df.sparkSession, rows, "position int, feature string, vif double")
 
 
-def shapiro_residuals(fit: OlsFit, df: DataFrame, key: Sequence[str]) -> tuple[int, float | None, float | None]:
-    """Shapiro-Wilk on the first 5000 residuals in key order: a top-k, not a sort."""
-    first = ols_residuals(fit, df).orderBy(*[col(k) for k in key]).limit(SHAPIRO_ROWS)
-    values = [r[0] for r in first.select("residual").collect()]
-    found = shapiro_wilk(values)
-    return (len(values), *(found or (None, None)))
+def shapiro_residuals(fit: OlsFit, df: DataFrame) -> tuple[int, float | None, float | None]:
+    """Shapiro-Wilk of all residuals: the weights depend on ranks only, and ranks need no sort of the whole table.
 
+    The calibration of the p-value is published for up to 5000 values; beyond, it is carried on.
+    """
+    placed, n = ranked(ols_residuals(fit, df), "residual")
+    if placed is None:
+        return (n, 1.0, 1.0) if n > 2 else (n, None, None)
+    p = placed.withColumn("p", (F.col("rank") - 0.375) / F.lit(n + 0.25))
+    v, m = F.col("sample"), F.col("m")
+    ends = F.collect_list(F.when((F.col("rank") <= 2) | (F.col("rank") >= n - 1), F.struct("rank", "sample")))
+    found = add_normal_quantile(p, "p", "m").agg(F.sum(m * v), F.sum(m * m), F.avg(v), F.var_pop(v), ends).first()
+    extremes = [v for _, v in sorted(found[4])]
+    return (n, *(shapiro_from_sums(n, found[0], found[1], extremes, found[3] * n) or (None, None)))
 
-def shapiro(fit: OlsFit, df: DataFrame, key: Sequence[str]) -> DataFrame:
-    return small_table(df.sparkSession, [shapiro_residuals(fit, df, key)], "n int, w double, p double")
 
+def shapiro(fit: OlsFit, df: DataFrame) -> DataFrame:
+    return small_table(df.sparkSession, [shapiro_residuals(fit, df)], "n bigint, w double, p double")
 
-def diagnostics(fit: OlsFit, df: DataFrame, key: Sequence[str]) -> DataFrame:
+
+def diagnostics(fit: OlsFit, df: DataFrame) -> DataFrame:
     """One row with the figures the recommendations and flags look at."""
     found = influence(fit, df)
     vifs = [v for _, v in vif_values(fit) if v is not None]
     row = (
         max(vifs, default=0.0),
-        shapiro_residuals(fit, df, key)[2],
+        shapiro_residuals(fit, df)[2],
         found.breusch_pagan_p,
         found.threshold,
         found.influential,
@@ -265,8 +279,8 @@ def scale_location(fit: OlsFit, df: DataFrame) -> DataFrame:
     return ols_residuals(fit, df).select("fitted", F.sqrt(F.abs("residual")).alias("sqrt_abs_residual"))
 
 
-def qq_points(df: DataFrame, column: str) -> DataFrame:
-    """Every value, standardised, against the normal quantile at rank / (n + 1).
+def ranked(df: DataFrame, column: str) -> tuple[DataFrame | None, int]:
+    """Every value, standardised, with its rank, and their number; no table for fewer than two different values.
 
     Ranks over the whole table without one big sort: distinct values with their
     counts go to bins that follow their order, each bin is ranked on its own and
@@ -275,7 +289,7 @@ def qq_points(df: DataFrame, column: str) -> DataFrame:
     """
     s = column_moments(df, [column])[column]
     if s.count < 2 or not s.var_pop:
-        return small_table(df.sparkSession, [], "rank bigint, theoretical double, sample double")
+        return None, s.count
     v = (col(column) - F.lit(s.mean)) / F.lit(math.sqrt(s.var_pop))
     per_e = min(4096, max(8, s.count // 1_000_000))  # finer bins for more rows
     values = (
@@ -301,5 +315,13 @@ def qq_points(df: DataFrame, column: str) -> DataFrame:
             "sample", (F.col("below") + F.col("at")).alias("below"), F.least(F.lit(SPREAD), F.col("n") - F.col("at")).alias("n")
         )
     ranks = placed.select("sample", F.explode(F.sequence(F.col("below"), F.col("below") + F.col("n") - 1)).alias("r"))
-    at = ranks.select((F.col("r") + 1).alias("rank"), "sample", ((F.col("r") + 1) / F.lit(float(s.count + 1))).alias("p"))
+    return ranks.select((F.col("r") + 1).alias("rank"), "sample"), s.count
+
+
+def qq_points(df: DataFrame, column: str) -> DataFrame:
+    """Every value, standardised, against the normal quantile at rank / (n + 1)."""
+    placed, n = ranked(df, column)
+    if placed is None:
+        return small_table(df.sparkSession, [], "rank bigint, theoretical double, sample double")
+    at = placed.withColumn("p", F.col("rank") / F.lit(float(n + 1)))
     return add_normal_quantile(at, "p", "theoretical").select("rank", "theoretical", "sample")

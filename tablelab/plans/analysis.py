@@ -82,7 +82,7 @@ def analyse(
 
     rows = prepare_target(data, target, names, key)
     fit = ols.ols_fit(rows, target, names)
-    metrics = ols.diagnostics(fit, rows, key)
+    metrics = ols.diagnostics(fit, rows)
     compared = models.compare_models(data, target, names, key)
     return Results(
         proposal=proposal,

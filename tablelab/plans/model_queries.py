@@ -14,6 +14,12 @@ def _word(key: str, part: int = 0) -> str:
     return f"CAST('0x' || substr(md5(CAST({key} AS VARCHAR)), {8 * part + 1}, 8) AS BIGINT)"
 
 
+def _fold_sql(key: str, rows: str) -> str:
+    """The fold of a row among five: by rank of the second digest word, each range ending at a fifth of the rows, rounded up."""
+    rank = f"row_number() OVER (ORDER BY {_word(key, 1)})"
+    return f"CAST(list_sum([CAST({rank} > ceil((SELECT count(*) FROM {rows}) * i / 5.0) AS INTEGER) FOR i IN [1, 2, 3, 4]]) AS INTEGER)"
+
+
 # --- feature preparation ---------------------------------------------------------------
 
 
@@ -89,13 +95,17 @@ def _(spark, folder):
     return out.select("p_partkey", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
 
 
-@query("train_test_split", f"SELECT o_orderkey, {_word('o_orderkey')} % 10000 < 2200 AS is_test FROM orders")
+@query(
+    "train_test_split",
+    f"""SELECT o_orderkey, row_number() OVER (ORDER BY {_word('o_orderkey')}) <= (SELECT ceil(count(*) * 22 / 100.0) FROM orders) AS is_test
+    FROM orders""",
+)
 def _(spark, folder):
     train, test = features.train_test_split(table(spark, folder, "orders"), ["o_orderkey"])
     return train.select("o_orderkey", F.lit(False).alias("is_test")).unionAll(test.select("o_orderkey", F.lit(True)))
 
 
-@query("assign_folds", f"SELECT o_orderkey, CAST({_word('o_orderkey', 1)} % 5 AS INTEGER) AS fold FROM orders")
+@query("assign_folds", f"SELECT o_orderkey, {_fold_sql('o_orderkey', 'orders')} AS fold FROM orders")
 def _(spark, folder):
     return features.assign_folds(table(spark, folder, "orders"), ["o_orderkey"], 5).select("o_orderkey", "fold")
 
@@ -267,13 +277,13 @@ def _(spark, folder):
 @query("shapiro_wilk")
 def _(spark, folder):
     fit, rows = _one(spark, folder)
-    return ols.shapiro(fit, rows, ["event_id"])
+    return ols.shapiro(fit, rows)
 
 
 @query("diagnostics")
 def _(spark, folder):
     fit, rows = _one(spark, folder)
-    return ols.diagnostics(fit, rows, ["event_id"])
+    return ols.diagnostics(fit, rows)
 
 
 def _metrics(spark, folder):
@@ -329,7 +339,9 @@ def _(spark, folder):
 # --- candidate models ------------------------------------------------------------------
 
 # One feature, standardised on the training rows; y about its training mean. The error sum is floored at 1e-12 in AIC and BIC.
-SPLIT = f"""sp AS (SELECT p_partkey, p_partkey AS x, p_retailprice AS y, {_word('p_partkey')} % 10000 < 2200 AS test, {_word('p_partkey', 1)} % 5 AS fold FROM part),
+SPLIT = f"""pt AS (SELECT *, row_number() OVER (ORDER BY {_word('p_partkey')}) <= (SELECT ceil(count(*) * 22 / 100.0) FROM part) AS test FROM part),
+ tn AS (SELECT p_partkey, {_fold_sql('p_partkey', 'pt WHERE NOT test')} AS fold FROM pt WHERE NOT test),
+ sp AS (SELECT p_partkey, p_partkey AS x, p_retailprice AS y, test, fold FROM pt LEFT JOIN tn USING (p_partkey)),
  tm AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, CAST(count(*) AS DOUBLE) AS n FROM sp WHERE NOT test),
  z AS (SELECT p_partkey, (x - mx) / sx AS z, y, y - my AS yc, test, fold, n, my FROM sp, tm),
  tr AS (SELECT sum(z * z) AS zz, sum(z * yc) AS zy FROM z WHERE NOT test)"""
@@ -346,7 +358,7 @@ def _training(spark, folder, names=("p_partkey",)):
 
 
 def _folds(train, spec):
-    fold = features.digest_word(["p_partkey"], 1) % features.fold_count(spec.target.count)
+    fold = features.fold_number(train, ["p_partkey"], features.fold_count(spec.target.count))
     by_fold = gram.grams(train, spec, "p_retailprice", spec.target.mean, fold=fold)
     parts = list(by_fold.values())
     return by_fold, sum(parts[1:], parts[0])
@@ -475,7 +487,7 @@ def _(spark, folder):
     part = table(spark, folder, "part")
     compared = models.compare_models(part, PART_TARGET, ["p_partkey", "p_size"], PART_KEY)
     fit = ols.ols_fit(part, PART_TARGET, ["p_partkey", "p_size"])
-    metrics = ols.diagnostics(fit, part, PART_KEY)
+    metrics = ols.diagnostics(fit, part)
     return findings.insight_summary(part.count(), len(part.columns), PART_TARGET, compared.best(), metrics, eda.describe_numeric(part))
 
 

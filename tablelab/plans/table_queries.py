@@ -446,9 +446,8 @@ def _(spark, folder):
 
 @query(
     "normalize_name_expr",
-    r"""SELECT page_id, CASE WHEN s = '' THEN 'column' ELSE s END AS name FROM (SELECT page_id,
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '[\s\-/\\]+', '_', 'g'),
-      '[^\p{L}\p{N}_一-鿿]+', '', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g') AS s FROM pages)""",
+    r"""SELECT page_id, CASE WHEN s = '' THEN 'column' ELSE s END AS name FROM (SELECT page_id, array_to_string(regexp_extract_all(
+      regexp_replace(lower(url), '[^\p{L}\p{N}\s\-/\\_]', '', 'g'), '[\p{L}\p{N}]+'), '_') AS s FROM pages)""",
 )
 def _(spark, folder):
     return table(spark, folder, "pages").select("page_id", C.normalize_name_expr(F.col("url")).alias("name"))
@@ -457,7 +456,7 @@ def _(spark, folder):
 @query(
     "safe_filename",
     r"""SELECT page_id, CASE WHEN s = '' THEN 'uploaded_data.csv' ELSE s END AS name FROM (SELECT page_id,
-    regexp_replace(regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1), '[^\p{L}\p{N}_一-鿿.\-]+', '_', 'g') AS s FROM pages)""",
+    regexp_replace(regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1), '[^\p{L}\p{N}_.\-]+', '_', 'g') AS s FROM pages)""",
 )
 def _(spark, folder):
     return table(spark, folder, "pages").select("page_id", C.safe_filename(F.col("url")).alias("name"))

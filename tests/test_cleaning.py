@@ -9,24 +9,23 @@ from tablelab.operators import cleaning, profile
 
 
 @pytest.fixture(scope="module")
-def sales(spark):
-    rows = [(10.0, "East"), (12.0, "West"), (None, "East"), (12.0, "West")]
-    return spark.createDataFrame(rows, "` Sales Value ` double, region string")
+def trips(spark):
+    rows = [("t1", 3.5, "bus"), ("t2", None, "tram"), ("t3", 9.0, None), ("t3", 9.0, None), ("t4", 5.5, "bus"), ("t5", 4.0, "bus")]
+    return spark.createDataFrame(rows, "`Trip/ID` string, `Fare (EUR)` double, mode string")
 
 
-def test_proposal_and_cleaning_of_a_small_table(sales):
-    found = profile.cleaning_proposal(sales)
-    ids = {r["id"] for r in found.collect()}
-    assert {"normalize_columns", "drop_duplicates", "fill_missing:: Sales Value "} <= ids
-    out = cleaning.apply_cleaning(sales, ["normalize_columns", "fill_missing:: Sales Value "])
-    assert out.data.columns == ["sales_value", "region"]
-    assert out.data.filter("sales_value is null").count() == 0
-    assert out.log().count() == 2
-    assert sorted(r[0] for r in out.data.collect()) == [10.0, 12.0, 12.0, 12.0]
+def test_accepted_steps_change_the_rows_and_the_log(trips):
+    offered = [r["id"] for r in profile.cleaning_proposal(trips).collect()]
+    accepted = ["fill_missing::Fare (EUR)", "drop_duplicates", "fill_missing::mode", "normalize_columns"]
+    assert set(accepted) <= set(offered)
+    done = cleaning.apply_cleaning(trips, accepted)
+    got = {r["trip_id"]: (r["fare_eur"], r["mode"]) for r in done.data.collect()}
+    assert got == {"t1": (3.5, "bus"), "t2": (4.75, "tram"), "t3": (9.0, "bus"), "t4": (5.5, "bus"), "t5": (4.0, "bus")}
+    assert done.data.count() == 5 and done.log().count() == len(accepted)
 
 
-def test_roles(sales, spark):
-    assert [tuple(r) for r in profile.recommend_roles(sales).collect()] == [(" Sales Value ", "target")]
+def test_roles(trips, spark):
+    assert [tuple(r) for r in profile.recommend_roles(trips).collect()] == [("Fare (EUR)", "target")]
     df = spark.createDataFrame([(1, 2.0, True, "x")], "a int, b double, c boolean, d string")
     assert profile.default_roles(df) == ("b", ["a"])
     assert profile.default_roles(df.select("d")) == ("", [])
@@ -112,8 +111,8 @@ def test_cap_and_infinity(spark):
     assert [r[0] for r in cleaning.inf_to_null(odd).orderBy("k").collect()] == [None, None, None, 1.5]
 
 
-def test_unknown_suggestions_are_refused(sales):
-    for bad in ("fill_missing::nope", "explode", "fill_missing", "drop_duplicates::region"):
+def test_unknown_suggestions_are_refused(trips):
+    for bad in ("fill_missing::nope", "explode", "fill_missing", "drop_duplicates::mode"):
         with pytest.raises(ValueError):
-            cleaning.apply_cleaning(sales, [bad])
-    assert cleaning.resolve_columns(sales, [" Sales Value "], True) == ["sales_value"]
+            cleaning.apply_cleaning(trips, [bad])
+    assert cleaning.resolve_columns(trips, ["Fare (EUR)"], True) == ["fare_eur"]
