@@ -56,6 +56,12 @@ def as_double(name: str) -> Column:
     return F.nanvl(col(name).cast("double"), F.lit(None).cast("double"))
 
 
+def as_finite(name: str) -> Column:
+    """The column as a double, NaN and the infinities read as missing."""
+    value = as_double(name)
+    return F.when(F.abs(value) < float("inf"), value)
+
+
 def is_missing(df: DataFrame, name: str) -> Column:
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
         return col(name).isNull() | F.isnan(col(name))

@@ -12,21 +12,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tablelab.functions.columns import (
     NULL_LABEL,
     as_double,
+    as_finite,
     categorical_columns,
     col,
     numeric_columns,
     rounded,
 )
+from tablelab.operators.blocks import BLOCK, block_batch, merged
 from tablelab.operators.stats import column_moments, label_counts, numeric_summary
 from tablelab.session import small_table
 
-# How many columns and rows each result covers.
-HISTOGRAM_COLUMNS, HISTOGRAM_BINS = 8, 24
-CORRELATION_COLUMNS = 16
-SCATTER_COLUMNS = 4
-CATEGORY_COLUMNS, CATEGORY_ROWS = 4, 12
-DESCRIBED_CATEGORIES = 12
-KDE_GRID = 200
+# Bins of a histogram, rows of a top list, points of a density curve.
+HISTOGRAM_BINS, CATEGORY_ROWS, KDE_GRID = 24, 12, 200
 
 DESCRIBE = "column string, count bigint, mean double, std double, min double, median double, max double"
 
@@ -55,15 +52,17 @@ def histogram(df: DataFrame, columns: Sequence[str] | None = None, bins: int = H
     """Counts in equal bins over each column's range, empty bins included.
 
     A constant column has no range; it gets bins of one unit around its value.
+    Infinite values count as missing.
     """
-    columns = list(columns or numeric_columns(df)[:HISTOGRAM_COLUMNS])
+    columns = list(columns or numeric_columns(df))
+    df = df.select(*[as_finite(c).alias(c) for c in columns])
     ranges = []
     for c, s in column_moments(df, columns).items():
         if s.count:
             ranges.append((c, *((s.min, s.max) if s.max > s.min else (s.min - 0.5, s.max + 0.5))))
     if not ranges:
         return small_table(df.sparkSession, [], "column string, bin int, bin_low double, bin_high double, n bigint")
-    placed = df.select(*[_bin(as_double(c), low, high, bins).alias(f"{i}") for i, (c, low, high) in enumerate(ranges)])
+    placed = df.select(*[_bin(col(c), low, high, bins).alias(f"{i}") for i, (c, low, high) in enumerate(ranges)])
     counted = (
         placed.unpivot([], [col(f"{i}") for i in range(len(ranges))], "i", "bin")
         .filter("bin is not null")
@@ -100,29 +99,31 @@ def kde_curve(df: DataFrame, column: str, grid: int = KDE_GRID) -> DataFrame:
     Each batch of rows adds its kernel sums to the whole grid, so nothing but
     grid-sized sums is shuffled. A batch is sorted first and a grid point looks
     only at rows near enough to count, so work per row falls as the bandwidth does.
+    Equal values are one row with their number. Infinite values count as missing.
     """
+    df = df.select(as_finite(column).alias(column))
     s = column_moments(df, [column])[column]
     schema = "grid_no int, x double, density double"
     if s.count < 2 or not s.var_pop:
         return small_table(df.sparkSession, [], schema)
     width = s.std * s.count ** -0.2
     points = np.linspace(s.min, s.max, grid)
-    reach = 39 * width  # beyond it the kernel is zero in double precision
+    reach = 9 * width  # beyond it a kernel is below 3e-18, too small to change a sum that it is part of
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(grid)
         for batch in batches:
-            v = np.sort(batch.column(0).to_numpy(zero_copy_only=False))
+            v, n = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_counts=True)
             first = np.searchsorted(v, points - reach)
             last = np.searchsorted(v, points + reach, side="right")
             for g in range(grid):
                 near = (v[first[g] : last[g]] - points[g]) / width
-                total[g] += np.exp(-0.5 * near * near).sum()
+                total[g] += np.exp(-0.5 * near * near) @ n[first[g] : last[g]]
         yield pa.RecordBatch.from_pydict(
             {"grid_no": pa.array(range(grid), pa.int32()), "s": pa.array(total)}
         )
 
-    values = df.select(as_double(column).alias("v")).filter("v is not null")
+    values = df.select(col(column).alias("v")).filter("v is not null")
     scale = s.count * width * math.sqrt(2 * math.pi)
     step = (s.max - s.min) / (grid - 1)
     return (
@@ -140,53 +141,47 @@ def kde_curve(df: DataFrame, column: str, grid: int = KDE_GRID) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlations over jointly present rows, long form; undefined ones are 0.
 
-    A first pass finds means, constant columns and columns with gaps. The
-    second sums products of centred values; only pairs with gaps need sums of
-    their own. Neither pass shuffles more than one row per partition.
+    A first pass finds means and constant columns. The second multiplies blocks
+    of centred values, their squares and their presence with each other, for any
+    number of columns; a task sends on one block.
     """
-    columns = list(columns or numeric_columns(df)[:CORRELATION_COLUMNS])
+    columns = list(columns or numeric_columns(df))
     schema = "pos_a int, pos_b int, col_a string, col_b string, r double"
     if len(columns) < 2:
         return small_table(df.sparkSession, [], schema)
     found = column_moments(df, columns)
     live = [i for i, c in enumerate(columns) if found[c].count and found[c].max > found[c].min]
     centred = df.select(*[(as_double(columns[i]) - F.lit(found[columns[i]].mean)).alias(f"{i}") for i in live])
-
-    def sums(i: int, j: int) -> list[Column]:
-        a, b = col(f"{i}"), col(f"{j}")
-        if not (found[columns[i]].missing or found[columns[j]].missing):
-            return [F.sum(a * b)]
-        x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-        return [F.sum(a * b), F.count(a * b), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y)]
-
-    def correlation(i: int, j: int, ab: float, n=None, a=0.0, b=0.0, aa=None, bb=None) -> float:
-        if n is None:
-            n = found[columns[i]].count
-            aa, bb = n * found[columns[i]].var_pop, n * found[columns[j]].var_pop
-        if not n:
-            return 0.0
-        va, vb = aa - a * a / n, bb - b * b / n
-        # what is left of a constant after centring is rounding noise
-        if va <= aa * 1e-12 or vb <= bb * 1e-12:
-            return 0.0
-        r = (ab - a * b / n) / math.sqrt(va) / math.sqrt(vb)
-        return max(-1.0, min(1.0, r)) if math.isfinite(r) else 0.0
-
-    pairs = [(i, j) for p, i in enumerate(live) for j in live[p + 1 :]]
     r = {(i, j): 0.0 for i in range(len(columns)) for j in range(len(columns))}
     r.update({(i, i): 1.0 for i in live if found[columns[i]].count > 1})
-    if pairs:
-        wanted = {pair: sums(*pair) for pair in pairs}
-        got = iter(centred.agg(*[s for parts in wanted.values() for s in parts]).first())
-        for (i, j), parts in wanted.items():
-            r[i, j] = r[j, i] = correlation(i, j, *[next(got) for _ in parts])
+    if len(live) > 1:
+        size = len(live)
+
+        def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((4 * size, size))
+            for batch in batches:
+                v = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                there = ~np.isnan(v)
+                v, m = np.where(there, v, 0.0), there.astype(float)
+                total += np.vstack([v.T @ v, m.T @ m, v.T @ m, (v * v).T @ m])
+            yield block_batch({0: total})
+
+        n_cells = merged(centred.mapInArrow(products, BLOCK), size, np.add)[0].reshape(4, size, size)
+        ab, n, sums, squares = n_cells
+        with np.errstate(divide="ignore", invalid="ignore"):
+            va, vb = squares - sums * sums / n, squares.T - sums.T * sums.T / n
+            value = (ab - sums * sums.T / n) / np.sqrt(va) / np.sqrt(vb)
+            # what is left of a constant after centring is rounding noise
+            defined = (n > 0) & (va > squares * 1e-12) & (vb > squares.T * 1e-12) & np.isfinite(value)
+        value = np.where(defined, np.clip(value, -1, 1), 0.0)
+        r.update({(live[p], live[q]): float(value[p, q]) for p in range(size) for q in range(size) if p != q})
     rows = [(i, j, columns[i], columns[j], v) for (i, j), v in r.items()]
     return small_table(df.sparkSession, rows, schema).withColumn("r", rounded(F.col("r")))
 
 
 def scatter_points(df: DataFrame, target: str, features: Sequence[str] | None = None) -> DataFrame:
     """Every (feature, target) pair of values, long form."""
-    features = list(features or [c for c in numeric_columns(df) if c != target][:SCATTER_COLUMNS])
+    features = list(features or [c for c in numeric_columns(df) if c != target])
     cells = df.select(as_double(target).alias("y"), *[as_double(c).alias(f"{i}") for i, c in enumerate(features)])
     names = F.array(*[F.lit(c) for c in features])
     return (
@@ -200,7 +195,7 @@ def scatter_bins(
     df: DataFrame, target: str, features: Sequence[str] | None = None, bins: int = HISTOGRAM_BINS
 ) -> DataFrame:
     """The same points as counts on a grid: a bounded result for a table of any size."""
-    features = list(features or [c for c in numeric_columns(df) if c != target][:SCATTER_COLUMNS])
+    features = list(features or [c for c in numeric_columns(df) if c != target])
     found = column_moments(df, [*features, target])
 
     def place(c: str) -> Column:
@@ -223,12 +218,12 @@ def scatter_bins(
 
 
 def top_categories(df: DataFrame, columns: Sequence[str] | None = None, rows: int = CATEGORY_ROWS) -> DataFrame:
-    """The most frequent values of the first categorical columns, missing as a value of its own.
+    """The most frequent values of the categorical columns, missing as a value of its own.
 
     Equal counts are ordered by value. Spark keeps only ``rows`` values per
     partition before the ranking shuffle.
     """
-    columns = list(columns or categorical_columns(df)[:CATEGORY_COLUMNS])
+    columns = list(columns or categorical_columns(df))
     if not columns:
         return small_table(df.sparkSession, [], "column string, value string, n bigint, rank int")
     counts = label_counts(df, columns, NULL_LABEL)
@@ -239,7 +234,7 @@ def top_categories(df: DataFrame, columns: Sequence[str] | None = None, rows: in
 
 def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Distinct values (missing not counted), top value and its count per categorical column."""
-    columns = list(columns or categorical_columns(df)[:DESCRIBED_CATEGORIES])
+    columns = list(columns or categorical_columns(df))
     if not columns:
         return small_table(df.sparkSession, [], "column string, unique bigint, top string, top_count bigint")
     best = F.min(F.struct((-F.col("n")).alias("m"), "label")).alias("x")

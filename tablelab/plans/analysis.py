@@ -72,11 +72,12 @@ def analyse(
     cleaned = apply_cleaning(df, accepted)
     renamed = "normalize_columns" in accepted
     key = resolve_columns(df, key, renamed)
-    chosen: list[str] = []
+    chosen = resolve_columns(df, features, renamed)
     if target:
-        target, chosen = resolve_columns(df, [target], renamed)[0], resolve_columns(df, features, renamed)
+        target = resolve_columns(df, [target], renamed)[0]
     else:
-        target, chosen = default_roles(cleaned.data.drop(*key))
+        target, usual = default_roles(cleaned.data.drop(*key))
+        chosen = chosen or usual
     data = cleaned.data
     names = select_features(data.drop(*[k for k in key if k != target and k not in chosen]), target, chosen)
 
@@ -214,7 +215,14 @@ def run_analysis(
         write_table(results.comparison.table.drop("candidate"), f"{out}/model_comparison")
         write_table(results.coefficients.select("feature", "coefficient"), f"{out}/ols_coefficients")
         write_table(results.vif.select("feature", "vif"), f"{out}/vif_diagnostics")
+        roles = [(results.target, results.features, results.sample_count)]
         parts = {
+            "roles": small_table(spark, roles, "target string, features array<string>, samples bigint"),
+            "ols": results.ols,
+            "coefficients": results.coefficients,
+            "vif": results.vif,
+            "recommendations": results.recommendations,
+            "predictions": results.comparison.prediction_sample(results.best.first()["model"]),
             "cleaning_log": results.cleaned.log(),
             "numeric_stats": results.numeric_stats,
             "categorical_stats": results.categorical_stats,

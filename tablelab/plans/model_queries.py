@@ -17,7 +17,7 @@ def _word(key: str, part: int = 0) -> str:
 def _fold_sql(key: str, rows: str) -> str:
     """The fold of a row among five: by rank of the second digest word, each range ending at a fifth of the rows, rounded up."""
     rank = f"row_number() OVER (ORDER BY {_word(key, 1)})"
-    return f"CAST(list_sum([CAST({rank} > ceil((SELECT count(*) FROM {rows}) * i / 5.0) AS INTEGER) FOR i IN [1, 2, 3, 4]]) AS INTEGER)"
+    return " + ".join(f"CAST({rank} > ceil((SELECT count(*) FROM {rows}) * {i} / 5.0) AS INTEGER)" for i in range(1, 5))
 
 
 # --- feature preparation ---------------------------------------------------------------

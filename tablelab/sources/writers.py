@@ -25,4 +25,4 @@ def write_summary(parts: dict[str, DataFrame], path: str, mode: str = "errorifex
     for name, df in parts.items():
         rows = df.agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias(name)).withColumn("_", F.lit(0))
         out = rows if out is None else out.join(rows, "_")
-    out.drop("_").coalesce(1).write.mode(mode).json(path)
+    out.drop("_").coalesce(1).write.mode(mode).option("ignoreNullFields", False).json(path)

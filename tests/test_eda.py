@@ -75,3 +75,23 @@ def test_few_columns(spark):
     assert eda.correlation_matrix(df).count() == 0
     assert eda.describe_numeric(df).count() == 0
     assert eda.histogram(df).count() == 0
+
+
+def test_all_columns_by_default(spark):
+    rng = np.random.default_rng(3)
+    data = pd.DataFrame(rng.normal(size=(80, 20)), columns=[f"c{i}" for i in range(20)])
+    data = data.mask(rng.random(data.shape) < 0.1)
+    df = spark.createDataFrame(data)
+    got = eda.correlation_matrix(df).toPandas().pivot(index="pos_a", columns="pos_b", values="r").to_numpy()
+    assert np.allclose(got, data.corr(), atol=1e-6)
+    assert eda.histogram(df).select("column").distinct().count() == 20
+    assert eda.scatter_bins(df, "c0").select("feature").distinct().count() == 19
+    texts = df.select(*[df[c].cast("string") for c in df.columns])
+    assert eda.describe_categorical(texts).count() == 20 and eda.top_categories(texts).select("column").distinct().count() == 20
+
+
+def test_infinite_values_count_as_missing(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(50)] + [(float("inf"),), (float("-inf"),), (None,)], "x double")
+    plain = df.filter("abs(x) < 100")
+    assert sorted(eda.histogram(df).collect()) == sorted(eda.histogram(plain).collect())
+    assert sorted(eda.kde_curve(df, "x").collect()) == sorted(eda.kde_curve(plain, "x").collect())

@@ -37,6 +37,31 @@ def test_json_layouts(spark, tmp_path):
     assert read_table(spark, str(tmp_path / "nested.json")).columns == ["a.b", "a.c.d"]
 
 
+def test_missing_texts_and_types(spark, tmp_path):
+    path = tmp_path / "gaps.csv"
+    path.write_text("n,w,t,b,d,a,a,A\n1,NA,x,true,2024-01-02,1,2,3\nN/A,2.5,null,,nan,4,5,6\n3,nan,z,False,2024-02-03,7,8,9\n")
+    df = read_table(spark, str(path))
+    assert dict(df.dtypes) == {"n": "int", "w": "double", "t": "string", "b": "boolean", "d": "date", "a": "int", "a.1": "int", "A.2": "int"}
+    rows = [tuple(r)[:5] for r in df.collect()]
+    assert rows[1] == (None, 2.5, None, None, None) and rows[0][1] is None and rows[2][:3] == (3, None, "z")
+
+
+def test_broken_records_are_errors(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("a,b\n1,2\n3,4,5\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_table(spark, str(tmp_path / "long.csv")).collect()
+    (tmp_path / "broken.json").write_text('{"a": 1}\n{"a": \n')
+    with pytest.raises(ValueError):
+        read_table(spark, str(tmp_path / "broken.json"))
+
+
+def test_json_keeps_the_order_of_its_columns(spark, tmp_path):
+    (tmp_path / "lines.json").write_text('{"z": 1, "a": 2, "m": 3}\n{"b": 4}\n')
+    (tmp_path / "array.json").write_text('[{"z": 1, "a": 2, "m": 3},\n {"b": 4}]')
+    for name in ("lines", "array"):
+        assert read_table(spark, str(tmp_path / f"{name}.json")).columns == ["z", "a", "m", "b"]
+
+
 def test_formats(spark, tmp_path):
     with pytest.raises(ValueError, match="unsupported"):
         read_table(spark, str(tmp_path / "x.xlsx"))
