@@ -257,14 +257,18 @@ class FeatureSpec:
 
         A rare level scores as "infrequent", a new one as nothing. The levels
         come as a joined table, never as a driver-side list, for there may be
-        any number of them.
+        any number of them. Kept levels, the frequent ones, are known: only other
+        rows are looked up, and kept ones spread over all tasks.
         """
         for f in self.category:
             if f.capped:
-                levels = fitted_on.select(f.text().alias("_level")).distinct()
-                flagged = levels.withColumn(f.seen, F.lit(True))
-                df = df.join(flagged, f.text() == F.col("_level"), "left").drop("_level")
-                df = df.withColumn(f.seen, F.coalesce(col(f.seen), F.lit(False)))
+                kept = f.text().isin(*f.levels)
+                levels = fitted_on.filter(~kept).select(f.text().alias("_level")).distinct()
+                flagged = levels.withColumn(f.seen, F.lit(True)).withColumn("_spread", F.lit(0))
+                spread = F.when(kept, F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(1023)) + 1).otherwise(0)
+                on = (f.text() == F.col("_level")) & (spread == F.col("_spread"))
+                df = df.withColumn("_kept", kept).join(flagged, on, "left").drop("_level", "_spread")
+                df = df.withColumn(f.seen, F.coalesce(col(f.seen), F.col("_kept"))).drop("_kept")
         return df
 
 

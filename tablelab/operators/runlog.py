@@ -11,7 +11,7 @@ from tablelab.session import small_table
 
 # States of a run, the changes that are allowed, and the progress of each stage.
 ACTIVE = ("queued", "running")
-DONE = "completed"
+DONE, DELETED = "completed", "deleted"
 ALLOWED = (
     ("awaiting_confirmation", "queued"),
     ("queued", "queued"),
@@ -29,9 +29,9 @@ TIME_PARTS = 1024
 RUN_LOG = "id string, status string, progress int, stage string, payload string, updated_at timestamp"
 
 
-def latest_state(log: DataFrame, id: str, at: Sequence[str]) -> DataFrame:
-    """The newest row of every id; rows are compared before the shuffle, so a busy id costs one row per task."""
-    rest = [c for c in log.columns if c != id]
+def latest_state(log: DataFrame, id: str, at: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """The newest row of every id, or only its ``columns``; rows are compared before the shuffle, so a busy id costs one row per task."""
+    rest = [c for c in (log.columns if columns is None else columns) if c != id]
     newest = F.max_by(F.struct(*[col(c) for c in rest]), F.struct(*[col(c) for c in at]))
     return log.groupBy(col(id)).agg(newest.alias("_s")).select(col(id), "_s.*")
 
@@ -56,7 +56,7 @@ def drop_runs(log: DataFrame, deletions: DataFrame, id: str, status: str | None
     if not wanted.join(log.select(col(id)).distinct(), id, "left_anti").isEmpty():
         raise KeyError("deletion of an unknown run")
     if status is not None:
-        states = latest_state(log, id, at)
+        states = latest_state(log, id, at, [status])
         if not states.filter(col(status).isin(*ACTIVE)).join(wanted, id, "left_semi").isEmpty():
             raise ValueError("deletion of a run that is queued or running")
     return log.join(wanted, id, "left_anti")
@@ -136,4 +136,12 @@ class RunLog:
         return self.spark.read.schema(RUN_LOG).parquet(self.path)
 
     def states(self) -> DataFrame:
-        return latest_state(self.read(), "id", ["updated_at", "progress"])
+        """The newest state of each run that is not deleted, and when it was created."""
+        log = self.read()
+        newest = latest_state(log, "id", ["updated_at", "progress"]).filter(col("status") != DELETED)
+        return newest.join(log.groupBy("id").agg(F.min("updated_at").alias("created_at")), "id")
+
+    def delete(self, id: str) -> None:
+        """Mark a run as deleted, for good. Unknown and active runs are refused, as in :func:`drop_runs`."""
+        drop_runs(self.states(), small_table(self.spark, [(id,)], "id string"), "id", "status", ["updated_at"])
+        self.append(id, DELETED, 100, DELETED)

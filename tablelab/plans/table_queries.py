@@ -533,7 +533,7 @@ def _(spark, folder):
     count(*) FILTER (event_type = 'purchase') AS completed FROM latest""",
 )
 def _(spark, folder):
-    states = runlog.latest_state(table(spark, folder, "events"), "user_id", ["ts", "event_id"])
+    states = runlog.latest_state(table(spark, folder, "events"), "user_id", ["ts", "event_id"], ["event_type"])
     return runlog.status_counts(states, "event_type", ["view", "click"], "purchase")
 
 

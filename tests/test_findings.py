@@ -79,6 +79,12 @@ def test_run_log(spark, tmp_path):
     log.append("b", "queued", 8, "queued")
     with pytest.raises(ValueError):
         runlog.drop_runs(log.read(), small_table(spark, [("b",)], "id string"), "id", "status", at)
+    with pytest.raises(ValueError):
+        log.delete("b")
+    log.delete("a")
+    assert [(r["id"], r["created_at"] <= r["updated_at"]) for r in log.states().collect()] == [("b", True)]
+    with pytest.raises(KeyError):
+        log.delete("a")
 
 
 def test_transitions_across_cuts(spark):
