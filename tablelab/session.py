@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 _local_folders: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def local_session(cores: str | int = "*", app: str = "tablelab") -> SparkSession:
@@ -53,10 +54,22 @@ def materialise(df: DataFrame, label: str, split_by: Sequence[str] = ()) -> Data
     filter on them reads only its share.
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/tablelab/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.partitionBy(*split_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables that :func:`materialise` wrote for this application.
+
+    Write or collect results first: what has not been computed from these tables is lost.
+    """
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(hadoop).delete(folder, True)
+
+
 def small_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
     """A few result rows as a local relation, without tasks of its own."""
     schema = T.StructType.fromDDL(ddl)

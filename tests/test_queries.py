@@ -24,8 +24,6 @@ def test_every_sql_has_its_query():
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 @pytest.mark.parametrize("name", list(entry.queries()))
 def test_query(spark, con, name):
-    if name == "report_table":
-        pytest.skip("covered by test_sources.test_whole_analysis")
     got = entry.queries()[name](spark, FOLDER).toPandas()
     if name in entry.oracle_sql():
         assert compare(got, con.execute(entry.oracle_sql()[name]).df()) == ""

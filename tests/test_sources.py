@@ -1,4 +1,5 @@
 import datetime
+import os
 
 import pytest
 
@@ -106,3 +107,14 @@ def test_whole_analysis(spark, tmp_path):
         run_analysis(spark, str(tmp_path / "in.csv"), str(tmp_path / "o2"), ["Row Id"], target="nope", log=log, run="r2")
     assert log.states().filter("id = 'r2'").first()["status"] == "failed"
     assert datetime.date(2024, 1, 1) in {r["when"] for r in cleaned.collect()}
+
+
+def test_release_deletes_intermediate_tables(spark, monkeypatch, tmp_path):
+    from tablelab import session
+
+    monkeypatch.setattr(session, "_written", {})
+    df = session.materialise(spark.range(3), "kept")
+    folder = session._written[spark.sparkContext.applicationId][0]
+    assert df.count() == 3 and os.path.isdir(folder)
+    session.release(spark)
+    assert not os.path.exists(folder)
