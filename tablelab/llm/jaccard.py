@@ -26,7 +26,7 @@ bound for the tokens that two sets do not share (bitmap filter); only pairs that
 are needed to join what may link are handed on, at most one for each member. A
 bucket beyond ``BUCKET`` members hands on all its members as they are. This gives
 clusters outside of which no link is possible. The whole texts of a cluster are
-then compared exactly, two blocks of ``BLOCK`` sets at a time, and again only the
+then compared exactly, two blocks of about ``BLOCK`` tokens at a time, and again only the
 links that join components are returned: components are exact, and no step
 returns all pairs of a group. Equal sets count as one from the start.
 
@@ -57,8 +57,8 @@ SLOTS_LOG = 18
 SALTS = 8
 #: Levels of frequency (doublings of 32 documents beyond what a slot holds on average) from which combinations are used.
 PAIRS_FROM, TRIPLES_FROM = 4, 9
-#: Parts of a bucket of frequent tokens, members up to which a bucket is compared as it is, sets of a block, bits of a parity map in buckets and in blocks.
-PARTS, BUCKET, BLOCK, MAP_BITS, EXACT_BITS = 64, 2048, 512, 512, 4096
+#: Parts of a bucket of frequent tokens, members up to which a bucket is compared as it is, tokens of a block of sets, bits of a parity map in buckets (more for large sets) and in blocks.
+PARTS, BUCKET, BLOCK, MAP_BITS, EXACT_BITS = 64, 2048, 2_000_000, 512, 4096
 
 
 def _sets(batch: pa.RecordBatch, column: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +67,7 @@ def _sets(batch: pa.RecordBatch, column: int, k: int) -> tuple[np.ndarray, np.nd
     return kernels.distinct(*kernels.shingles(hashes, rows, k))
 
 
-def _scan(docs: DataFrame, k: int) -> DataFrame:
+def _scan(docs: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
     """A row a document (id, text hash, set size, set key, in ``slots`` its parity map), and the task's token counts by slot."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +78,11 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
                 slots += np.bincount(values >> np.uint64(64 - SLOTS_LOG), minlength=len(slots))
                 n = np.diff(rows)
                 none = pa.nulls(len(n), pa.int32())
-                maps = pa.array([m.tobytes() for m in parity(values, rows)], pa.binary())
+                maps = [m.tobytes() for m in parity(values, rows)]
+                wanted = MAP_BITS * 2 ** np.ceil(np.log2(np.maximum(3 * allowed(n, n, share) / MAP_BITS, 1))).astype(np.int64)
+                for i in np.flatnonzero(wanted > MAP_BITS):  # large sets differ by more than a small map can show
+                    maps[i] = parity(values[rows[i] : rows[i + 1]], np.array([0, n[i]]), int(wanted[i]))[0].tobytes()
+                maps = pa.array(maps, pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(n), pa.array(kernels.set_keys(values, rows).view(np.int64), mask=n == 0), none, maps],
                     names=names,
@@ -228,26 +232,42 @@ def _joined(n: np.ndarray, bits: np.ndarray, share: tuple[int, int], exact=None)
     return out
 
 
+def _folded(maps: list[bytes], words: int) -> np.ndarray:
+    """Parity maps as rows of 64-bit words; larger ones folded, which gives the map of that size."""
+    if all(len(m) == 8 * words for m in maps):
+        return np.frombuffer(b"".join(maps), np.uint64).reshape(-1, words)
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(m, np.uint64).reshape(-1, words), axis=0) for m in maps])
+
+
 def _near(members: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Pairs ``a``, ``b`` that join what can link in each bucket: parity maps bound the tokens that two sets do not share from below."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sig, key, n, bits in kernels.whole_groups(batches, 1):
-            key, n = key.to_numpy(zero_copy_only=False), n.to_numpy(zero_copy_only=False).astype(np.int64)
-            bits = np.frombuffer(b"".join(bits.to_pylist()), np.uint64).reshape(len(key), -1)
-            sig = sig.to_numpy(zero_copy_only=False)
+        for sig, key, n, maps in kernels.whole_groups(batches, 1):
+            sig, key = sig.to_numpy(zero_copy_only=False), key.to_numpy(zero_copy_only=False)
+            n, maps = n.to_numpy(zero_copy_only=False).astype(np.int64), maps.to_pylist()
             begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            size = np.diff(begin, append=len(sig))
-            first = np.repeat(begin, size)
-            fits = np.bitwise_count(bits ^ bits[first]).sum(axis=1, dtype=np.int64) <= allowed(n, n[first], share)
-            star = fits & (np.arange(len(sig)) != first)
-            out = [(key[star], key[first[star]])]
-            for a, m in zip(begin, size):
-                if m > 2 and not fits[a : a + m].all():
-                    pairs = _joined(n[a : a + m], bits[a : a + m], share)
-                    out.append((key[[a + i for i, _ in pairs]], key[[a + j for _, j in pairs]]) if pairs else (key[:0], key[:0]))
+            words = np.minimum.reduceat([len(m) // 8 for m in maps], begin)
+            owner = np.repeat(words, np.diff(begin, append=len(sig)))
+            out = []
+            for width in np.unique(words):  # buckets by the smallest map in them, to which the others are folded
+                of = np.flatnonzero(owner == width)
+                out.append(joined(sig[of], key[of], n[of], _folded([maps[i] for i in of], int(width))))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["a", "b"])
 
+    def joined(sig: np.ndarray, key: np.ndarray, n: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        size = np.diff(begin, append=len(sig))
+        first = np.repeat(begin, size)
+        fits = np.bitwise_count(bits ^ bits[first]).sum(axis=1, dtype=np.int64) <= allowed(n, n[first], share)
+        star = fits & (np.arange(len(sig)) != first)
+        out = [(key[star], key[first[star]])]
+        for a, m in zip(begin, size):
+            if m > 2 and not fits[a : a + m].all():
+                pairs = np.array(_joined(n[a : a + m], bits[a : a + m], share), np.int64).reshape(-1, 2) + a
+                out.append((key[pairs[:, 0]], key[pairs[:, 1]]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
     rows = members.repartition("sig").sortWithinPartitions("sig")
     return rows.select("sig", "set", "n", "bits").mapInArrow(compare, "a long, b long")
 
@@ -278,7 +298,7 @@ def _linked(members: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
             pairs = _joined(np.diff(rows), parity(np.concatenate(sets), rows, EXACT_BITS), share, exact)
             yield pa.RecordBatch.from_arrays([pa.array([keys[pair[t]] for pair in pairs], pa.int64()) for t in (0, 1)], names=["a", "b"])
 
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    sizes = members.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
     rows = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("set"), "blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))
@@ -302,7 +322,7 @@ def jaccard_components(
     Equal sets share ``set_key``; ``component_key`` and ``set_key`` are null without words; ``text_key`` is ``xxhash64(text)``.
     """
     docs = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).cast("string").alias("text"))
-    scanned = materialise(_scan(docs, k), "sets")
+    scanned = materialise(_scan(docs, k, share), "sets")
     owners = scanned.filter("salt IS NULL")
     signed = _signed(docs, _levels(scanned), k, share)
     part = F.when(F.col("combined"), F.xxhash64("sig", F.pmod("set", F.lit(PARTS)))).otherwise(F.col("sig"))
@@ -318,9 +338,10 @@ def jaccard_components(
     near = near.unionAll(large.select("a", "pivot")).unionAll(large.select("b", "pivot"))
     clusters = materialise(components(near), "clusters").withColumnRenamed("id", "set")
 
-    one = owners.join(clusters, "set").groupBy("set", "root").agg(F.min(F.struct("id", "h")).alias("o")).select("set", "root", "o.id", "o.h")
+    one = owners.join(clusters, "set").groupBy("set", "root", "n").agg(F.min(F.struct("id", "h")).alias("o"))
+    one = one.select("set", "root", "n", "o.id", "o.h")
     where = F.col("d.id").eqNullSafe(F.col("o.id")) & (F.col("d.h") == F.col("o.h"))
-    texts = materialise(_squeezed(docs).alias("d").join(one.alias("o"), where).select("set", "root", "text"), "texts")
+    texts = materialise(_squeezed(docs).alias("d").join(one.alias("o"), where).select("set", "root", "n", "text"), "texts")
     roots = components(_linked(texts, k, share))
 
     names = owners.join(roots.withColumnRenamed("id", "set"), "set", "left")
