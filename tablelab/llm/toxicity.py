@@ -172,6 +172,19 @@ def _slot_counts(sample: DataFrame, categories: Sequence[str]) -> np.ndarray:
     return out
 
 
+def _kept_slots(sample: DataFrame, names: Sequence[str]) -> np.ndarray:
+    """Per category the slots with the largest chi-square, all together. The counts of all slots live in here only."""
+    counts = _slot_counts(sample, names)
+    *positives, rows = sample.agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in names], F.count("*")).first()
+    here, kept = counts[-1], set()
+    for with_pos, pos in zip(counts, positives):
+        expected = here * (pos / max(rows, 1))
+        chi = np.where(here > 1, (with_pos - expected) ** 2 / np.maximum(expected * (1 - here / max(rows, 1)), 1e-9), 0)
+        top = np.argsort(-chi, kind="stable")[:SLOTS]
+        kept |= set(top[chi[top] > 30].tolist())  # by chance: one slot in 20 million
+    return np.array(sorted(kept), np.int64)
+
+
 def fit_chain(
     labelled: DataFrame, categories: Sequence[str], id: str = "doc_id", text: str = "text", folds: int = FOLDS
 ) -> Chain:
@@ -182,17 +195,7 @@ def fit_chain(
         F.xxhash64(F.col(id).cast("string"), F.col(text)).alias("h"),
     ).na.drop(subset=names)
     sample = materialise(sample, "labelled")
-    counts = _slot_counts(sample, names)
-    sizes = [sample.agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in names], F.count("*")).first()][0]
-    rows_all = sizes[len(names)]
-    kept = set()
-    for i in range(len(names)):
-        pos, here, with_pos = sizes[i], counts[-1], counts[i]
-        expected = here * (pos / max(rows_all, 1))
-        chi = np.where(here > 1, (with_pos - expected) ** 2 / np.maximum(expected * (1 - here / max(rows_all, 1)), 1e-9), 0)
-        top = np.argsort(-chi, kind="stable")[:SLOTS]
-        kept |= set(top[chi[top] > 30].tolist())  # by chance: one slot in 20 million
-    chain = Chain(categories, np.array(sorted(kept), np.int64))
+    chain = Chain(categories, _kept_slots(sample, names))
     shared = labelled.sparkSession.sparkContext.broadcast(chain)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,13 +207,14 @@ def fit_chain(
                 yield pa.RecordBatch.from_arrays([held, *part.columns[1:]], names=["held", *names, "h"])
 
     schema = ", ".join(["held array<int>", *[f"{n} int" for n in names], "h long"])
-    data = sorted(sample.mapInArrow(features, schema).toPandas().itertuples(index=False), key=lambda r: (r.h, tuple(r.held)))
-    rows = np.repeat(np.arange(len(data)), [len(r.held) for r in data]).astype(np.int64)
-    columns = np.concatenate([np.asarray(r.held, np.int64) for r in data]) if data else np.empty(0, np.int64)
-    fold = np.array([r.h for r in data], np.int64) % folds  # copies share a hash, and so a fold
+    data = sample.mapInArrow(features, schema).toPandas().sort_values("h", kind="stable")  # rows that share a hash are copies
+    rows = np.repeat(np.arange(len(data)), data["held"].map(len).to_numpy(np.int64))
+    columns = np.concatenate(data["held"].tolist()).astype(np.int64) if len(data) else np.empty(0, np.int64)
+    data = data.drop(columns="held")
+    fold = data["h"].to_numpy(np.int64) % folds  # copies share a hash, and so a fold
     extra = np.ones((len(data), 1))
     for n in names:
-        y = np.array([getattr(r, n) for r in data], float)
+        y = data[n].to_numpy(float)
         margin = np.zeros(len(data))
         for f in range(folds):
             to, of = fold != f, fold == f
