@@ -2,13 +2,15 @@
 
 One pattern finds e-mail addresses, phone numbers, payment cards (issuer and
 check digit are tested), IPv4 addresses, social security numbers, secrets
-(labelled ones and access keys) and names after a title. A match is cut into
+(labelled ones and access keys) and names after a title. Mailboxes and secrets
+hold a letter or digit: ``password: ________`` and ``...@x.com`` are left. A match is cut into
 units: an address into mailbox and domain, a name into given name and surname.
 Every unit has a normal form, and a surrogate for it that depends on a key, its
 kind, the normal form and a number of attempts:
 
 - letters and digits are moved within their alphabet (case and script stay, hex
-  stays hex), so that length and format stay;
+  stays hex), so that length and format stay; scripts without an alphabet here
+  are moved within their own code points;
 - cards keep their issuer and get a valid check digit, octets stay octets;
 - names come from lists by gender and script, and by moved letters after a few
   attempts.
@@ -16,7 +18,9 @@ kind, the normal form and a number of attempts:
 One normal form has one surrogate in the whole corpus, whatever the spelling in
 a text (coreference). The collision check keeps units apart: a surrogate that
 another unit of the kind has, or that is itself a unit found in the corpus, is
-tried again, until none is left. Each unit's text is then written in the format
+tried again, until none is left; after ``GROW`` attempts in the unit's own format
+each further one makes the surrogate a character longer (an IPv4 address an
+octet), so that a format without free texts ends no run. Each unit's text is then written in the format
 of its place (separators, capitals).
 
 Defined cases: null texts stay null; texts without entities are returned as they
@@ -27,6 +31,8 @@ names; an empty table gives an empty result.
 from __future__ import annotations
 
 import functools
+import itertools
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -48,7 +54,9 @@ ALPHABETS = (
     "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïñòóôõöøùúûüýß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ",
     "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 )
-NAME_ATTEMPTS, ATTEMPTS = 4, 64
+NAME_ATTEMPTS, GROW, ATTEMPTS = 4, 8, 64
+#: Runs of this many letters are moved by code point, without being written out.
+LONG_RUN = 256
 
 _LABEL = r"(?i:\b(?:token|password|passwd|pwd|secret|api[_-]?key))\s{0,3}[=:]\s{0,3}[\"']?"
 _TITLE = r"\b(?:" + "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True)) + r")\.? "
@@ -56,8 +64,8 @@ _NAME = r"\p{Lu}[\p{L}'-]+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERN = "|".join(
     [
-        r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-        _LABEL + r"[A-Za-z0-9_+/-]{8,}",
+        r"(?<![\p{L}\p{N}._%+-])(?=[._%+-]*+[\p{L}\p{N}])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+        _LABEL + r"(?=[_+/-]*+[A-Za-z0-9])[A-Za-z0-9_+/-]{8,}",
         r"\bAKIA[A-Z0-9]{16}\b",
         r"(?<![\p{L}\p{N}])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\p{N})",
         r"(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\p{N})",
@@ -141,12 +149,46 @@ def _units(match: Column) -> Column:
     )
 
 
+@functools.cache
+def _other_letters() -> tuple[str, list[tuple[int, int]]]:
+    """Letters and digits that no alphabet lists: the small groups of a script as words of one text, and long runs as first code point and size."""
+    listed, groups = set("".join(ALPHABETS)), []
+    for code in range(128, 0x110000):
+        c = chr(code)
+        group = unicodedata.category(c)
+        if group[0] in "LN" and c not in listed:
+            groups.append((unicodedata.name(c, "").split(" ")[0], group, c.upper() != c == c.upper().lower(), code))
+    words, runs = {}, []
+    for _, run in itertools.groupby(enumerate(groups), lambda x: (x[1][:3], x[1][3] - x[0])):
+        run = [g for _, g in run]
+        if len(run) >= LONG_RUN:
+            runs.append((run[0][3], len(run)))
+            continue
+        for *group, code in run:
+            words.setdefault((*group, code >> 8), []).append(chr(code))
+    return " ".join("".join(w) for w in words.values() if len(w) > 1), runs
+
+
+def _moved_elsewhere(c: Column, by: Column) -> Column:
+    """A letter or digit that no alphabet lists, moved within its script."""
+    words, runs = _other_letters()
+    at, code = F.instr(F.lit(words), c), F.ascii(c).cast("long")
+    head = F.substring_index(F.substr(F.lit(words), F.lit(1), at - 1), " ", -1)
+    word = F.concat(head, F.substring_index(F.substr(F.lit(words), at), " ", 1))
+    in_word = F.substr(word, (F.pmod(F.length(head) + by, F.length(word)) + 1).cast("int"), F.lit(1))
+    moved = F.lit(None).cast("long")
+    for first, size in runs:  # the noise has 256 steps: times a prime, for runs are longer
+        moved = F.when(code.between(first, first + size - 1), (code - first + by * 79) % size + first).otherwise(moved)
+    in_run = F.decode(F.unhex(F.lpad(F.hex(moved), 8, "0")), "UTF-32")
+    return F.when(at > 0, in_word).otherwise(F.coalesce(in_run, c))
+
+
 def _moved(text: Column, noise: Column, hexadecimal: Column) -> Column:
     """Each letter and digit moved within its alphabet by what the noise holds at its place."""
 
     def move(c: Column, i: Column) -> Column:
         by = F.conv(F.substr(noise, (i % 31) * 2 + 1, F.lit(2)), 16, 10).cast("int") + F.floor(i / 31)
-        out = c
+        out = F.when(c > "\x7f", _moved_elsewhere(c, by)).otherwise(c)
         for letters in ALPHABETS:
             at = F.instr(F.lit(letters), c)
             size = F.lit(len(letters)) if letters[0] not in "aA" else F.when(hexadecimal & (at <= 6), 6).otherwise(len(letters))
@@ -156,35 +198,50 @@ def _moved(text: Column, noise: Column, hexadecimal: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), move), "")
 
 
+def _grown(kind: Column, norm: Column, attempt: Column) -> Column:
+    """The normal form whose letters and digits are moved: longer by a character an attempt from ``GROW`` on."""
+    by = F.greatest(attempt - GROW + 1, F.lit(0))
+    letter = F.when(kind.endswith(":cyrillic"), "а").when(kind.endswith(":greek"), "α").otherwise("a")
+    label = F.substring_index(norm, ".", 1)
+    return (
+        F.when(kind == "domain", F.concat(label, F.repeat(F.lit("0"), by), F.substr(norm, F.length(label) + 1)))
+        .when(kind == "mailbox", F.concat(F.substring_index(norm, "@", 1), F.repeat(F.lit("0"), by)))
+        .when(kind == "ip", F.concat(norm, F.repeat(F.lit(".0"), by)))
+        .when(kind.rlike("^(given|surname)"), F.concat(norm, F.repeat(letter, by)))
+        .otherwise(F.concat(norm, F.repeat(F.lit("0"), by)))
+    )
+
+
 def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     """The keyed surrogate of a normal form: also a normal form."""
     noise = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 256)
     number = F.conv(F.substr(noise, F.lit(50), F.lit(8)), 16, 10).cast("long")
+    grown = _grown(kind, norm, attempt)
     hexadecimal = norm.rlike("^([0-9a-f]+|[0-9A-F]+)$") & (kind == "secret")
-    moved = _moved(norm, noise, hexadecimal)
-    first = F.substr(norm, F.lit(1), F.lit(1)).cast("int")
-    nonzero = F.concat(F.when(first > 0, (first - 1 + number) % 9 + 1).otherwise(0).cast("string"), F.substr(moved, F.lit(2), F.length(moved)))
-    body = F.concat(F.substr(norm, F.lit(1), F.lit(4)), F.substr(moved, F.lit(5), F.length(moved) - 5))
-    card = F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
+    first = F.substr(grown, F.lit(1), F.lit(1)).cast("int")
 
     def octet(o: Column, i: Column) -> Column:
         by = F.conv(F.substr(noise, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
         return F.when(i == 0, F.pmod(o.cast("int") - 1 + by, F.lit(223)) + 1).otherwise((o.cast("int") + by) % 256).cast("string")
 
-    address = F.array_join(F.transform(F.split(norm, r"\."), octet), ".")
-    mailbox = F.substring_index(moved, "@", 1)
-    labels = F.split(norm, r"\.")
-    domain = F.array_join(F.concat(F.slice(F.split(moved, r"\."), F.lit(1), F.size(labels) - 1), F.slice(labels, -1, 1)), ".")
-    key_id = F.concat(F.lit("AKIA"), F.substr(moved, F.lit(5), F.length(moved)))
-    out = (
-        F.when(kind.isin("phone", "ssn"), nonzero)
-        .when(kind == "card", card)
-        .when(kind == "ip", address)
-        .when(kind == "mailbox", mailbox)
-        .when(kind == "domain", domain)
-        .when((kind == "secret") & norm.startswith("AKIA"), key_id)
-        .otherwise(moved)
-    )
+    def formed(moved: Column) -> Column:
+        nonzero = F.concat(F.when(first > 0, (first - 1 + number) % 9 + 1).otherwise(0).cast("string"), F.substr(moved, F.lit(2), F.length(moved)))
+        body = F.concat(F.substr(grown, F.lit(1), F.lit(4)), F.substr(moved, F.lit(5), F.length(moved) - 5))
+        card = F.concat(body, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
+        address = F.array_join(F.transform(F.split(grown, r"\."), octet), ".")
+        labels = F.split(grown, r"\.")
+        domain = F.array_join(F.concat(F.slice(F.split(moved, r"\."), F.lit(1), F.size(labels) - 1), F.slice(labels, -1, 1)), ".")
+        key_id = F.concat(F.lit("AKIA"), F.substr(moved, F.lit(5), F.length(moved)))
+        return (
+            F.when(kind.isin("phone", "ssn"), nonzero)
+            .when(kind == "card", card)
+            .when(kind == "ip", address)
+            .when(kind == "domain", domain)
+            .when((kind == "secret") & norm.startswith("AKIA"), key_id)
+            .otherwise(moved)
+        )
+
+    out = F.transform(F.array(_moved(grown, noise, hexadecimal)), formed)[0]
     for of, names in NAMES.items():
         choice = names.split()
         pick = F.get(F.array(*map(F.lit, choice)), F.pmod(number, F.lit(len(choice))).cast("int"))
@@ -198,25 +255,27 @@ def assign_surrogates(units: DataFrame, key: str) -> DataFrame:
     taken = F.when(F.col("kind") == "mailbox", F.substring_index("norm", "@", 1)).otherwise(F.col("norm"))
     known = units.select("kind", taken.alias("surrogate")).distinct()
     done, waiting = [], units
+    made = surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt"))
     for attempt in range(ATTEMPTS):
-        tried = waiting.withColumn("surrogate", surrogate(key, F.col("kind"), F.col("norm"), F.lit(attempt)))
+        tried = waiting.withColumn("attempt", F.lit(attempt)).withColumn("surrogate", made)
         free = tried.join(functools.reduce(DataFrame.unionAll, [known, *[d.select("kind", "surrogate") for d in done]]), ["kind", "surrogate"], "left_anti")
         won = free.groupBy("kind", "surrogate").agg(F.min("norm").alias("norm"))
         done.append(materialise(won.select("kind", "norm", "surrogate"), "surrogates"))
         waiting = materialise(waiting.join(done[-1], ["kind", "norm"], "left_anti"), "waiting")
         if waiting.isEmpty():
             return functools.reduce(DataFrame.unionAll, done)
-    raise ValueError("too many units for their format: some have no surrogate of their own")
+    raise ValueError("some units have no surrogate of their own")
 
 
 def _shown(kind: Column, found: Column, shown: Column) -> Column:
-    """A surrogate in the format of the place: digits between the same separators, capitals as there."""
+    """A surrogate in the format of the place: digits between the same separators and what has grown behind them, capitals as there."""
 
     def place(c: Column, i: Column) -> Column:
         before = F.length(_digits(F.substr(shown, F.lit(1), i + 1)))
         return F.when(c.rlike(r"^\d$"), F.substr(found, before, F.lit(1))).otherwise(c)
 
-    filled = F.array_join(F.transform(F.split(shown, ""), place), "")
+    more = F.substr(found, F.length(_digits(shown)) + 1)
+    filled = F.concat(F.array_join(F.transform(F.split(shown, ""), place), ""), more)
     capital = F.when((shown == F.upper(shown)) & (shown != F.lower(shown)), F.upper(found))
     return (
         F.when(kind.isin("phone", "ssn", "card"), filled)

@@ -131,6 +131,23 @@ def test_surrogates_stay_apart_in_a_small_space(spark):
     assert not {(k, s) for k, _, s in got} & {(k, n) for k, n, _ in got}
 
 
+def test_surrogates_of_symbols_and_other_scripts(spark):
+    blank = ["Password: ________", "password: --------", "...@gmail.com _@x.com"]
+    odd = ["ann@-.com", "password: ____abc1", "小林@例子.com", "محمد@مثال.com", "דוד@דוגמה.com", "김철수@한국.com", "łőš@ñandú.es", "𠀀𠀁@x.com", "Mr Ωμέγα Άλφα"]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(blank + odd)], PEOPLE)
+    new = [r.text for r in sorted(pii.replace_pii(docs, "key").collect())]
+    assert new[:3] == blank
+    mailbox, domain = new[3].split("@")
+    assert re.fullmatch(r"[a-z]{3}", mailbox) and re.fullmatch(r"-[0-9]+\.com", domain)
+    assert re.fullmatch(r"password: ____[a-z]{3}\d|password: ____[0-9a-f]{4}", new[4])
+    for a, b in zip(odd, new[3:]):
+        assert a != b
+    scripts = ["[\u4e00-\u9fff]+", "[\u0620-\u06ff]+", "[\u05d0-\u05ea]+", "[\uac00-\ud7a3]+", "[\u0100-\u01ff]+", "[\U00020000-\U0002a6df]+"]
+    for of, a, b in zip(scripts, odd[2:], new[5:]):
+        assert re.fullmatch(of, b.split("@")[0]) and len(a) == len(b) and a.split("@")[0] != b.split("@")[0] and a.split("@")[1] != b.split("@")[1]
+    assert re.fullmatch(r"Mr [\u0370-\u03ff]{5} [\u0370-\u03ff]{4}", new[11])
+
+
 LABELLED = "doc_id long, text string, bad int, worse int, lang string, h int"
 
 
