@@ -18,7 +18,8 @@ kind, the normal form and a number of attempts:
 One normal form has one surrogate in the whole corpus, whatever the spelling in
 a text (coreference). The collision check keeps units apart: a surrogate that
 another unit of the kind has, or that is itself a unit found in the corpus, is
-tried again, until none is left; after ``GROW`` attempts in the unit's own format
+tried again, until none is left (mailboxes are compared with their domain, phone
+numbers with their country code, which is 1 in formats without one); after ``GROW`` attempts in the unit's own format
 each further one makes the surrogate a character longer (an IPv4 address an
 octet), so that a format without free texts ends no run. Each unit's text is then written in the format
 of its place (separators, capitals).
@@ -137,7 +138,8 @@ def _units(match: Column) -> Column:
     given = _unit(title, F.concat(F.lit("given:"), gender, F.lit(":"), script), F.lower(name[0]), name[0])
     country = F.regexp_extract(match, r"^\+\d{1,3}[ .-]", 0)
     number = F.substr(match, F.length(country) + 1, F.length(match))
-    phone = _digits(number)
+    code = F.when(country != "", _digits(country)).when(match.startswith("+"), "").otherwise("1")  # the formats without a code are American
+    phone = F.ltrim(F.concat(code, F.lit(" "), _digits(number)))
     return (
         F.when(kind == "email", F.array(_unit(nothing, F.lit("mailbox"), F.lower(match), mailbox), _unit(F.lit("@"), F.lit("domain"), F.lower(domain), domain)))
         .when(kind == "secret", F.array(_unit(label, F.lit("secret"), secret, secret)))
@@ -208,7 +210,7 @@ def _grown(kind: Column, norm: Column, attempt: Column) -> Column:
         .when(kind == "mailbox", F.concat(F.substring_index(norm, "@", 1), F.repeat(F.lit("0"), by)))
         .when(kind == "ip", F.concat(norm, F.repeat(F.lit(".0"), by)))
         .when(kind.rlike("^(given|surname)"), F.concat(norm, F.repeat(letter, by)))
-        .otherwise(F.concat(norm, F.repeat(F.lit("0"), by)))
+        .otherwise(F.concat(F.substring_index(norm, " ", -1), F.repeat(F.lit("0"), by)))
     )
 
 
@@ -249,21 +251,36 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     return out
 
 
+def _whole(kind: Column, norm: Column, surrogate: Column) -> Column:
+    """What collisions are checked on: a mailbox with its domain, a number with its country code.
+
+    Domains have surrogates of their own, so addresses that differ here differ in the corpus that is written.
+    """
+    return (
+        F.when(kind == "mailbox", F.concat(surrogate, F.lit("@"), F.substring_index(norm, "@", -1)))
+        .when((kind == "phone") & norm.contains(" "), F.concat(F.substring_index(norm, " ", 1), surrogate))
+        .otherwise(surrogate)
+    )
+
+
 def assign_surrogates(units: DataFrame, key: str) -> DataFrame:
-    """``kind``, ``norm``, ``surrogate`` of the distinct ``kind`` and ``norm``: no two alike within a kind, none a unit of the corpus."""
+    """``kind``, ``norm``, ``surrogate`` of the distinct ``kind`` and ``norm``: no two alike within a kind, none a unit of the corpus.
+
+    Mailboxes (``norm`` is the address) are told apart within their domain, phone numbers (code, space, number) within their country.
+    """
     units = materialise(units.select("kind", "norm").distinct(), "units")
-    taken = F.when(F.col("kind") == "mailbox", F.substring_index("norm", "@", 1)).otherwise(F.col("norm"))
-    known = units.select("kind", taken.alias("surrogate")).distinct()
+    known = units.select("kind", F.when(F.col("kind") == "phone", F.replace("norm", F.lit(" "), F.lit(""))).otherwise(F.col("norm")).alias("whole")).distinct()
     done, waiting = [], units
     made = surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt"))
     for attempt in range(ATTEMPTS):
         tried = waiting.withColumn("attempt", F.lit(attempt)).withColumn("surrogate", made)
-        free = tried.join(functools.reduce(DataFrame.unionAll, [known, *[d.select("kind", "surrogate") for d in done]]), ["kind", "surrogate"], "left_anti")
-        won = free.groupBy("kind", "surrogate").agg(F.min("norm").alias("norm"))
-        done.append(materialise(won.select("kind", "norm", "surrogate"), "surrogates"))
+        tried = tried.withColumn("whole", _whole(F.col("kind"), F.col("norm"), F.col("surrogate")))
+        free = tried.join(functools.reduce(DataFrame.unionAll, [known, *[d.select("kind", "whole") for d in done]]), ["kind", "whole"], "left_anti")
+        won = free.groupBy("kind", "whole").agg(F.min(F.struct("norm", "surrogate")).alias("w"))
+        done.append(materialise(won.select("kind", "w.norm", "w.surrogate", "whole"), "surrogates"))
         waiting = materialise(waiting.join(done[-1], ["kind", "norm"], "left_anti"), "waiting")
         if waiting.isEmpty():
-            return functools.reduce(DataFrame.unionAll, done)
+            return functools.reduce(DataFrame.unionAll, done).drop("whole")
     raise ValueError("some units have no surrogate of their own")
 
 

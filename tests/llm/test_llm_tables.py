@@ -131,6 +131,24 @@ def test_surrogates_stay_apart_in_a_small_space(spark):
     assert not {(k, s) for k, _, s in got} & {(k, n) for k, n, _ in got}
 
 
+def test_surrogates_when_a_format_is_full(spark):
+    spread = [("mailbox", f"a@d{i}.com") for i in range(40)]
+    full = [("mailbox", f"{c}@full.com") for c in "abcdefghijklmnopqrstuvwxyz"] + [("phone", f"1 {i:02d}") for i in range(100)]
+    abroad = [("phone", f"44 {i}") for i in range(10, 20)]
+    got = pii.assign_surrogates(spark.createDataFrame(spread + full + abroad, "kind string, norm string"), "k").collect()
+    new = {(r.kind, r.norm): r.surrogate for r in got}
+    assert len(got) == len(new) == len(spread + full + abroad)
+    assert all(re.fullmatch("[b-z]", new[u]) for u in spread) and all(re.fullmatch("[2-9][0-9]", new[u]) for u in abroad)
+    assert all(len(new[u]) > len(u[1].split("@")[0].split(" ")[-1]) for u in full)
+    assert len({(k, re.split("[@ ]", n)[k == "mailbox"], new[k, n]) for k, n in full + abroad}) == len(full + abroad)
+    shown = pii._shown(F.lit("phone"), F.lit("456789"), F.lit("22 33"))
+    assert spark.range(1).select(shown).first()[0] == "45 6789"
+    text = "+1 (988) 555-2485, 988-555-2485, +44 988 555 2485, +19885552485"
+    out = pii.replace_pii(spark.createDataFrame([(1, text, 1, 1)], PEOPLE), "key").first().text
+    a, b, c, d = (re.sub(r"\D", "", x) for x in out.split(", "))
+    assert a == "1" + b != text[4:] and c.startswith("44") and c[2:] != b and len(d) == 11
+
+
 def test_surrogates_of_symbols_and_other_scripts(spark):
     blank = ["Password: ________", "password: --------", "...@gmail.com _@x.com"]
     odd = ["ann@-.com", "password: ____abc1", "小林@例子.com", "محمد@مثال.com", "דוד@דוגמה.com", "김철수@한국.com", "łőš@ñandú.es", "𠀀𠀁@x.com", "Mr Ωμέγα Άλφα"]
