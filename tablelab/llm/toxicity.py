@@ -6,8 +6,8 @@ slots, present or not), and on the log-odds of the categories before it. While a
 category is fitted, these come from models that have not seen the row (out of
 fold), so that a later model learns how far to trust an earlier one.
 
-Fitting reads at most ``fit_rows`` labelled rows, the first by a hash of their
-id. Slots are counted on executors; per category the ``SLOTS`` slots with the
+Fitting reads at most ``fit_rows`` labelled documents without null marks, the
+first by hashes of id and text. Slots are counted on executors; per category the ``SLOTS`` slots with the
 largest chi-square are kept; the driver gets these counts (a fixed size) and, for
 each fitted row, the kept slots it holds. Scoring is one pass over all whole
 texts. The limit of a category is the probability that gives the best F1 out of
@@ -228,10 +228,19 @@ def fit_chain(
     return chain
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id: str = "doc_id", fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Documents with labels, at most ``fit_rows`` label rows: the first by a hash of their id. That bound lets the labels be broadcast."""
-    chosen = labels.filter(F.col(id).isNotNull()).orderBy(F.xxhash64(id), id, *[c for c in labels.columns if c != id]).limit(fit_rows)
-    return docs.join(F.broadcast(chosen), id)
+def labelled_sample(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """Documents with labels, at most ``fit_rows`` rows: the first by hashes of id and text. Label rows with a null are left out.
+
+    Each label row kept has a document, so ``fit_rows`` of them hold enough rows. That bound lets them be broadcast.
+    """
+    ids = docs.select(id).distinct()
+    chosen = labels.na.drop().join(ids, id, "left_semi").orderBy(F.xxhash64(id), id, *[c for c in labels.columns if c != id]).limit(fit_rows)
+    chosen = materialise(chosen, "labels")
+    if docs.select(id).join(F.broadcast(chosen), id).limit(fit_rows + 1).count() <= fit_rows:
+        return docs.join(F.broadcast(chosen), id)
+    marks = [c for c in labels.columns if c != id]
+    first = docs.join(F.broadcast(chosen), id).orderBy(F.xxhash64(id), id, F.xxhash64(text), text, *marks).limit(fit_rows)
+    return first.repartition(docs.sparkSession.sparkContext.defaultParallelism)
 
 
 def score(docs: DataFrame, chain: Chain, id: str = "doc_id", text: str = "text") -> DataFrame:

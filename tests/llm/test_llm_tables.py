@@ -207,6 +207,16 @@ def test_chain_without_both_classes(spark):
     assert toxicity.labelled_sample(docs.select("doc_id", "text"), labels, fit_rows=2).count() <= 4
 
 
+def test_labelled_sample_counts_fitted_rows(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(20)] + [(7, f"copy {i}") for i in range(30)], "doc_id long, text string")
+    null = [(i, None) for i in range(20, 400)] + [(i, None) for i in range(5)]
+    labels = spark.createDataFrame(null + [(i, i % 2) for i in range(5, 15)] + [(i, 1) for i in range(1000, 1400)], "doc_id long, toxic int")
+    whole = {(r.doc_id, r.text, r.toxic) for r in toxicity.labelled_sample(docs, labels, fit_rows=40).collect()}
+    assert len(whole) == 40 and {r[0] for r in whole} == set(range(5, 15))  # 10 labels, 31 documents of id 7
+    few = [tuple(r) for r in toxicity.labelled_sample(docs, labels, fit_rows=12).collect()]
+    assert len(set(few)) == len(few) == 12 and set(few) <= whole
+
+
 @pytest.fixture(scope="module")
 def documents(spark):
     return [(r.doc_id, r.text) for r in queries.table(spark, FOLDER, "documents").select("doc_id", "text").collect()]
