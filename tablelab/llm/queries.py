@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablelab.llm import ann, chat, decontaminate, jaccard, packing, pii, suffix, tokens, toxicity, warc
+from tablelab.llm import ann, chat, decontaminate, jaccard, packing, pii, shallot, spelling, suffix, template, tokens, toxicity, warc
 from tablelab.plans.registry import Run
 
 RUNS: dict[str, Run] = {}
@@ -188,3 +188,85 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """All documents packed into length buckets and batches of 65,536 tokens."""
     return packing.pack(table(spark, folder, "documents"))
+
+
+#: crc32, a bit of the UTF-8 bytes (one or two for each code point) at a time.
+CRC_SQL = """
+  xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+    flatten(list_transform(string_split({0}, ''), lambda ch: CASE WHEN unicode(ch) < 128 THEN [unicode(ch)] ELSE [192 | (unicode(ch) >> 6), 128 | (unicode(ch) & 63)] END)),
+    lambda byte: list_transform(range(8), lambda i: ((byte >> i) & 1)::BIGINT)))),
+    lambda a, bit: xor(a >> 1, 3988292384 * xor(a & 1, bit))))"""
+
+
+@query(
+    "op11_spelling_variants",
+    rf"""
+    WITH RECURSIVE
+    runs AS (
+      SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+      FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)),
+    per_doc AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+    hashed AS (SELECT run, n, {CRC_SQL.format("concat(doc_id, ':', run)")} AS h FROM per_doc),
+    words AS (
+      SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+    vocabulary AS (SELECT word, sum(n)::BIGINT AS n FROM words WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+    cuts AS (
+      SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+      FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)),
+    pairs AS (
+      SELECT a.word, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+      UNION SELECT c.word, v.word, v.n FROM cuts c JOIN vocabulary v ON c.rest = v.word
+      UNION SELECT v.word, c.word, c.n FROM cuts c JOIN vocabulary v ON c.rest = v.word),
+    best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+    forms AS (
+      SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form, CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n
+      FROM vocabulary v LEFT JOIN best USING (word)),
+    steps AS (
+      SELECT word, word AS at FROM forms
+      UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON s.at = f.word WHERE f.form IS NOT NULL),
+    roots AS (SELECT s.word, s.at AS root FROM steps s JOIN forms f ON s.at = f.word WHERE f.form IS NULL)
+    SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)""",
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Every long and frequent word of all documents with its form and root."""
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+def _shallot_sql() -> str:
+    """Three rounds of moved centroids, each by distances to all."""
+    parts = [
+        """vectors AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+    cells AS (SELECT vec_id, i, v[i] AS x FROM (SELECT vec_id, v, unnest(range(1, 65)) AS i FROM vectors)),
+    first AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM vectors),
+    c0 AS (SELECT c, i, x FROM cells JOIN first USING (vec_id) WHERE c < 16)"""
+    ]
+    for r in range(4):
+        parts.append(
+            f"""d{r} AS (SELECT vec_id, c, sum((v.x - k.x) * (v.x - k.x))::BIGINT AS d FROM cells v JOIN c{r} k USING (i) GROUP BY ALL),
+    a{r} AS (SELECT vec_id, first(c ORDER BY d, c) AS c, min(d) AS d FROM d{r} GROUP BY vec_id)"""
+        )
+        if r < 3:
+            parts.append(
+                f"""m{r} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS n FROM cells JOIN a{r} USING (vec_id) GROUP BY ALL),
+    c{r + 1} AS (SELECT k.c, k.i, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c{r} k LEFT JOIN m{r} USING (c, i))"""
+            )
+    return f"""
+    WITH {", ".join(parts)},
+    digests AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c3 GROUP BY c)
+    SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+      (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+    FROM a3 JOIN digests USING (c)"""
+
+
+@query("op12_shallot_clusters", _shallot_sql())
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """All vectors of 64 components in 16 clusters."""
+    return shallot.with_inertia(*shallot.cluster(table(spark, folder, "embeddings")))
+
+
+@query("op13_html_extraction")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page, templates deduced from all pages."""
+    return template.main_texts(table(spark, folder, "pages"))

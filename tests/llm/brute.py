@@ -73,3 +73,78 @@ def without_repeats(rows: list[tuple], size: int) -> list[tuple]:
         kept = bytes(b for b, g in zip(own, gone) if not g)
         out.append((i, len(own), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
     return sorted(out, key=str)
+
+
+def spelling(rows: list[tuple]) -> list[tuple]:
+    """(word, form, root, n, near words, form's n) of (id, text) rows; near words by words that agree without one code point."""
+    import collections
+    import re
+    import zlib
+
+    counts: collections.Counter = collections.Counter()
+    for key, text in rows:
+        for found in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(c.lower() if c < "\x80" else c for c in found)
+            h = zlib.crc32(f"{'' if key is None else key}:{run}".encode())
+            counts[run if h % 199 else run[: h % len(run)] + run[h % len(run) + 1 :]] += 1
+    n = {w: c for w, c in counts.items() if len(w) >= 6 and c >= 5}
+    near, without = collections.defaultdict(set), collections.defaultdict(set)
+    for w in n:
+        for i in range(len(w)):
+            rest = w[:i] + w[i + 1 :]
+            without[i, rest].add(w)
+            if rest in n:
+                near[w].add(rest)
+                near[rest].add(w)
+    for group in without.values():
+        for w in group:
+            near[w] |= group - {w}
+    best = {w: min(near[w], key=lambda v: (-n[v], v)) for w in n if near[w]}
+    form = {w: b for w, b in best.items() if n[b] >= 5 * n[w]}
+
+    def root(w: str) -> str:
+        return root(form[w]) if w in form else w
+
+    return sorted((w, form.get(w), root(w), c, len(near[w]), n[form[w]] if w in form else None) for w, c in n.items())
+
+
+def clusters(rows: list[tuple], k: int = 16, rounds: int = 3, size: int = 64) -> tuple[list[tuple], list]:
+    """(id, cluster, squared distance) of (id, vector) rows, and the centroids: every distance computed, in Python's integers."""
+    import hashlib
+    import math
+
+    kept = []
+    for key, v in rows:
+        if v is not None and len(v) == size and all(x is not None and math.isfinite(x) for x in v):
+            kept.append((key, [max(-(2**27), min(2**27, math.floor(64 * float(x)))) for x in v]))
+    order = sorted((r for r in kept if r[0] is not None), key=lambda r: (hashlib.sha256(f"1:{r[0]}".encode()).hexdigest(), r[1]))
+    centroids = [v for _, v in (order + sorted(r for r in kept if r[0] is None))[:k]]
+    for step in range(rounds + 1):
+        found = [min((sum((a - b) ** 2 for a, b in zip(v, c)), j) for j, c in enumerate(centroids)) for _, v in kept]
+        if step < rounds:
+            for j in range(len(centroids)):
+                own = [v for (_, v), (_, c) in zip(kept, found) if c == j]
+                if own:
+                    centroids[j] = [sum(col) // len(own) for col in zip(*own)]
+    return sorted(((key, c, d) for (key, _), (d, c) in zip(kept, found)), key=str), centroids
+
+
+def templates(pages: list[tuple], least: int, pages_least: int) -> dict:
+    """For each host of (host, token list) pages, all different: the tokens of its valid classes, by comparing vectors and orders pair by pair."""
+    out = {}
+    for host in {h for h, _ in pages}:
+        own = [t for h, t in pages if h == host]
+        classes: dict[tuple, list] = {}
+        for token in {t for page in own for t in page}:
+            classes.setdefault(tuple(page.count(token) for page in own), []).append(token)
+        held = {v: set(ts) for v, ts in classes.items() if len(ts) >= least and sum(map(bool, v)) >= pages_least and 2 * sum(map(bool, v)) >= len(own)}
+        for v in list(held):
+            orders = set()
+            for page in own:
+                found = [t for t in page if t in held[v]]
+                n = len(held[v])
+                orders |= {tuple(found[i : i + n]) for i in range(0, len(found), n)}
+            if len(orders) != 1 or len(set(next(iter(orders)))) != len(held[v]):
+                del held[v]
+        out[host] = {frozenset(ts) for ts in held.values()}
+    return out
