@@ -34,6 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tablelab.llm import kernels
@@ -43,7 +44,7 @@ SIZE, FIRST, SPREAD = 400, 100, 64
 CHUNK = 1 << 20
 _BASE, _BYTES = kernels.numbers(61, 1)[0], kernels.numbers(62, 256)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-_KEY = "id long, h int"
+_KEY = "id long, h long"
 
 
 @lru_cache(maxsize=2)
@@ -76,40 +77,45 @@ class Prints:
         return kernels.mix(half[: -(length // 2)] * kernels.numbers(63, 2)[0] + half[length // 2 :] * kernels.numbers(63, 2)[1])
 
 
-def window_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """The place of the smallest value, the first on ties, of each run of ``width`` values."""
-    low, place, span = values, np.arange(len(values), dtype=np.int32), 1
+def window_minima(values: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """The place of the smallest value, the first on ties, of each run of ``width`` values.
+
+    Values are compared by their upper bits; the place takes the lower ``bits``, so that one minimum a step finds both.
+    """
+    bits = np.uint64(bits)
+    low, span = ((values >> bits) << bits) | np.arange(len(values), dtype=np.uint64), 1
     while span < width:
         step = min(span, width - span)
-        take = low[step:] < low[:-step]
-        low, place = np.where(take, low[step:], low[:-step]), np.where(take, place[step:], place[:-step])
+        low = np.minimum(low[step:], low[:-step])
         span += step
-    return place
-
-
-def _starts(data: np.ndarray, spans: np.ndarray | None, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Chunks of a document: offset, bytes, and which of its windows are still asked for."""
-    n = len(data) - size + 1
-    asked = None
-    if spans is not None:
-        steps = np.zeros(max(n, 0) + 1, np.int32)
-        np.add.at(steps, spans[:, 0], 1)
-        np.add.at(steps, spans[:, 1] + 1, -1)
-        asked = np.cumsum(steps[:-1]) > 0
-    for at in range(0, n, CHUNK):
-        here = data[at : at + CHUNK + size - 1]
-        own = np.ones(len(here) - size + 1, bool) if asked is None else asked[at : at + CHUNK]
-        if own.any():
-            yield at, here, own
+    return (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
-def sampled(data: np.ndarray, spans: np.ndarray | None, length: int, size: int) -> list[np.ndarray]:
+def _asked(at: np.ndarray, spans: pa.Array | None, size: int) -> np.ndarray:
+    """Which windows of some documents, one behind the other, are still asked for: all that lie in a document, or those in its spans."""
+    steps = np.zeros(int(at[-1]) + 2, np.int32)
+    if spans is None:
+        long = np.flatnonzero(np.diff(at) >= size)
+        low, high = at[long], at[long + 1] - size + 1
+    else:
+        owner, low, high = _flat(spans)
+        low, high = at[owner] + low, at[owner] + high + 1
+    np.add.at(steps, low, 1)
+    np.add.at(steps, high, -1)
+    return np.cumsum(steps) > 0
+
+
+def sampled(data: np.ndarray, asked: np.ndarray, length: int, size: int) -> np.ndarray:
     """Rank of the sample, first and last window, fingerprint of all bytes and the sample's place in them: of each run of windows."""
     out = [np.empty((0, 4), np.uint64)]
-    for at, here, own in _starts(data, spans, size):
+    for at in range(0, len(data) - size + 1, CHUNK):
+        here = data[at : at + CHUNK + size - 1]
+        own = asked[at : at + len(here) - size + 1]
+        if not own.any():
+            continue
         prints = Prints(here, size)
         ranks = prints.ranks(length)
-        place = window_minima(ranks, size - length + 1)
+        place = window_minima(ranks, size - length + 1, (CHUNK + size).bit_length())
         new = np.ones(len(place), bool)
         new[1:] = (place[1:] != place[:-1]) | (own[1:] != own[:-1])
         first = np.flatnonzero(new)
@@ -117,11 +123,14 @@ def sampled(data: np.ndarray, spans: np.ndarray | None, length: int, size: int)
         first, last = first[own[first]], last[own[first]]
         run = kernels.mix(prints.of(first, last + size) + (place[first] - first).astype(np.uint64) * kernels.numbers(64, 1)[0])
         out.append(np.stack([ranks[place[first]], (first + at).astype(np.uint64), (last + at).astype(np.uint64), run], axis=1))
-    return out
+    return np.concatenate(out)
 
 
-def _spans(column: pa.Array) -> list[np.ndarray | None]:
-    return [None if v is None else np.array([(s["lo"], s["hi"]) for s in v], np.int64).reshape(-1, 2) for v in column.to_pylist()]
+def _flat(spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, first and last window of all spans of a column."""
+    sizes = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+    cells = spans.flatten()
+    return np.repeat(np.arange(len(spans)), sizes), *(cells.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
 
 
 def _positions(docs: DataFrame, length: int, size: int, runs: bool, squeezed: bool) -> DataFrame:
@@ -134,16 +143,9 @@ def _positions(docs: DataFrame, length: int, size: int, runs: bool, squeezed: bo
         for batch in batches:
             for part in kernels.slices(batch, 2, (1 if squeezed else 8) << 20):
                 data, at = kernels.byte_rows(kernels.expanded(part.column(2)) if squeezed else part.column(2))
-                spans = _spans(part.column(3)) if squeezed else [None] * part.num_rows
-                found, owner = [np.empty((0, 4), np.uint64)], []
-                for i in range(part.num_rows):
-                    if squeezed and spans[i] is None:
-                        continue
-                    rows = np.concatenate(sampled(data[at[i] : at[i + 1]], spans[i], length, size))
-                    found.append(rows)
-                    owner.append(np.full(len(rows), i))
-                rows = np.concatenate(found)
-                owner = np.concatenate(owner) if owner else np.empty(0, np.int64)
+                rows = sampled(data, _asked(at, part.column(3) if squeezed else None, size), length, size)
+                owner = np.searchsorted(at, rows[:, 1].astype(np.int64), "right") - 1
+                rows[:, 1:3] -= at[owner].astype(np.uint64)[:, None]
                 rank, run = rows[:, 0], rows[:, 3] if runs else rows[:, 0]
                 order = np.lexsort((run, rank))
                 alike = (rank[order][1:] == rank[order][:-1]) & (run[order][1:] == run[order][:-1])
@@ -154,7 +156,8 @@ def _positions(docs: DataFrame, length: int, size: int, runs: bool, squeezed: bo
                 key = np.where(second, kernels.mix(rank + rows[:, 1] + kernels.mix(owner.astype(np.uint64) + rank)), rank)
                 columns = [key.view(np.int64), run.view(np.int64), rows[:, 1].view(np.int64), rows[:, 2].view(np.int64), known]
                 owner = pa.array(owner, pa.int64())
-                arrays = [pa.array(columns[0]), pa.array(columns[1]), part.column(0).take(owner), part.column(1).take(owner), *map(pa.array, columns[2:])]
+                arrays = [*(pa.array(np.ascontiguousarray(c)) for c in columns[:2]), part.column(0).take(owner), part.column(1).take(owner)]
+                arrays += [pa.array(np.ascontiguousarray(c)) for c in columns[2:]]
                 yield pa.RecordBatch.from_arrays(arrays, names=["key", "run", "id", "h", "lo", "hi", "known"])
 
     return docs.mapInArrow(scan, f"key long, run long, {_KEY}, lo long, hi long, known boolean")
@@ -252,7 +255,7 @@ def _squeezed(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE, first: int = FIRST) -> DataFrame:
     """One row a document: ``id``, ``kept`` (the bytes that are left), ``spans`` (removed, start and end) and ``n_bytes``."""
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.hash(F.col(text)).alias("h"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).cast("string").alias("text"))
     spread, length = min(SPREAD, size // 4), first // 2 * 2
     spans = _by_document(_repeated(_positions(rows, length, size, False, False)).filter("whole"))
     stored = materialise(_with(_squeezed(rows), spans, "left"), "doubling")
@@ -271,20 +274,26 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", size
         for batch in batches:
             for part in kernels.slices(batch, 2, 1 << 20):
                 data, at = kernels.byte_rows(kernels.expanded(part.column(2)))
-                kept, cuts = [], []
-                for i, own in enumerate(_spans(part.column(3))):
-                    here = data[at[i] : at[i + 1]]
-                    steps = np.zeros(len(here) + 1, np.int32)
-                    if own is not None:
-                        np.add.at(steps, own[:, 0], 1)
-                        np.add.at(steps, own[:, 1] + size, -1)
-                    gone = np.cumsum(steps)[:-1] > 0
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]])))
-                    kept.append(here[~gone].tobytes())
-                    cuts.append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
-                span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                sizes = pa.array(np.diff(at))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.binary()), pa.array(cuts, span), sizes], names=["id", "kept", "spans", "n_bytes"])
+                owner, low, high = _flat(part.column(3))
+                steps = np.zeros(len(data) + 1, np.int32)
+                np.add.at(steps, at[owner] + low, 1)
+                np.add.at(steps, at[owner] + high + size, -1)
+                gone = np.cumsum(steps)[:-1] > 0
+                # A run of removed bytes ends with its document.
+                first, last = gone.copy(), gone.copy()
+                first[1:] &= ~gone[:-1]
+                last[:-1] &= ~gone[1:]
+                opening = at[:-1][at[:-1] < at[1:]]
+                first[opening] = gone[opening]
+                last[opening[1:] - 1] = gone[opening[1:] - 1]
+                start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+                places = np.searchsorted(start, at)
+                of = np.repeat(at[:-1], np.diff(places))
+                cells = pa.StructArray.from_arrays([pa.array(start - of), pa.array(end - of)], names=["start", "end"])
+                kept = np.concatenate([[0], np.cumsum(~gone)])[at].astype(np.int64)
+                left = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(kept.tobytes()), pa.py_buffer(data[~gone].tobytes())])
+                arrays = [part.column(0), left.cast(pa.binary()), pa.ListArray.from_arrays(pa.array(places, pa.int32()), cells), pa.array(np.diff(at))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "kept", "spans", "n_bytes"])
 
     done = _with(stored.drop("spans"), final, "left")
     done = done.mapInArrow(cut, "id long, kept binary, spans array<struct<start:long,end:long>>, n_bytes long")

@@ -217,7 +217,7 @@ def test_long_documents_are_cut_into_chunks(monkeypatch):
     monkeypatch.setattr(suffix, "CHUNK", 100)
     rng = random.Random(4)
     text = np.frombuffer("".join(rng.choices("ab", k=1000)).encode(), np.uint8)
-    rows = np.concatenate(suffix.sampled(text, None, 20, 40))
+    rows = suffix.sampled(text, suffix._asked(np.array([0, 1000]), None, 40), 20, 40)
     assert rows[:, 1].min() == 0 and rows[:, 2].max() == 960
     assert (np.sort(rows[:, 1])[1:] == np.sort(rows[:, 2])[:-1] + 1).all()
 
