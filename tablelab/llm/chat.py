@@ -66,7 +66,8 @@ def format_chats(
     """One row a conversation: ``conv_id``, ``formatted``, ``loss_spans``, ``n_turns``, ``n_escaped``.
 
     ``loss_spans`` holds start (from 0) and length, in code points of
-    ``formatted``, of the texts whose role is ``learn``.
+    ``formatted``, of the texts whose role is ``learn``, and whether they stand
+    there ``escaped``.
     """
     rows = turns.select(
         F.col(conv).alias("conv_id"),
@@ -91,7 +92,8 @@ def format_chats(
         "conv_id",
         F.array_join(F.transform("t", lambda x: x["piece"]), "").alias("formatted"),
         F.transform(
-            F.filter("t", lambda x: x["role"] == learn), lambda x: F.struct(x["start"].alias("start"), x["chars"].alias("length"))
+            F.filter("t", lambda x: x["role"] == learn),
+            lambda x: F.struct(x["start"].alias("start"), x["chars"].alias("length"), (~x["plain"]).alias("escaped")),
         ).alias("loss_spans"),
         F.size("t").cast("long").alias("n_turns"),
         F.size(F.filter("t", lambda x: ~x["plain"])).cast("long").alias("n_escaped"),
@@ -103,15 +105,25 @@ def format_chats(
     return convs.select("conv_id", checked.alias("formatted"), "loss_spans", "n_turns", "n_escaped")
 
 
-def chat_digests(chats: DataFrame, learn: str = "assistant") -> DataFrame:
-    """What the rendered texts hold, read back by the parser."""
-    learnt = F.array_join(F.transform(F.filter("back", lambda x: x["role"] == learn), lambda x: x["text"]), "")
+def learnt_texts() -> Column:
+    """The source texts under the loss mask: ``formatted`` cut at ``loss_spans``, cuts out of escaped turns unescaped."""
+
+    def cut(span: Column) -> Column:
+        piece = F.substr("formatted", (span["start"] + 1).cast("int"), span["length"].cast("int"))
+        return F.when(span["escaped"], unescape(piece)).otherwise(piece)
+
+    return F.transform("loss_spans", cut)
+
+
+def chat_digests(chats: DataFrame) -> DataFrame:
+    """What the rendered texts hold: turns read back by the parser, learnt texts cut out by the loss mask."""
+    learnt = F.array_join(learnt_texts(), "")
     whole = F.array_join(F.transform("back", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    return chats.withColumn("back", parse(F.col("formatted"))).select(
+    return chats.withColumn("back", parse(F.col("formatted"))).withColumn("learnt", learnt).select(
         "conv_id",
         F.size("back").cast("long").alias("n_turns"),
         F.sha2(whole, 256).alias("turns_sha256"),
-        F.length(learnt).cast("long").alias("loss_chars"),
-        F.sha2(learnt, 256).alias("loss_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )

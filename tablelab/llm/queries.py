@@ -166,16 +166,14 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return pii.replace_pii(docs, PII_KEY, count="n_entities")
 
 
-#: The chain: toxic texts by language first, then all toxic ones.
-CATEGORIES = ("toxic_english", "toxic_other", "toxic")
+#: The chain: texts of low quality first, then toxic ones; neither mark follows from the other.
+CATEGORIES = ("low_quality", "toxic")
 
 
 def toxicity_chain(docs: DataFrame, labels: DataFrame) -> toxicity.Chain:
     """The chain of CATEGORIES, fitted on at most toxicity.FIT_ROWS labelled rows."""
-    sample = toxicity.labelled_sample(docs.select("doc_id", "text", "lang"), labels.select("doc_id", "toxic"))
-    english = F.coalesce(F.col("lang") == "en", F.lit(False)).cast("int")
-    sample = sample.withColumn("toxic_english", F.col("toxic") * english).withColumn("toxic_other", F.col("toxic") * (1 - english))
-    return toxicity.fit_chain(sample, CATEGORIES)
+    marks = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return toxicity.fit_chain(toxicity.labelled_sample(docs.select("doc_id", "text"), marks), CATEGORIES)
 
 
 @query("op9_toxicity")

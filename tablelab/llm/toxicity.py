@@ -8,8 +8,8 @@ fold), so that a later model learns how far to trust an earlier one.
 
 Fitting reads at most ``fit_rows`` labelled documents without null marks, the
 first by hashes of id and text. Slots are counted on executors; per category the ``SLOTS`` slots with the
-largest chi-square are kept; the driver gets these counts (a fixed size) and, for
-each fitted row, the kept slots it holds. Scoring is one pass over all whole
+largest chi-square are kept. One task gets, for each fitted row, the kept slots it holds, and fits the chain; the driver sees
+the numbers of the kept slots and the weights. Scoring is one pass over all whole
 texts. The limit of a category is the probability that gives the best F1 out of
 fold.
 
@@ -26,6 +26,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tablelab.llm import kernels
@@ -128,19 +129,24 @@ def best_limit(p: np.ndarray, y: np.ndarray) -> float:
 
 
 class Chain:
-    """The fitted models; a few MB at most."""
+    """The kept slots and the fitted models; some tens of KB, slots are looked up in a table that each worker makes for itself."""
 
     def __init__(self, categories: Sequence[str], kept: np.ndarray) -> None:
-        self.categories = list(categories)
-        self.place = np.full(1 << SLOTS_LOG, -1, np.int32)
-        self.place[kept] = np.arange(len(kept))
+        self.categories, self.kept = list(categories), kept
         self.width = max(1, len(kept))
         self.weights: list[np.ndarray] = []
         self.limits: list[float] = []
+        self._place: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_place": None}
 
     def found(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self._place is None:
+            self._place = np.full(1 << SLOTS_LOG, -1, np.int32)
+            self._place[self.kept] = np.arange(len(self.kept))
         row, slot = _slots(column)
-        place = self.place[slot]
+        place = self._place[slot]
         return _present(row[place >= 0], place[place >= 0].astype(np.int64), self.width)
 
     def probabilities(self, column: pa.Array) -> np.ndarray:
@@ -151,9 +157,10 @@ class Chain:
         return 1 / (1 + np.exp(-extra[:, 1:]))
 
 
-def _slot_counts(sample: DataFrame, categories: Sequence[str]) -> np.ndarray:
-    """Rows that hold each slot: of each category's positives, and of all rows."""
+def _slot_counts(sample: DataFrame, categories: Sequence[str]) -> DataFrame:
+    """``slot``, the rows of each category's positives that hold it and, last, the rows of all."""
     c = len(categories)
+    names = ["slot", *[f"n{i}" for i in range(c + 1)]]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((c + 1, 1 << SLOTS_LOG), np.int32)
@@ -162,29 +169,56 @@ def _slot_counts(sample: DataFrame, categories: Sequence[str]) -> np.ndarray:
                 row, slot = _present(*_slots(part.column(0)), 1 << SLOTS_LOG)
                 for i in range(c):
                     own = part.column(i + 1).to_numpy(zero_copy_only=False)[row] == 1
-                    total[i] += np.bincount(slot[own], minlength=1 << SLOTS_LOG).astype(np.int32)
-                total[c] += np.bincount(slot, minlength=1 << SLOTS_LOG).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["counts"])
+                    np.add.at(total[i], slot[own], 1)
+                np.add.at(total[c], slot, 1)
+        held = np.flatnonzero(total[c])
+        for at in range(0, len(held), 1 << 16):
+            part = held[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *[pa.array(t[part].astype(np.int64)) for t in total]], names=names)
 
-    out = np.zeros((c + 1, 1 << SLOTS_LOG), np.int64)
-    for row in sample.coalesce(8).mapInArrow(count, "counts binary").toLocalIterator():
-        out += np.frombuffer(row.counts, np.int32).reshape(out.shape)
-    return out
+    rows = sample.mapInArrow(count, ", ".join(f"{n} long" for n in names))
+    return rows.groupBy("slot").agg(*[F.sum(n).alias(n) for n in names[1:]])
 
 
 def _kept_slots(sample: DataFrame, names: Sequence[str]) -> np.ndarray:
-    """Per category the slots with the largest chi-square, all together. The counts of all slots live in here only."""
-    counts = _slot_counts(sample, names)
+    """Per category the slots with the largest chi-square, all together."""
+    counts = materialise(_slot_counts(sample, names), "slots")
     *positives, rows = sample.agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in names], F.count("*")).first()
-    here, kept = counts[-1], set()
-    for with_pos, pos in zip(counts, positives):
-        expected = here * (pos / max(rows, 1))
-        chi = np.where(here > 1, (with_pos - expected) ** 2 / np.maximum(expected * (1 - here / max(rows, 1)), 1e-9), 0)
-        top = np.argsort(-chi, kind="stable")[:SLOTS]
-        kept |= set(top[chi[top] > 30].tolist())  # by chance: one slot in 20 million
+    here, kept = F.col(f"n{len(names)}"), set()
+    for i, pos in enumerate(positives):
+        expected = here * F.lit(pos / max(rows, 1))
+        spread = F.greatest(expected * (1 - here / F.lit(max(rows, 1))), F.lit(1e-9))
+        chi = F.when(here > 1, (F.col(f"n{i}") - expected) * (F.col(f"n{i}") - expected) / spread).otherwise(0.0)
+        top = counts.select("slot", chi.alias("chi")).filter("chi > 30").orderBy(F.desc("chi"), "slot").limit(SLOTS)  # by chance: one slot in 20 million
+        kept |= {r.slot for r in top.collect()}
     return np.array(sorted(kept), np.int64)
 
 
+def _fit(table: pa.Table, names: Sequence[str], width: int, folds: int) -> tuple[list[np.ndarray], list[float]]:
+    """Weights and limits of all categories, from the kept slots and marks of the fitted rows."""
+    h = table.column("h").to_numpy()
+    order = np.argsort(h, kind="stable")  # rows that share a hash are copies
+    table, h = table.take(pa.array(order)), h[order]
+    held = table.column("held").combine_chunks()
+    rows = np.repeat(np.arange(len(h)), pc.list_value_length(held).to_numpy(zero_copy_only=False))
+    columns = held.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    fold = h % folds  # copies share a hash, and so a fold
+    extra, weights, limits = np.ones((len(h), 1)), [], []
+    for n in names:
+        y = table.column(n).to_numpy().astype(float)
+        margin = np.zeros(len(h))
+        for f in range(folds):
+            to, of = fold != f, fold == f
+            renumbered = np.cumsum(to) - 1
+            inside = to[rows]
+            w = logistic(renumbered[rows[inside]], columns[inside], extra[to], y[to], width)
+            margin[of] = _margin(rows, columns, extra, w)[of]
+        weights.append(logistic(rows, columns, extra, y, width))
+        limits.append(best_limit(1 / (1 + np.exp(-margin)), y))
+        extra = np.concatenate([extra, margin[:, None]], axis=1)
+    return weights, limits
+
+
 def fit_chain(
     labelled: DataFrame, categories: Sequence[str], id: str = "doc_id", text: str = "text", folds: int = FOLDS
 ) -> Chain:
@@ -197,34 +231,31 @@ def fit_chain(
     sample = materialise(sample, "labelled")
     chain = Chain(categories, _kept_slots(sample, names))
     shared = labelled.sparkSession.sparkContext.broadcast(chain)
+    width, columns = chain.width, ["held", *names, "h"]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.slices(batch, 0):
-                rows, columns = shared.value.found(part.column(0))
+                rows, slots = shared.value.found(part.column(0))
                 at = np.searchsorted(rows, np.arange(part.num_rows + 1))
-                held = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(columns, pa.int32()))
-                yield pa.RecordBatch.from_arrays([held, *part.columns[1:]], names=["held", *names, "h"])
+                held = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(slots, pa.int32()))
+                yield pa.RecordBatch.from_arrays([held, *part.columns[1:]], names=columns)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            weights, limits = _fit(pa.Table.from_batches(parts), names, width, folds)
+            yield pa.RecordBatch.from_arrays([pa.array([w.tolist() for w in weights]), pa.array(limits)], names=["weights", "threshold"])
 
     schema = ", ".join(["held array<int>", *[f"{n} int" for n in names], "h long"])
-    data = sample.mapInArrow(features, schema).toPandas().sort_values("h", kind="stable")  # rows that share a hash are copies
-    rows = np.repeat(np.arange(len(data)), data["held"].map(len).to_numpy(np.int64))
-    columns = np.concatenate(data["held"].tolist()).astype(np.int64) if len(data) else np.empty(0, np.int64)
-    data = data.drop(columns="held")
-    fold = data["h"].to_numpy(np.int64) % folds  # copies share a hash, and so a fold
-    extra = np.ones((len(data), 1))
-    for n in names:
-        y = data[n].to_numpy(float)
-        margin = np.zeros(len(data))
-        for f in range(folds):
-            to, of = fold != f, fold == f
-            renumbered = np.cumsum(to) - 1
-            inside = to[rows]
-            w = logistic(renumbered[rows[inside]], columns[inside], extra[to], y[to], chain.width)
-            margin[of] = _margin(rows, columns, extra, w)[of]
-        chain.weights.append(logistic(rows, columns, extra, y, chain.width))
-        chain.limits.append(best_limit(1 / (1 + np.exp(-margin)), y))
-        extra = np.concatenate([extra, margin[:, None]], axis=1)
+    # One task: it holds the fitted rows' kept slots, at most ``fit_rows`` times ``width`` numbers.
+    fitted = sample.mapInArrow(features, schema).repartition(1).mapInArrow(fit, "weights array<double>, threshold double").collect()
+    for row in fitted:
+        chain.weights.append(np.array(row.weights))
+        chain.limits.append(row.threshold)
+    for _ in categories[len(fitted) :]:  # no labelled rows
+        chain.weights.append(np.zeros(len(chain.weights) + 1 + width))
+        chain.limits.append(2.0)
     return chain
 
 

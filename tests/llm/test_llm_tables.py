@@ -192,6 +192,10 @@ def test_chain_on_held_out_rows(spark):
     got = {r.doc_id: r for r in toxicity.score(test, chain).collect()}
     assert np.mean([got[r[0]].is_bad == r[2] for r in rows]) > 0.98 and np.mean([got[r[0]].is_worse == r[3] for r in rows]) > 0.98
     assert not any(got[i].is_bad for i in (-1, -2, -3))
+    own = chain.weights[1].copy()
+    chain.weights[1][1] = 0.0  # without what the first model says
+    assert any(r.is_worse != got[r.doc_id].is_worse for r in toxicity.score(test, chain).collect())
+    chain.weights[1] = own
     kept = toxicity.drop_rejected(test, chain, "bad")
     assert kept.dtypes == test.dtypes and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.is_bad}
 

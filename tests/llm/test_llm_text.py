@@ -190,11 +190,15 @@ def test_chats_read_back(spark):
         turns = source[r.conv_id]
         learnt = [x for role, x in turns if role == "assistant"]
         shown = [r.formatted[s.start : s.start + s.length] for s in r.loss_spans]
-        assert len(shown) == len(learnt) and all(s == x or "&" in s for s, x in zip(shown, learnt))
+        entities = str.maketrans(dict(chat.ENTITIES))
+        assert shown == [x.translate(entities) if s.escaped else x for s, x in zip(r.loss_spans, learnt)]
+        assert [s.escaped for s in r.loss_spans] == [chat.END in (x or "") for x in learnt]
         d = digests[r.conv_id]
         assert d.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert d.loss_sha256 == hashlib.sha256("".join(learnt).encode()).hexdigest() and d.loss_chars == len("".join(learnt))
         assert d.n_turns == r.n_turns == len(turns) and d.formatted_chars == len(r.formatted)
+    moved = chat.format_chats(spark.createDataFrame(rows, TURNS)).withColumn("loss_spans", F.slice("loss_spans", 2, 9))
+    assert any(r.loss_sha256 != digests[r.conv_id].loss_sha256 for r in chat.chat_digests(moved).collect())  # the digest is the mask's
     assert len(chats) == len(source) and chat.format_chats(spark.createDataFrame([], TURNS)).count() == 0
 
 
