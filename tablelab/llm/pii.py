@@ -5,35 +5,39 @@ check digit are tested), IPv4 addresses, social security numbers, secrets
 (labelled ones and access keys) and names after a title. Mailboxes and secrets
 hold a letter or digit: ``password: ________`` and ``...@x.com`` are left. A match is cut into
 units: an address into mailbox and domain, a name into given name and surname.
+In a text with such a name every capitalised word is looked at, too: those that
+are a given name or surname found in it are replaced as these are.
 Every unit has a normal form, and a surrogate for it that depends on a key, its
 kind, the normal form and a number of attempts:
 
 - letters and digits are moved within their alphabet (case and script stay, hex
   stays hex), so that length and format stay; scripts without an alphabet here
-  are moved within their own code points;
+  are moved within 32 neighbouring code points of their kind;
 - cards keep their issuer and get a valid check digit, octets stay octets;
-- names come from lists by gender and script, and by moved letters after a few
-  attempts.
+- Latin and Cyrillic names are composed of syllables, some millions of them, with
+  endings of their gender. A given name's gender is what its titles in the corpus
+  say; a name with titles of both or none has endings that go with both.
 
-One normal form has one surrogate in the whole corpus, whatever the spelling in
+One normal form has one surrogate in the whole corpus, whatever the title or spelling in
 a text (coreference). The collision check keeps units apart: a surrogate that
 another unit of the kind has, or that is itself a unit found in the corpus, is
 tried again, until none is left (mailboxes are compared with their domain, phone
-numbers with their country code, which is 1 in formats without one); after ``GROW`` attempts in the unit's own format
-each further one makes the surrogate a character longer (an IPv4 address an
+numbers with their country code, which is 1 in formats without one and none in national
+numbers that begin with 0); after ``GROW`` attempts in the unit's own format
+each further one makes the surrogate a character or syllable longer (an IPv4 address an
 octet), so that a format without free texts ends no run. Each unit's text is then written in the format
-of its place (separators, capitals).
+of its place (separators, capitals). Units that stand in many places (``HOT``) get
+their surrogates by a broadcast, at most one in ``HOT`` places.
 
 Defined cases: null texts stay null; texts without entities are returned as they
-are; repeated rows get the same text; other columns are kept, whatever their
-names; an empty table gives an empty result.
+are; repeated rows get the same text; an address has at most 127 labels behind
+its mailbox; other columns are kept, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
-import unicodedata
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -41,34 +45,42 @@ from tablelab.session import materialise
 
 #: Titles by gender.
 TITLES = {"m": ("Mr", "Sir", "Herr", "Monsieur", "Señor"), "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora"), "x": ("Dr", "Prof")}
-#: Names by kind.
-NAMES = {
-    "given:m:latin": "adam bruno carl david emil felix george henry ivan jonas karl leon martin noah oscar paul robert simon thomas victor",
-    "given:f:latin": "anna bella clara diana emma frieda grace helen irene julia klara laura maria nina olivia paula rosa sophie teresa vera",
-    "given:x:latin": "alex andrea chris dominique eden jamie jean jordan kim luca morgan nicola pascal quinn robin sam sasha taylor toni val",
-    "surname:x:latin": "adler baker carter dubois evans fischer garcia hughes ibsen jansen keller lopez miller novak owens perez quist rossi smith turner",
-    "given:m:cyrillic": "алексей борис виктор григорий дмитрий егор иван кирилл максим николай олег павел роман сергей тимофей фёдор",
-    "given:f:cyrillic": "анна вера галина дарья елена жанна ирина ксения лариса мария нина ольга полина раиса светлана тамара",
-    "surname:x:cyrillic": "белов волков громов дубов ершов зуев ильин котов лосев морозов носов орлов петров рыбин соколов титов",
+#: Syllables that names are composed of, by script: beginnings, middles, vowels between two of them, and endings.
+SYLLABLES = {
+    "latin": (
+        "al an ar be bi bri ca ce co da de do ed el em er fa fe ga ge gi ha he in is ja jo ju ka ke la le li lo lu ma me mi mo na ne ni no o pa pe ra re ri ro ru sa se si so ta te ti to va ve vi wa we yo za",
+        "b br d dr f g l ld ll lm ln m mb n nd nn nt r rd rl rm rn rr s sk ss st t tt v vr z", "a e i o u",
+    ),
+    "cyrillic": (
+        "ал ан бо ва ве га да де до ел жа за зо ка ки ко ла ле ли ма ми мо на не ни па ра ри ро са се со та ти то фе",
+        "б в г д ж з к л м н р с т ль нд рт ст", "а е и о у",
+    ),
+}
+ENDINGS = {
+    "given:latin": {"m": "o us an en ias ert ard in ik or", "f": "a ia ina ella etta ene isa ora ika ya", "x": "y is ey i el e ou in"},
+    "given:cyrillic": {"m": "ий ан ей ор ил ислав", "f": "а ия ина ена ора", "x": "я и е"},
+    "surname:latin": {"x": "er mann son ley ton ez i ard sen ers ova ski well field"},
+    "surname:cyrillic": {"x": "ов ев ин ский ко ук"},
 }
 ALPHABETS = (
     "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïñòóôõöøùúûüýß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ",
     "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 )
-NAME_ATTEMPTS, GROW, ATTEMPTS = 4, 8, 64
-#: Runs of this many letters are moved by code point, without being written out.
-LONG_RUN = 256
+GROW, ATTEMPTS, HOT = 8, 64, 100_000
 
 _LABEL = r"(?i:\b(?:token|password|passwd|pwd|secret|api[_-]?key))\s{0,3}[=:]\s{0,3}[\"']?"
 _TITLE = r"\b(?:" + "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True)) + r")\.? "
-_NAME = r"\p{Lu}[\p{L}'-]+"
+_NAME = r"\p{Lu}(?=[\p{L}'-])\p{L}*+(?:['-]\p{L}{2,}+){0,4}"
+#: A word that may be a name; a hyphen joins capitalised parts only, and no label of a secret.
+_WORD = r"(?<![\p{L}\p{N}])\p{Lu}(?=[\p{L}'-])\p{L}*+(?:['-]\p{Lu}\p{L}++(?![_=:])){0,4}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERN = "|".join(
     [
-        r"(?<![\p{L}\p{N}._%+-])(?=[._%+-]*+[\p{L}\p{N}])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+        r"(?<![\p{L}\p{N}._%+-])(?=[._%+-]*+[\p{L}\p{N}])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]+){0,126}\.\p{L}{2,}",
         _LABEL + r"(?=[_+/-]*+[A-Za-z0-9])[A-Za-z0-9_+/-]{8,}",
         r"\bAKIA[A-Z0-9]{16}\b",
         r"(?<![\p{L}\p{N}])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\p{N})",
+        r"(?<![\p{L}\p{N}.,/+-])0\d{2,4}[ /-]\d{3,4}[ -]?\d{3,5}(?![\p{N}-])",
         r"(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\p{N})",
         r"(?<![\p{L}\p{N}.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{N}-])",
         r"(?<![\p{N}.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?!\p{N}|\.\p{N})",
@@ -77,6 +89,8 @@ PATTERN = "|".join(
         _TITLE + _NAME + "(?: " + _NAME + ")?",
     ]
 )
+#: The pattern for texts with names.
+WIDE = PATTERN + "|" + _WORD
 
 
 def _may_hold(text: Column) -> Column:
@@ -113,32 +127,37 @@ def _kind(match: Column) -> Column:
         .when(match.rlike("^" + _TITLE), "name")
         .when(match.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
         .when(match.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(match.rlike(r"^[+(]|^\d{3}[.-]"), "phone")
+        .when(match.rlike(r"^[+(]|^\d{3}[.-]|^0\d{2,4}[ /-]"), "phone")
         .when(issuer & (_luhn(digits) == 0), "card")
+        .when(match.rlike(r"^\p{Lu}[\p{L}'-]*$"), "word")
     )
 
 
-def _unit(before: Column, kind: Column, norm: Column, shown: Column) -> Column:
-    return F.struct(before.alias("before"), kind.alias("kind"), norm.alias("norm"), shown.alias("shown"))
+def _unit(before: Column, kind: Column, norm: Column, shown: Column, gender: Column | None = None) -> Column:
+    of = F.lit(None).cast("string") if gender is None else gender
+    return F.struct(before.alias("before"), kind.alias("kind"), norm.alias("norm"), shown.alias("shown"), of.alias("gender"))
+
+
+def _script(name: Column) -> Column:
+    return F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").when(name.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
 def _units(match: Column) -> Column:
-    """The units of a match: what stands before each, kind, normal form and the text as it is shown. A kind of null is left as it is."""
+    """The units of a match: what stands before each, kind, normal form, the text as it is shown and the gender that a title says. A kind of null is left as it is."""
     kind, nothing = _kind(match), F.lit("")
     mailbox, domain = F.substring_index(match, "@", 1), F.substring_index(match, "@", -1)
     label = F.regexp_extract(match, "^" + _LABEL, 0)
     secret = F.substr(match, F.length(label) + 1, F.length(match))
     title = F.regexp_extract(match, "^" + _TITLE, 0)
     name = F.split(F.substr(match, F.length(title) + 1, F.length(match)), " ")
-    script = F.when(match.rlike(r"\p{IsCyrillic}"), "cyrillic").when(match.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     bare = F.regexp_replace(title, r"[. ]", "")
-    gender = F.when(bare.isin(*TITLES["m"]), "m").when(bare.isin(*TITLES["f"]), "f").otherwise("x")
+    gender = F.when(bare.isin(*TITLES["m"]), "m").when(bare.isin(*TITLES["f"]), "f")
     last = F.element_at(name, -1)
-    surname = F.concat(F.lit("surname:x:"), script)
-    given = _unit(title, F.concat(F.lit("given:"), gender, F.lit(":"), script), F.lower(name[0]), name[0])
+    surname = F.concat(F.lit("surname:"), _script(last))
+    given = _unit(title, F.concat(F.lit("given:"), _script(name[0])), F.lower(name[0]), name[0], gender)
     country = F.regexp_extract(match, r"^\+\d{1,3}[ .-]", 0)
     number = F.substr(match, F.length(country) + 1, F.length(match))
-    code = F.when(country != "", _digits(country)).when(match.startswith("+"), "").otherwise("1")  # the formats without a code are American
+    code = F.when(country != "", _digits(country)).when(match.rlike(r"^\+|^0\d{2,4}[ /-]"), "").otherwise("1")  # the other formats without a code are American
     phone = F.ltrim(F.concat(code, F.lit(" "), _digits(number)))
     return (
         F.when(kind == "email", F.array(_unit(nothing, F.lit("mailbox"), F.lower(match), mailbox), _unit(F.lit("@"), F.lit("domain"), F.lower(domain), domain)))
@@ -146,43 +165,29 @@ def _units(match: Column) -> Column:
         .when((kind == "name") & (F.size(name) > 1), F.array(given, _unit(F.lit(" "), surname, F.lower(last), last)))
         .when(kind == "name", F.array(_unit(title, surname, F.lower(last), last)))
         .when(kind == "phone", F.array(_unit(country, F.lit("phone"), phone, number)))
+        .when(kind == "word", F.array(_unit(nothing, kind, F.lower(match), match)))
         .when(kind.isin("card", "ssn"), F.array(_unit(nothing, kind, _digits(match), match)))
         .otherwise(F.array(_unit(nothing, kind, match, match)))
     )
 
 
-@functools.cache
-def _other_letters() -> tuple[str, list[tuple[int, int]]]:
-    """Letters and digits that no alphabet lists: the small groups of a script as words of one text, and long runs as first code point and size."""
-    listed, groups = set("".join(ALPHABETS)), []
-    for code in range(128, 0x110000):
-        c = chr(code)
-        group = unicodedata.category(c)
-        if group[0] in "LN" and c not in listed:
-            groups.append((unicodedata.name(c, "").split(" ")[0], group, c.upper() != c == c.upper().lower(), code))
-    words, runs = {}, []
-    for _, run in itertools.groupby(enumerate(groups), lambda x: (x[1][:3], x[1][3] - x[0])):
-        run = [g for _, g in run]
-        if len(run) >= LONG_RUN:
-            runs.append((run[0][3], len(run)))
-            continue
-        for *group, code in run:
-            words.setdefault((*group, code >> 8), []).append(chr(code))
-    return " ".join("".join(w) for w in words.values() if len(w) > 1), runs
+def _moved_elsewhere(c: Column, by: Column) -> Column:
+    """A letter or digit that no alphabet lists: the next one of its kind among 32 neighbouring code points, from the ``by``-th on."""
+    code = F.ascii(c).cast("long")
+    low = code - code % 32
 
+    def at(i: Column) -> Column:
+        return F.decode(F.unhex(F.lpad(F.hex(low + (code + by + i) % 32), 8, "0")), "UTF-32")
 
-def _moved_elsewhere(c: Column, by: Column) -> Column:
-    """A letter or digit that no alphabet lists, moved within its script."""
-    words, runs = _other_letters()
-    at, code = F.instr(F.lit(words), c), F.ascii(c).cast("long")
-    head = F.substring_index(F.substr(F.lit(words), F.lit(1), at - 1), " ", -1)
-    word = F.concat(head, F.substring_index(F.substr(F.lit(words), at), " ", 1))
-    in_word = F.substr(word, (F.pmod(F.length(head) + by, F.length(word)) + 1).cast("int"), F.lit(1))
-    moved = F.lit(None).cast("long")
-    for first, size in runs:  # the noise has 256 steps: times a prime, for runs are longer
-        moved = F.when(code.between(first, first + size - 1), (code - first + by * 79) % size + first).otherwise(moved)
-    in_run = F.decode(F.unhex(F.lpad(F.hex(moved), 8, "0")), "UTF-32")
-    return F.when(at > 0, in_word).otherwise(F.coalesce(in_run, c))
+    def alike(x: Column) -> Column:
+        same = [x.rlike(p) == c.rlike(p) for p in (r"^\p{Lu}$", r"^\p{N}$", r"^\p{Ll}$")]
+        return functools.reduce(lambda a, b: a & b, same, x.rlike(r"^[\p{L}\p{N}]$"))
+
+    near = F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(31)), at), alike), 0)
+    return F.when(c.rlike(r"^[\p{L}\p{N}]$"), F.coalesce(near, c)).otherwise(c)
+
+
+_LETTERS = " ".join(ALPHABETS)
 
 
 def _moved(text: Column, noise: Column, hexadecimal: Column) -> Column:
@@ -190,16 +195,32 @@ def _moved(text: Column, noise: Column, hexadecimal: Column) -> Column:
 
     def move(c: Column, i: Column) -> Column:
         by = F.conv(F.substr(noise, (i % 31) * 2 + 1, F.lit(2)), 16, 10).cast("int") + F.floor(i / 31)
-        out = F.when(c > "\x7f", _moved_elsewhere(c, by)).otherwise(c)
-        for letters in ALPHABETS:
-            at = F.instr(F.lit(letters), c)
-            size = F.lit(len(letters)) if letters[0] not in "aA" else F.when(hexadecimal & (at <= 6), 6).otherwise(len(letters))
-            out = F.when(at > 0, F.substr(F.lit(letters), ((at - 1 + by) % size).cast("int") + 1, F.lit(1))).otherwise(out)
-        return out
+        at = F.instr(F.lit(_LETTERS), c)
+        head = F.substring_index(F.substr(F.lit(_LETTERS), F.lit(1), at - 1), " ", -1)
+        alphabet = F.concat(head, F.substring_index(F.substr(F.lit(_LETTERS), at), " ", 1))
+        size = F.when(hexadecimal & c.rlike("^[a-fA-F]$"), 6).otherwise(F.length(alphabet))
+        listed = F.substr(alphabet, ((F.length(head) + by) % size).cast("int") + 1, F.lit(1))
+        return F.when((c == " ") | (c == ""), c).when(at > 0, listed).when(c > "\x7f", _moved_elsewhere(c, by)).otherwise(c)
 
     return F.array_join(F.transform(F.split(text, ""), move), "")
 
 
+def _composed(of: str, noise: Column, gender: Column, attempt: Column) -> Column:
+    """A name of syllables that the noise chooses; from the second attempt on with one more, from ``GROW`` on one more an attempt."""
+    begin, middle, vowels = SYLLABLES[of.split(":")[1]]
+
+    def pick(texts: str, place: Column | int) -> Column:
+        choice = texts.split()
+        number = F.conv(F.substr(noise, F.lit(1) + F.lit(place) * 5 if isinstance(place, int) else F.lit(1) + place * 5, F.lit(6)), 16, 10).cast("long")
+        return F.get(F.array(*map(F.lit, choice)), (number % len(choice)).cast("int"))
+
+    longer = F.when((attempt > 0) | (F.substr(noise, F.lit(64), F.lit(1)) > "7"), 1).otherwise(0)
+    more = longer + F.greatest(attempt - GROW + 1, F.lit(0))
+    inner = F.transform(F.sequence(F.lit(1), F.lit(1) + more), lambda i: F.when(i > 1, F.concat(pick(vowels, (i * 2) % 11), pick(middle, (i * 2 + 1) % 11))).otherwise(pick(middle, 1)))
+    ending = functools.reduce(lambda out, g: F.when(gender == g, pick(ENDINGS[of][g], 11)).otherwise(out), [g for g in ENDINGS[of] if g != "x"], pick(ENDINGS[of]["x"], 11))
+    return F.concat(pick(begin, 0), F.array_join(inner, ""), ending)
+
+
 def _grown(kind: Column, norm: Column, attempt: Column) -> Column:
     """The normal form whose letters and digits are moved: longer by a character an attempt from ``GROW`` on."""
     by = F.greatest(attempt - GROW + 1, F.lit(0))
@@ -214,12 +235,19 @@ def _grown(kind: Column, norm: Column, attempt: Column) -> Column:
     )
 
 
-def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
+def surrogate(key: str, kind: Column, norm: Column, gender: Column, attempt: Column) -> Column:
     """The keyed surrogate of a normal form: also a normal form."""
-    noise = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 256)
+    made = F.struct(
+        F.sha2(F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string")), 256).alias("noise"),
+        _grown(kind, norm, attempt).alias("grown"),
+        (norm.rlike("^([0-9a-f]+|[0-9A-F]+)$") & (kind == "secret")).alias("hex"),
+    )
+    # Bound once: what stands in a lambda is computed for every character.
+    return F.get(F.transform(F.array(made), lambda x: _formed(kind, norm, gender, attempt, x["noise"], x["grown"], x["hex"])), 0)
+
+
+def _formed(kind: Column, norm: Column, gender: Column, attempt: Column, noise: Column, grown: Column, hexadecimal: Column) -> Column:
     number = F.conv(F.substr(noise, F.lit(50), F.lit(8)), 16, 10).cast("long")
-    grown = _grown(kind, norm, attempt)
-    hexadecimal = norm.rlike("^([0-9a-f]+|[0-9A-F]+)$") & (kind == "secret")
     first = F.substr(grown, F.lit(1), F.lit(1)).cast("int")
 
     def octet(o: Column, i: Column) -> Column:
@@ -244,10 +272,8 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
         )
 
     out = F.transform(F.array(_moved(grown, noise, hexadecimal)), formed)[0]
-    for of, names in NAMES.items():
-        choice = names.split()
-        pick = F.get(F.array(*map(F.lit, choice)), F.pmod(number, F.lit(len(choice))).cast("int"))
-        out = F.when((kind == of) & (attempt < NAME_ATTEMPTS), pick).otherwise(out)
+    for of in ENDINGS:
+        out = F.when(kind == of, _composed(of, noise, gender, attempt)).otherwise(out)
     return out
 
 
@@ -264,20 +290,23 @@ def _whole(kind: Column, norm: Column, surrogate: Column) -> Column:
 
 
 def assign_surrogates(units: DataFrame, key: str) -> DataFrame:
-    """``kind``, ``norm``, ``surrogate`` of the distinct ``kind`` and ``norm``: no two alike within a kind, none a unit of the corpus.
+    """``kind``, ``norm``, ``surrogate`` and ``places`` of the distinct ``kind`` and ``norm``: no two alike within a kind, none a unit of the corpus.
 
     Mailboxes (``norm`` is the address) are told apart within their domain, phone numbers (code, space, number) within their country.
     """
-    units = materialise(units.select("kind", "norm").distinct(), "units")
+    gender = F.col("gender") if "gender" in units.columns else F.lit(None).cast("string")
+    said = units.groupBy("kind", "norm").agg(F.count("*").alias("places"), F.min(gender).alias("least"), F.max(gender).alias("most"))
+    both = F.when(F.col("least") == F.col("most"), F.col("least")).otherwise("x")
+    units = materialise(said.select("kind", "norm", "places", both.alias("gender")), "units")
     known = units.select("kind", F.when(F.col("kind") == "phone", F.replace("norm", F.lit(" "), F.lit(""))).otherwise(F.col("norm")).alias("whole")).distinct()
     done, waiting = [], units
-    made = surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt"))
+    made = surrogate(key, F.col("kind"), F.col("norm"), F.col("gender"), F.col("attempt"))
     for attempt in range(ATTEMPTS):
         tried = waiting.withColumn("attempt", F.lit(attempt)).withColumn("surrogate", made)
         tried = tried.withColumn("whole", _whole(F.col("kind"), F.col("norm"), F.col("surrogate")))
         free = tried.join(functools.reduce(DataFrame.unionAll, [known, *[d.select("kind", "whole") for d in done]]), ["kind", "whole"], "left_anti")
-        won = free.groupBy("kind", "whole").agg(F.min(F.struct("norm", "surrogate")).alias("w"))
-        done.append(materialise(won.select("kind", "w.norm", "w.surrogate", "whole"), "surrogates"))
+        won = free.groupBy("kind", "whole").agg(F.min(F.struct("norm", "surrogate", "places")).alias("w"))
+        done.append(materialise(won.select("kind", "w.norm", "w.surrogate", "w.places", "whole"), "surrogates"))
         waiting = materialise(waiting.join(done[-1], ["kind", "norm"], "left_anti"), "waiting")
         if waiting.isEmpty():
             return functools.reduce(DataFrame.unionAll, done).drop("whole")
@@ -302,25 +331,43 @@ def _shown(kind: Column, found: Column, shown: Column) -> Column:
     )
 
 
+def _with_surrogates(places: DataFrame, made: DataFrame) -> DataFrame:
+    """``places`` with the surrogates of their units; those of units in many places do not go through the shuffle."""
+    made = made.select("kind", "norm", "surrogate", "places")
+    hot, rest = made.filter(F.col("places") >= HOT).drop("places"), made.filter(F.col("places") < HOT).drop("places")
+    if hot.isEmpty():
+        return places.join(rest, ["kind", "norm"], "left")
+    usual = places.join(F.broadcast(hot), ["kind", "norm"], "left_anti").join(rest, ["kind", "norm"], "left")
+    return usual.unionByName(places.join(F.broadcast(hot), ["kind", "norm"]))
+
+
 def replace_pii(docs: DataFrame, key: str, id: str = "doc_id", text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with entities replaced in ``text``; ``count`` names a column for their number."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    key_of = F.struct(F.col("row").getField(id).alias("id"), F.xxhash64("text").alias("h"), F.md5("text").alias("m"))
-    touched = rows.filter(_has_match(F.col("text"))).withColumn("found", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
-    touched = materialise(touched.select("row", "text", key_of.alias("key"), F.transform("found", _units).alias("units")), "pii")
+    key_of = F.struct(F.xxhash64("text").alias("h"), F.md5("text").alias("m"))  # the new text depends on the text alone
+    matches = rows.filter(_has_match(F.col("text"))).withColumn("found", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    matches = matches.withColumn("named", F.exists("found", lambda m: m.rlike("^" + _TITLE)))
+    found = F.when(F.col("named"), F.regexp_extract_all("text", F.lit(WIDE), F.lit(0))).otherwise(F.col("found"))
+    matches = matches.select("row", "text", "named", key_of.alias("key"), found.alias("found"))
+    touched = materialise(matches.withColumn("units", F.transform("found", _units)).drop("found"), "pii")
 
     places = touched.select("key", F.posexplode("units").alias("i", "units")).select("key", "i", F.posexplode("units").alias("j", "u"))
     places = places.select("key", "i", "j", "u.*")
-    pieces = places.join(assign_surrogates(places.filter("kind IS NOT NULL"), key), ["kind", "norm"], "left")
+    own = places.filter(F.col("kind").isNull() | (F.col("kind") != "word"))
+    names = own.filter(F.col("kind").rlike("^(given|surname):")).groupBy("key", "norm").agg(F.min("kind").alias("kind"))
+    again = places.filter("kind = 'word'").drop("kind").join(names, ["key", "norm"], "left")
+    places = materialise(own.unionByName(again.select(*own.columns)), "places")
+    pieces = _with_surrogates(places, assign_surrogates(places.filter("kind IS NOT NULL"), key))
     new = F.concat("before", F.coalesce(_shown(F.col("kind"), F.col("surrogate"), F.col("shown")), F.col("shown")))
     cell = F.struct("i", "j", new.alias("new"), F.col("kind").isNotNull().alias("is"))
-    found = pieces.groupBy("key").agg(F.array_sort(F.array_distinct(F.collect_list(cell))).alias("new"))
+    # A set: the cells of copies of a text are dropped before the shuffle and in it.
+    found = pieces.groupBy("key").agg(F.array_sort(F.collect_set(cell)).alias("new"))
 
-    gaps = F.split("text", PATTERN, -1)
-    filled = F.transform("new", lambda x: F.concat(F.when(x["j"] == 0, F.get(gaps, x["i"])).otherwise(""), x["new"]))
-    changed = touched.alias("t").join(found.alias("f"), F.col("t.key").eqNullSafe(F.col("f.key"))).select(
+    gaps = F.when(F.col("named"), F.split("text", WIDE, -1)).otherwise(F.split("text", PATTERN, -1))
+    filled = F.transform("new", lambda x: F.concat(F.when(x["j"] == 0, F.get("gaps", x["i"])).otherwise(""), x["new"]))
+    changed = touched.join(found, "key").withColumn("gaps", gaps).select(
         "row",
-        F.concat(F.array_join(filled, ""), F.element_at(gaps, -1)).alias("text"),
+        F.concat(F.array_join(filled, ""), F.element_at("gaps", -1)).alias("text"),
         F.size(F.filter("new", lambda x: x["is"] & (x["j"] == 0))).alias("n"),
     )
     clean = rows.filter(~_has_match(F.col("text"))).withColumn("n", F.lit(0))
