@@ -59,13 +59,21 @@ def materialise(df: DataFrame, label: str, split_by: Sequence[str] = ()) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the intermediate tables that :func:`materialise` wrote for this application.
+def written(spark: SparkSession) -> list[str]:
+    """The folders that :func:`materialise` has written for this application, in order."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, folders: Sequence[str] | None = None) -> None:
+    """Delete the intermediate tables that :func:`materialise` wrote for this application, or only ``folders`` of them.
 
     Write or collect results first: what has not been computed from these tables is lost.
     """
+    app = spark.sparkContext.applicationId
+    gone = _written.get(app, []) if folders is None else [f for f in folders if f in _written.get(app, [])]
+    _written[app] = [f for f in _written.get(app, []) if f not in set(gone)]
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written.pop(spark.sparkContext.applicationId, []):
+    for path in gone:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(hadoop).delete(folder, True)
 
