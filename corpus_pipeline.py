@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablelab.llm import decontaminate, jaccard, packing, pii, toxicity
 from tablelab.llm.queries import PII_KEY, table, toxicity_chain
-from tablelab.session import materialise
+from tablelab.session import materialise, release, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +50,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before = len(written(spark))
+        kept = written(spark)[before - 1 : before] if name != STAGES[0][0] else []
         docs = materialise(stage(spark, docs, sf_dir), name)
+        # The stage's own tables and its input are of no use once its output is written.
+        release(spark, kept + written(spark)[before:-1])
     return STAGES[-1][1](spark, docs, sf_dir)
