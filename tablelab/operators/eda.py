@@ -17,6 +17,7 @@ from tablelab.functions.columns import (
     col,
     numeric_columns,
     rounded,
+    row_digest,
 )
 from tablelab.operators.blocks import BLOCK, block_batch, merged
 from tablelab.operators.stats import column_moments, label_counts, numeric_summary
@@ -24,6 +25,8 @@ from tablelab.session import small_table
 
 # Bins of a histogram, rows of a top list, points of a density curve.
 HISTOGRAM_BINS, CATEGORY_ROWS, KDE_GRID = 24, 12, 200
+KDE_FINE = 256  # bins a bandwidth
+SCATTER_POINTS = 1000  # most points a feature
 
 DESCRIBE = "column string, count bigint, mean double, std double, min double, median double, max double"
 
@@ -96,45 +99,32 @@ def _bin(v: Column, low: float, high: float, bins: int) -> Column:
 def kde_curve(df: DataFrame, column: str, grid: int = KDE_GRID) -> DataFrame:
     """Gaussian density with Scott's bandwidth on an even grid over the column's range.
 
-    Each batch of rows adds its kernel sums to the whole grid, so nothing but
-    grid-sized sums is shuffled. A batch is sorted first and a grid point looks
-    only at rows near enough to count, so work per row falls as the bandwidth does.
-    Equal values are one row with their number. Infinite values count as missing.
+    Rows are counted in bins of a 256th of the bandwidth, with the mean and the
+    variance of each: a map-side combined aggregate in generated code. A bin adds
+    to the grid points within nine bandwidths the kernel at its mean, corrected to
+    the second order; what is left out is below 1e-9 of the density. Infinite
+    values count as missing.
     """
     df = df.select(as_finite(column).alias(column))
     s = column_moments(df, [column])[column]
     schema = "grid_no int, x double, density double"
     if s.count < 2 or not s.var_pop:
         return small_table(df.sparkSession, [], schema)
-    width = s.std * s.count ** -0.2
-    points = np.linspace(s.min, s.max, grid)
-    reach = 9 * width  # beyond it a kernel is below 3e-18, too small to change a sum that it is part of
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(grid)
-        for batch in batches:
-            v, n = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_counts=True)
-            first = np.searchsorted(v, points - reach)
-            last = np.searchsorted(v, points + reach, side="right")
-            for g in range(grid):
-                near = (v[first[g] : last[g]] - points[g]) / width
-                total[g] += np.exp(-0.5 * near * near) @ n[first[g] : last[g]]
-        yield pa.RecordBatch.from_pydict(
-            {"grid_no": pa.array(range(grid), pa.int32()), "s": pa.array(total)}
-        )
-
-    values = df.select(col(column).alias("v")).filter("v is not null")
-    scale = s.count * width * math.sqrt(2 * math.pi)
-    step = (s.max - s.min) / (grid - 1)
-    return (
-        values.mapInArrow(sums, "grid_no int, s double")
-        .groupBy("grid_no")
-        .agg(F.sum("s").alias("s"))
-        .select(
-            "grid_no",
-            (F.lit(s.min) + F.col("grid_no") * F.lit(step)).alias("x"),
-            (F.col("s") / F.lit(scale)).alias("density"),
-        )
+    width = s.std * s.count**-0.2
+    step, v = (s.max - s.min) / (grid - 1), col(column)
+    bins = df.filter(v.isNotNull()).groupBy(F.floor((v - F.lit(s.min)) / F.lit(width / KDE_FINE)).alias("bin"))
+    bins = bins.agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("var"))
+    place, reach = (F.col("mean") - F.lit(s.min)) / F.lit(step), 9 * width / step  # beyond it a kernel is below 3e-18
+    low, high = F.greatest(F.ceil(place - reach), F.lit(0)), F.least(F.floor(place + reach), F.lit(grid - 1))
+    near = bins.filter(low <= high).select("n", "mean", "var", F.explode(F.sequence(low, high)).alias("grid_no"))
+    z = (F.col("mean") - F.lit(s.min) - F.col("grid_no") * F.lit(step)) / F.lit(width)
+    near = near.select("grid_no", "n", (z * z).alias("z2"), (F.col("var") / F.lit(2 * width * width)).alias("spread"))
+    sums = near.groupBy("grid_no").agg(F.sum(F.col("n") * F.exp(F.col("z2") * -0.5) * (1 + (F.col("z2") - 1) * F.col("spread"))).alias("s"))
+    points = df.sparkSession.range(grid).select(F.col("id").alias("grid_no"))
+    return points.join(F.broadcast(sums), "grid_no", "left").select(  # as many rows as grid points
+        F.col("grid_no").cast("int").alias("grid_no"),
+        (F.lit(s.min) + F.col("grid_no") * F.lit(step)).alias("x"),
+        (F.coalesce("s", F.lit(0.0)) / F.lit(s.count * width * math.sqrt(2 * math.pi))).alias("density"),
     )
 
 
@@ -191,6 +181,26 @@ def scatter_points(df: DataFrame, target: str, features: Sequence[str] | None =
     )
 
 
+def scatter_sample(
+    df: DataFrame, target: str, key: Sequence[str], features: Sequence[str] | None = None, points: int = SCATTER_POINTS
+) -> DataFrame:
+    """For each feature the ``points`` pairs of values whose rows have the smallest key digests: ``feature``, ``key``, ``x``, ``y``.
+
+    Each task keeps the smallest ones of its own, and the same rows come out on every partitioning.
+    """
+    features = list(features or [c for c in numeric_columns(df) if c != target and c not in key])
+    keys = [f"k{i}" for i in range(len(key))]
+    cells = df.select(
+        row_digest(key).alias("d"), *[col(k).alias(n) for k, n in zip(key, keys)], as_double(target).alias("y"),
+        *[as_double(c).alias(f"{i}") for i, c in enumerate(features)],
+    )
+    names = F.array(*[F.lit(c) for c in features])
+    pairs = cells.unpivot(["d", *keys, "y"], [col(f"{i}") for i in range(len(features))], "i", "x").filter("x is not null and y is not null")
+    place = F.row_number().over(Window.partitionBy("i").orderBy("d", *keys))
+    kept = pairs.withColumn("place", place).filter(F.col("place") <= points)
+    return kept.select(names[F.col("i").cast("int")].alias("feature"), *[F.col(n).alias(k) for k, n in zip(key, keys)], "x", "y")
+
+
 def scatter_bins(
     df: DataFrame, target: str, features: Sequence[str] | None = None, bins: int = HISTOGRAM_BINS
 ) -> DataFrame:

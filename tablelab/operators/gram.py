@@ -121,25 +121,41 @@ def grams(
     return {f: Gram(names, g, shift) for f, g in sorted(found.items())}
 
 
-def triangle(df: DataFrame, spec: FeatureSpec, target: str, shift: float) -> np.ndarray:
-    """The triangular factor of the rows ``(1, x, y - shift)``.
+def triangle(df: DataFrame, spec: FeatureSpec, target: str, shift: float, degree: int = 1) -> np.ndarray:
+    """The triangular factor of the rows ``(1, x, y - shift)``; with ``degree`` 2, x holds the squares and products, too.
 
     It has the singular values of the rows themselves, where cross products
-    would square them. Each task reduces its batches to a factor of its own.
+    would square them. Each task reduces its batches to a factor of its own,
+    many rows at a time.
     """
-    block, k, size = spec.reader(), len(spec.compact()), spec.width + 2
+    block, k, size = spec.reader(degree), len(spec.compact()), spec.expanded_width(degree) + 2
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = np.zeros((0, size))
+        r, waiting, rows = np.zeros((0, size)), [], 0
         for batch in batches:
-            y = batch.column(k).to_numpy(zero_copy_only=False)
-            r = r_factor(r, np.column_stack([np.ones(len(y)), block(batch), y]))
+            for at in range(0, batch.num_rows, max(size, 1024)):
+                part = batch.slice(at, max(size, 1024))
+                y = part.column(k).to_numpy(zero_copy_only=False)
+                waiting.append(np.column_stack([np.ones(len(y)), block(part), y]))
+                rows += len(y)
+                if rows >= max(size, 1024):
+                    r, waiting, rows = r_factor(r, np.vstack(waiting)), [], 0
+        if rows:
+            r = r_factor(r, np.vstack(waiting))
         yield block_batch({0: r} if len(r) else {})
 
     packed = df.select(*spec.compact(), (col(target) - F.lit(float(shift))).alias("y"))
     return merged(packed.mapInArrow(reduce, BLOCK), size, r_factor).get(0, np.zeros((0, size)))
 
 
+def leading(factor: np.ndarray, width: int) -> np.ndarray:
+    """The factor of the constant, the first ``width`` columns and the target, from that of more columns."""
+    top = factor[: width + 1]
+    rest = np.zeros((1, width + 2))
+    rest[0, -1] = np.linalg.norm(factor[width + 1 :, -1])
+    return np.vstack([np.column_stack([top[:, : width + 1], top[:, -1]]), rest])
+
+
 def gram(df: DataFrame, spec: FeatureSpec, target: str, shift: float = 0.0, degree: int = 1) -> Gram:
     return grams(df, spec, target, shift, degree)[0]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -11,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablelab.functions.columns import col, rounded
 from tablelab.operators.features import (
@@ -21,7 +22,7 @@ from tablelab.operators.features import (
     select_features,
     with_split,
 )
-from tablelab.operators.gram import NARROW, Gram, gram, grams, pseudo_inverse, triangle
+from tablelab.operators.gram import NARROW, Gram, grams, leading, pseudo_inverse, triangle
 from tablelab.operators.ols import linear_expr, singular
 from tablelab.operators.stats import column_moments
 from tablelab.session import materialise, small_table
@@ -34,7 +35,7 @@ NET_RATIOS = (0.15, 0.5, 0.85)
 MAX_SWEEPS = 8000
 HUBER_EPSILON, HUBER_ALPHA, HUBER_ITERATIONS = 1.35, 1e-4, 800
 POLY_FEATURES = 6
-SHARED_WIDTH = 128  # expanded columns up to which the sums of squares and products ride along with the other sums
+SHARED_WIDTH = 128  # expanded columns up to which the linear model takes its factor from that of the squares and products
 RSS_FLOOR = 1e-12
 PREDICTION_ROWS = 240
 
@@ -153,61 +154,113 @@ def fit_ridge_cv(
     return LinearModel(spec, w, _intercept(g, w), alpha=float(alphas[best]))
 
 
-def _net_paths(
-    xx: np.ndarray, xy: np.ndarray, yy: np.ndarray, ratios: np.ndarray, alphas: Sequence[float], tolerance: float = 1e-10
-) -> np.ndarray:
-    """Elastic-net weights ``[alpha, problem, column]`` for falling penalties, by coordinate descent.
+def _optimum(xx, xy, l1: float, l2: float, w):
+    """The weights that minimise w'xx w / 2 - xy'w + l1 |w| + l2 w'w / 2, by an active-set search from ``w``.
 
-    Problem b minimises (y - Xw)'(y - Xw) / 2 + alpha (ratio |w| + (1 - ratio) w'w / 2) for its own
-    cross products per row. Each penalty starts from the solution of the one before and
-    ends with the exact optimum, or a duality gap of ``tolerance`` times ``yy``.
+    The system of the active columns is solved with their signs fixed; a step
+    stops where the first weight changes its sign, and that column leaves. When
+    the signs hold, the columns that break the optimality conditions enter, all
+    at once as long as that goes well. Null if the search does not end.
     """
-    problems, width = xy.shape
-    own = np.einsum("bii->bi", xx)
-    w, slack = np.zeros((problems, width)), xy.copy()
-    out = np.zeros((len(alphas), problems, width))
-    for k, alpha in enumerate(alphas):
-        l1, l2 = alpha * ratios, alpha * (1 - ratios)
-        active = np.arange(problems)
-        for sweep in range(MAX_SWEEPS):
-            a, s, g, d = w[active], slack[active], xx[active], own[active]
-            p1, p2 = l1[active], l2[active]
-            for j in range(width):
-                pull = s[:, j] + d[:, j] * a[:, j]
-                bottom = np.where(d[:, j] > 0, d[:, j] + p2, np.inf)
-                after = np.sign(pull) * np.maximum(np.abs(pull) - p1, 0.0) / bottom
-                s -= (after - a[:, j])[:, None] * g[:, j]
-                a[:, j] = after
-            w[active], slack[active] = a, s
-            if sweep % 5 != 2:
+    sign, w = np.sign(w), w.copy()
+    room, rounds = 1e-9 * max(l1, 1e-12) + 1e-14, 0
+    limit = 20 * len(xy) + 200
+    while rounds < limit:
+        rounds += 1
+        on = np.flatnonzero(sign)
+        if len(on):
+            inner = xx[np.ix_(on, on)] + l2 * np.eye(len(on))
+            try:
+                best = np.linalg.solve(inner, xy[on] - l1 * sign[on])
+            except np.linalg.LinAlgError:
+                return None
+            now = w[on]
+            turned = best * sign[on] <= 0
+            if turned.any():
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    reach = np.where(turned, now / (now - best), np.inf)
+                reach = np.where(turned & (now == 0), 0.0, reach)
+                step = min(1.0, float(reach.min()))
+                w[on] = now + step * (best - now)
+                out = on[turned & (reach <= step * (1 + 1e-12))]
+                w[out] = sign[out] = 0.0
                 continue
-            fit = (a * xy[active]).sum(axis=1)
-            residual = yy[active] - fit - (a * s).sum(axis=1) + p2 * (a * a).sum(axis=1)
-            steepest = np.abs(s - p2[:, None] * a).max(axis=1)
-            share = np.minimum(1.0, p1 / np.maximum(steepest, 1e-300))
-            gap = residual * (1 + share**2) / 2 + p1 * np.abs(a).sum(axis=1) - share * (yy[active] - fit)
-            for i, b in enumerate(active):
-                exact = _solve_support(xx[b], xy[b], p1[i], p2[i], a[i])
-                if exact is not None:
-                    w[b], slack[b], gap[i] = exact, xy[b] - xx[b] @ exact, 0.0
-            active = active[gap > tolerance * yy[active]]
-            if not len(active):
+            w[on] = best
+        pull = xy - xx @ w - l2 * w
+        over = np.where(sign == 0, np.abs(pull) - l1, -np.inf)
+        if over.max(initial=-np.inf) <= room:
+            return w
+        # Many at once at first, one after the other where that starts to turn in circles.
+        enter = np.flatnonzero(over > max(room, 0.5 * over.max())) if rounds < len(xy) else np.array([int(over.argmax())])
+        sign[enter] = np.sign(pull[enter])
+    return None
+
+
+def _descended(xx, xy, yy: float, l1: float, l2: float, w, tolerance: float = 1e-10, sweeps: int = MAX_SWEEPS):
+    """The same by coordinate descent, to a duality gap of ``tolerance`` times ``yy``: for columns that others determine exactly."""
+    own, slack, w = np.diag(xx), xy - xx @ w, w.copy()
+    for _ in range(sweeps):
+        for j in np.flatnonzero((w != 0) | (np.abs(slack) > l1 * (1 - 1e-9))):
+            pull = slack[j] + own[j] * w[j]
+            after = np.sign(pull) * max(abs(pull) - l1, 0.0) / (own[j] + l2) if own[j] > 0 else 0.0
+            if after != w[j]:
+                slack -= (after - w[j]) * xx[:, j]
+                w[j] = after
+        fit = w @ xy
+        residual = yy - fit - w @ slack + l2 * (w @ w)
+        share = min(1.0, l1 / max(float(np.abs(slack - l2 * w).max(initial=0.0)), 1e-300))
+        if residual * (1 + share**2) / 2 + l1 * np.abs(w).sum() - share * (yy - fit) <= tolerance * yy:
+            break
+    return w
+
+
+def net_path(xx, xy, yy: float, ratio: float, alphas: Sequence[float]):
+    """Elastic-net weights ``[alpha, column]`` for falling penalties, from cross products per row.
+
+    Each minimises (y - Xw)'(y - Xw) / 2 + alpha (ratio |w| + (1 - ratio) w'w / 2). A column is
+    looked at if the sequential strong rule keeps it, or if it breaks the optimality conditions of what
+    the others gave; the search starts from the solution of the penalty before.
+    """
+    w, out = np.zeros(len(xy)), np.zeros((len(alphas), len(xy)))
+    before = float(np.abs(xy).max(initial=0.0))
+    for k, alpha in enumerate(alphas):
+        l1, l2 = alpha * ratio, alpha * (1 - ratio)
+        kept = (np.abs(xy - xx @ w) >= 2 * l1 - before) | (w != 0)
+        while True:
+            on = np.flatnonzero(kept)
+            part = xx[np.ix_(on, on)], xy[on]
+            found = _optimum(*part, l1, l2, w[on])
+            if found is None:
+                found = _descended(*part, yy, l1, l2, w[on])
+            w = np.zeros(len(xy))
+            w[on] = found
+            missed = ~kept & (np.abs(xy - xx @ w) > l1 * (1 + 1e-9) + 1e-14)
+            if not missed.any():
                 break
-        out[k] = w
+            kept |= missed
+        out[k], before = w, l1
     return out
 
 
-def _solve_support(xx: np.ndarray, xy: np.ndarray, l1: float, l2: float, w: np.ndarray) -> np.ndarray | None:
-    """The optimum if the nonzero weights and their signs are already the right ones."""
-    on = w != 0
-    out = np.zeros_like(w)
-    try:
-        out[on] = np.linalg.solve(xx[np.ix_(on, on)] + l2 * np.eye(int(on.sum())), xy[on] - l1 * np.sign(w[on]))
-    except np.linalg.LinAlgError:
-        return None
-    gradient = xy - xx @ out - l2 * out
-    right = np.all(np.sign(out[on]) == np.sign(w[on])) and np.all(np.abs(gradient) <= l1 * (1 + 1e-9) + 1e-15)
-    return out if right and np.allclose(gradient[on], l1 * np.sign(w[on]), rtol=1e-6, atol=1e-12) else None
+def _net_paths(spark: SparkSession, sets: Sequence[Gram], ratios: Sequence[float], alphas: Sequence[float]) -> np.ndarray:
+    """The paths ``[ratio, set, alpha, column]``: one task for each set of rows and ratio."""
+    parts = []
+    for g in sets:
+        xx, xy, yy = g.centred()
+        parts.append((xx / g.n, xy / g.n, yy / g.n))
+    shared = spark.sparkContext.broadcast(parts)  # a matrix of the encoded columns for each fold
+    count, penalties = len(sets), list(alphas)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                path = net_path(*shared.value[i % count], ratios[i // count], penalties)
+                yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int64()), "path": pa.array([path.tobytes()], pa.binary())})
+
+    problems = spark.range(0, count * len(ratios), 1, count * len(ratios))
+    found = {r["i"]: np.frombuffer(r["path"], float) for r in problems.mapInArrow(solve, "i long, path binary").collect()}
+    shared.unpersist()
+    return np.stack([found[i] for i in range(len(found))]).reshape(len(ratios), count, len(penalties), -1)
 
 
 def fit_elastic_net_cv(
@@ -219,30 +272,23 @@ def fit_elastic_net_cv(
     """Elastic net with the penalty of least mean squared error over the folds.
 
     Everything follows from one cross-product matrix per fold; the rows are
-    not read again, whatever the number of penalties.
+    not read again, whatever the number of penalties. The paths are worked out
+    on executors, a task for each fold and ratio.
     """
     folds = [by_fold[f] for f in sorted(by_fold)]
     whole = sum(folds[1:], folds[0])
     alphas = sorted(alphas, reverse=True)  # of equal errors the stronger penalty wins
     sets = [whole - held for held in folds] + [whole]
-    parts = [(g.n, *g.centred()) for _ in ratios for g in sets]
-    paths = _net_paths(
-        np.array([xx / n for n, xx, _, _ in parts]),
-        np.array([xy / n for n, _, xy, _ in parts]),
-        np.array([yy / n for n, _, _, yy in parts]),
-        np.repeat(ratios, len(sets)),
-        alphas,
-    )
-    paths = paths.reshape(len(alphas), len(ratios), len(sets), -1)
+    paths = _net_paths(SparkSession.active(), sets, ratios, alphas)
     error = np.zeros((len(ratios), len(alphas)))
     for i, (held, rest) in enumerate(zip(folds, sets)):
-        w = paths[:, :, i].transpose(1, 0, 2)
+        w = paths[:, i]
         # squared error on the held-out rows, for y about the shift
         constants = rest.y_mean - rest.shift - w @ rest.sums / rest.n
         terms = np.concatenate([-constants[..., None], -w, np.ones((*w.shape[:2], 1))], axis=2)
         error += np.einsum("rai,ij,raj->ra", terms, held.cross, terms, optimize=True) / held.n / len(folds)
     r, a = divmod(int(np.argmin(error)), len(alphas))
-    w = paths[a, r, -1]
+    w = paths[r, -1, a]
     return LinearModel(spec, w, _intercept(whole, w), alpha=float(alphas[a]), l1_ratio=float(ratios[r]))
 
 
@@ -283,12 +329,18 @@ def fit_iterative(spec: FeatureSpec, train: DataFrame, target: str, degree: int
 
 
 def fit_poly2(
-    spec: FeatureSpec, train: DataFrame, target: str, g: Gram | None = None, solver: str = "exact"
+    spec: FeatureSpec, train: DataFrame, target: str, factor: np.ndarray | None = None, solver: str = "exact"
 ) -> LinearModel | VectorModel:
-    """Least squares on the encoded columns, their squares and products; ``solver="iterative"`` for an approximate fit of very wide designs."""
+    """Least squares on the encoded columns, their squares and products, from the triangular factor of the expanded rows.
+
+    ``solver="iterative"`` for an approximate fit of very wide designs.
+    """
     if solver == "iterative":
         return fit_iterative(spec, train, target, 2)
-    return fit_linear(spec, g or gram(train, spec, target, spec.target.mean, 2), 2)
+    shift = spec.target.mean
+    factor = triangle(train, spec, target, shift, 2) if factor is None else factor
+    names = [f"z{i}" for i in range(spec.expanded_width(2))]
+    return fit_linear(spec, Gram(names, factor.T @ factor, shift), 2, factor)
 
 
 def _score(sums: DataFrame) -> DataFrame:
@@ -369,16 +421,11 @@ def best_model(table: DataFrame) -> DataFrame:
     return table.filter("rmse is not null").orderBy("rmse", "candidate").limit(1)
 
 
-def _train_sums(
-    train: DataFrame, spec: FeatureSpec, target: str, squares: bool
-) -> tuple[dict[int, Gram], Gram, Gram | None]:
-    """Sums per fold and overall, with squares and products where they are few: one pass."""
-    degree = 2 if squares and spec.expanded_width(2) <= SHARED_WIDTH else 1
-    found = grams(train, spec, target, spec.target.mean, degree, F.col("_fold"))
-    parts = list(found.values())
-    total = sum(parts[1:], parts[0])
-    by_fold = {f: g.first(spec.width) for f, g in found.items()}
-    return by_fold, total.first(spec.width), total if degree == 2 else None
+def _train_sums(train: DataFrame, spec: FeatureSpec, target: str) -> tuple[dict[int, Gram], Gram]:
+    """Sums per fold and overall: one pass."""
+    by_fold = grams(train, spec, target, spec.target.mean, fold=F.col("_fold"))
+    parts = list(by_fold.values())
+    return by_fold, sum(parts[1:], parts[0])
 
 
 def compare_models(df: DataFrame, target: str, features: Sequence[str], key: Sequence[str]) -> Comparison:
@@ -399,17 +446,25 @@ def compare_models(df: DataFrame, target: str, features: Sequence[str], key: Seq
     if not spec.width:
         raise ValueError("no feature column holds a value")
     shift = spec.target.mean
-    by_fold, whole, squares = _train_sums(train, spec, target, len(features) <= POLY_FEATURES)
+    by_fold, whole = _train_sums(train, spec, target)
+    expanded = len(features) <= POLY_FEATURES
+
+    @functools.cache
+    def factor(degree: int) -> np.ndarray:
+        """One pass gives the factors of both degrees where the expanded columns are few."""
+        if degree == 1 and expanded and spec.expanded_width(2) <= SHARED_WIDTH:
+            return leading(factor(2), spec.width)
+        return triangle(train, spec, target, shift, degree)
 
     candidates: list[tuple[str, Callable]] = [
-        ("Linear Regression", lambda: fit_linear(spec, whole, factor=triangle(train, spec, target, shift))),
+        ("Linear Regression", lambda: fit_linear(spec, whole, factor=factor(1))),
         ("Ridge", lambda: fit_ridge_cv(spec, whole, train, target)),
         ("LASSO", lambda: fit_lasso_cv(spec, by_fold)),
         ("ElasticNet", lambda: fit_elastic_net_cv(spec, by_fold)),
         ("Huber Robust", lambda: fit_huber(spec, train, target)),
     ]
-    if len(features) <= POLY_FEATURES:
-        candidates.append(("Polynomial Degree 2", lambda: fit_poly2(spec, train, target, squares)))
+    if expanded:
+        candidates.append(("Polynomial Degree 2", lambda: fit_poly2(spec, train, target, factor(2))))
 
     models: dict[str, LinearModel | VectorModel] = {}
     errors: dict[str, str] = {}

@@ -11,13 +11,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablelab.functions.columns import col
+from tablelab.functions.columns import col, row_digest
 from tablelab.functions.distributions import add_normal_quantile, chi_square_tail, shapiro_from_sums
 from tablelab.operators.features import FeatureSpec
 from tablelab.operators.gram import NARROW, Gram, triangle
 from tablelab.operators.stats import column_moments, order_bin
 from tablelab.session import small_table
 
+QQ_POINTS, SAMPLE_POINTS = 1000, 1000  # most points of a chart
 BROADCAST_ROWS = 100_000  # most rows of a lookup table that is sent to every task
 SPREAD = 65536  # most ranks of one value that one row unfolds to
 
@@ -226,10 +227,10 @@ def shapiro_residuals(fit: OlsFit, df: DataFrame) -> tuple[int, float | None, fl
 
     The calibration of the p-value is published for up to 5000 values; beyond, it is carried on.
     """
-    placed, n = ranked(ols_residuals(fit, df), "residual")
-    if placed is None:
+    ranks, n = ranked(ols_residuals(fit, df), "residual")
+    if ranks is None:
         return (n, 1.0, 1.0) if n > 2 else (n, None, None)
-    p = placed.withColumn("p", (F.col("rank") - 0.375) / F.lit(n + 0.25))
+    p = ranks.withColumn("p", (F.col("rank") - 0.375) / F.lit(n + 0.25))
     v, m = F.col("sample"), F.col("m")
     ends = F.collect_list(F.when((F.col("rank") <= 2) | (F.col("rank") >= n - 1), F.struct("rank", "sample")))
     found = add_normal_quantile(p, "p", "m").agg(F.sum(m * v), F.sum(m * m), F.avg(v), F.var_pop(v), ends).first()
@@ -279,13 +280,24 @@ def scale_location(fit: OlsFit, df: DataFrame) -> DataFrame:
     return ols_residuals(fit, df).select("fitted", F.sqrt(F.abs("residual")).alias("sqrt_abs_residual"))
 
 
-def ranked(df: DataFrame, column: str) -> tuple[DataFrame | None, int]:
-    """Every value, standardised, with its rank, and their number; no table for fewer than two different values.
+def _unfolded(placed: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """One row a rank of the values with ``below`` and ``n``; the ranks of a very frequent value unfold in many tasks."""
+    chunks = F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(SPREAD))).alias("at")
+    parts = placed.select(*keep, "sample", "below", "n", chunks)
+    if placed.filter(F.col("n") > SPREAD).limit(1).count():
+        parts = parts.repartition("sample", "at")
+    size = F.least(F.lit(SPREAD), F.col("n") - F.col("at"))
+    first = F.col("below") + F.col("at")
+    return parts.select(*keep, "sample", F.explode(F.sequence(first + 1, first + size)).alias("rank"))
+
+
+def placed(df: DataFrame, column: str) -> tuple[DataFrame | None, int]:
+    """Every different value, standardised (``sample``), with the number of rows ``below`` it and its own ``n``; and the number of all rows.
 
-    Ranks over the whole table without one big sort: distinct values with their
-    counts go to bins that follow their order, each bin is ranked on its own and
-    starts after the rows of the bins below it. Copies of a value take the ranks
-    that follow each other; a frequent value's ranks are spread over many tasks.
+    No table for fewer than two different values. Ranks over the whole table
+    without one big sort: distinct values with their counts go to bins that
+    follow their order, each bin is ranked on its own and starts after the rows
+    of the bins below it. Copies of a value take the ranks that follow each other.
     """
     s = column_moments(df, [column])[column]
     if s.count < 2 or not s.var_pop:
@@ -298,30 +310,95 @@ def ranked(df: DataFrame, column: str) -> tuple[DataFrame | None, int]:
         .agg(F.count("*").alias("n"))
         .withColumn("bin", order_bin(F.col("sample"), per_e))
     )
-    # One row per bin, some thousands for a column of any length: where each bin starts.
-    sizes = values.groupBy("bin").agg(F.sum("n").alias("size"), F.max("n").alias("most")).orderBy("bin").toPandas()
+    # One row per bin, where each starts: thousands for most columns, up to some hundred thousand for long tables of wide range.
+    sizes = values.groupBy("bin").agg(F.sum("n").alias("size")).orderBy("bin").toPandas()
     offsets = sizes["size"].cumsum() - sizes["size"]
     starts = small_table(df.sparkSession, list(zip(sizes["bin"].tolist(), offsets.tolist())), "bin bigint, start bigint")
     inside = Window.partitionBy("bin").orderBy("sample").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
+    found = (
         values.withColumn("skip", F.coalesce(F.sum("n").over(inside), F.lit(0)))
         .join(F.broadcast(starts) if len(sizes) <= BROADCAST_ROWS else starts, "bin")
         .select("sample", (F.col("start") + F.col("skip")).alias("below"), "n")
     )
-    if int(sizes["most"].max()) > SPREAD:  # the ranks of a very frequent value unfold in many tasks
-        chunks = F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(SPREAD))).alias("at")
-        parts = placed.select("sample", "below", "n", chunks).repartition("sample", "at")
-        placed = parts.select(
-            "sample", (F.col("below") + F.col("at")).alias("below"), F.least(F.lit(SPREAD), F.col("n") - F.col("at")).alias("n")
-        )
-    ranks = placed.select("sample", F.explode(F.sequence(F.col("below"), F.col("below") + F.col("n") - 1)).alias("r"))
-    return ranks.select((F.col("r") + 1).alias("rank"), "sample"), s.count
+    return found, s.count
+
+
+def ranked(df: DataFrame, column: str) -> tuple[DataFrame | None, int]:
+    """Every value, standardised, with its rank, and their number; no table for fewer than two different values."""
+    found, n = placed(df, column)
+    return (None if found is None else _unfolded(found, [])), n
+
+
+def shapiro_by_group(df: DataFrame, column: str, groups: Sequence[str]) -> DataFrame:
+    """One Shapiro-Wilk test a group: the ``groups`` columns, ``n``, ``w`` and ``p``.
+
+    As for all rows, different values with their counts are ranked in bins that
+    follow their order, here for each group, so that a group of nearly all rows
+    is spread over its bins. Nulls are a group of their own. What is shuffled
+    after that is a row a group and task.
+    """
+    rows = df.select(F.struct(*[col(g).alias(f"g{i}") for i, g in enumerate(groups)]).alias("g"), col(column).cast("double").alias("sample"))
+    per_e = min(4096, max(8, df.count() // 1_000_000))
+    values = rows.filter("sample IS NOT NULL").groupBy("g", "sample").agg(F.count("*").alias("n"))
+    values = values.withColumn("bin", order_bin(F.col("sample"), per_e))
+    of_group, before = Window.partitionBy("g"), Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = values.groupBy("g", "bin").agg(F.sum("n").alias("size"))  # a row a bin
+    starts = starts.select("g", "bin", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), F.sum("size").over(of_group).alias("total"))
+    inside = Window.partitionBy("g", "bin").orderBy("sample").rowsBetween(Window.unboundedPreceding, -1)
+    found = values.withColumn("skip", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, ["g", "bin"])
+    found = found.select("g", "total", "sample", (F.col("start") + F.col("skip")).alias("below"), "n")
+    ranks = _unfolded(found, ["g", "total"]).withColumn("p", (F.col("rank") - 0.375) / (F.col("total") + 0.25))
+    v, m = F.col("sample"), F.col("m")
+    ends = F.collect_list(F.when((F.col("rank") <= 2) | (F.col("rank") >= F.col("total") - 1), F.struct("rank", "sample")))
+    sums = add_normal_quantile(ranks, "p", "m").groupBy("g").agg(
+        F.count("*").alias("n"), F.sum(m * v).alias("cross"), F.sum(m * m).alias("norm"), F.var_pop(v).alias("var"), F.array_sort(ends).alias("ends")
+    )
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, p = [], []
+            for n, cross, norm, var, ends in zip(*(batch.column(i).to_pylist() for i in range(1, 6))):
+                found = (1.0, 1.0) if n > 2 and not var else shapiro_from_sums(n, cross, norm, [e["sample"] for e in ends], var * n) if n > 2 else None
+                w.append(found and found[0])
+                p.append(found and found[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(w, pa.float64()), pa.array(p, pa.float64())], names=["g", "n", "w", "p"])
+
+    kind = sums.schema["g"].dataType.simpleString()
+    out = sums.mapInArrow(test, f"g {kind}, n long, w double, p double")
+    return out.select(*[F.col(f"g.g{i}").alias(g) for i, g in enumerate(groups)], "n", "w", "p")
 
 
 def qq_points(df: DataFrame, column: str) -> DataFrame:
     """Every value, standardised, against the normal quantile at rank / (n + 1)."""
-    placed, n = ranked(df, column)
-    if placed is None:
+    ranks, n = ranked(df, column)
+    if ranks is None:
+        return small_table(df.sparkSession, [], "rank bigint, theoretical double, sample double")
+    at = ranks.withColumn("p", F.col("rank") / F.lit(float(n + 1)))
+    return add_normal_quantile(at, "p", "theoretical").select("rank", "theoretical", "sample")
+
+
+def qq_grid(df: DataFrame, column: str, points: int = QQ_POINTS) -> DataFrame:
+    """The rows of :func:`qq_points` at ``points`` even ranks, the first and the last among them: a bounded result for a table of any size.
+
+    The values are exact; a value unfolds only into those of its ranks that are asked for.
+    """
+    found, n = placed(df, column)
+    if found is None:
         return small_table(df.sparkSession, [], "rank bigint, theoretical double, sample double")
-    at = placed.withColumn("p", F.col("rank") / F.lit(float(n + 1)))
+    steps = min(points, n) - 1
+    # Point i has rank 1 + floor(i (n - 1) / steps): the first and the last i whose rank falls into the ranks of a value.
+    low = F.expr(f"(below * {steps} + {n - 2}) div {n - 1}")
+    high = F.least(F.expr(f"((below + n) * {steps} + {n - 2}) div {n - 1} - 1"), F.lit(steps))
+    wanted = found.withColumn("low", low).withColumn("high", high).filter("low <= high")
+    at = wanted.select("sample", F.explode(F.sequence("low", "high")).alias("i"))
+    at = at.select("sample", F.expr(f"1 + (i * {n - 1}) div {steps}").alias("rank")).withColumn("p", F.col("rank") / F.lit(float(n + 1)))
     return add_normal_quantile(at, "p", "theoretical").select("rank", "theoretical", "sample")
+
+
+def residual_sample(fit: OlsFit, df: DataFrame, key: Sequence[str], points: int = SAMPLE_POINTS) -> DataFrame:
+    """``key``, fitted value, residual and the root of its size of ``points`` rows: those with the smallest key digests.
+
+    Each task keeps its own smallest ones, so that as many rows a task meet. The same rows on every partitioning.
+    """
+    rows = ols_residuals(fit, df).select(*[col(k) for k in key], "fitted", "residual", F.sqrt(F.abs("residual")).alias("sqrt_abs_residual"))
+    return rows.filter("residual IS NOT NULL").orderBy(row_digest(key), *[col(k) for k in key]).limit(points)

@@ -274,6 +274,53 @@ def _(spark, folder):
     return points.select("rank", F.round("sample", 5).alias("sample"))
 
 
+@query(
+    "qq_grid",
+    f"""WITH {ONE}, r AS (SELECT row_number() OVER (ORDER BY e) AS rank, count(*) OVER () AS n,
+      round((e - avg(e) OVER ()) / stddev_pop(e) OVER (), 5) AS sample FROM res),
+    g AS (SELECT DISTINCT 1 + (i * (n - 1)) // (least(200, n) - 1) AS rank FROM (SELECT count(*) AS n FROM res), (SELECT range AS i FROM range(200)) WHERE i < n)
+    SELECT rank, sample, round(rank / (n + 1), 9) AS p FROM r JOIN g USING (rank)""",
+)
+def _(spark, folder):
+    """The share below each point is what its theoretical quantile is the quantile of."""
+    fit, rows = _one(spark, folder)
+    points = ols.qq_grid(ols.ols_residuals(fit, rows), "residual", 200)
+    share = F.round(F.col("rank") / F.lit(float(fit.n + 1)), 9)
+    return points.select("rank", F.round("sample", 5).alias("sample"), share.alias("p"))
+
+
+@query(
+    "residual_sample",
+    f"WITH {ONE} SELECT event_id, round(fitted, 5) AS fitted, round(e, 5) AS residual, round(sqrt(abs(e)), 5) AS sqrt_abs_residual "
+    "FROM res WHERE e IS NOT NULL ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT 300",
+)
+def _(spark, folder):
+    fit, rows = _one(spark, folder)
+    points = ols.residual_sample(fit, rows, ["event_id"], 300)
+    return points.select("event_id", *[F.round(c, 5).alias(c) for c in ("fitted", "residual", "sqrt_abs_residual")])
+
+
+@query("shapiro_by_group")
+def _(spark, folder):
+    return ols.shapiro_by_group(table(spark, folder, "lineitem"), "l_extendedprice", ["l_returnflag", "l_linestatus"])
+
+
+NEAR = """SELECT p_partkey, CAST(p_size AS DOUBLE) AS a, p_size + 1e-6 * sin(p_partkey) AS b, 2.0 * p_size + 1e5 * (1e-6 * sin(p_partkey)) AS y FROM part"""
+
+
+@query("near_collinear", f"SELECT p_partkey, round(y, 2) AS linear, round(y, 2) AS squares FROM ({NEAR})")
+def _(spark, folder):
+    """Columns that differ in the sixth digit, and a target that only their difference tells: both fits give the target back."""
+    rows = spark.sql(NEAR.replace("FROM part", "FROM {part}"), part=table(spark, folder, "part"))
+    spec = features.FeatureSpec.fit(rows, ["a", "b"], "y")
+    factor = gram.triangle(rows, spec, "y", spec.target.mean, 2)
+    part = gram.leading(factor, spec.width)
+    linear = models.fit_linear(spec, gram.Gram(spec.names, part.T @ part, spec.target.mean), factor=part)
+    squares = models.fit_poly2(spec, rows, "y", factor)
+    out = squares.predict(linear.predict(rows, "linear"), "squares")
+    return out.select("p_partkey", F.round("linear", 2).alias("linear"), F.round("squares", 2).alias("squares"))
+
+
 @query("shapiro_wilk")
 def _(spark, folder):
     fit, rows = _one(spark, folder)

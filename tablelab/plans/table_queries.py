@@ -379,6 +379,16 @@ def _(spark, folder):
     return eda.scatter_points(table(spark, folder, "part"), "p_retailprice")
 
 
+@query(
+    "scatter_sample",
+    "SELECT feature, p_partkey, x, y FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY md5(CAST(p_partkey AS VARCHAR)), p_partkey) AS place FROM ("
+    + _union([f"SELECT '{c}' AS feature, p_partkey, CAST({c} AS DOUBLE) AS x, p_retailprice AS y FROM part" for c in ("p_size",)])
+    + ") WHERE x IS NOT NULL AND y IS NOT NULL) WHERE place <= 300",
+)
+def _(spark, folder):
+    return eda.scatter_sample(table(spark, folder, "part"), "p_retailprice", ["p_partkey"], points=300)
+
+
 @query(
     "scatter_bins",
     "SELECT feature, CAST(xb AS INTEGER) AS x_bin, CAST(yb AS INTEGER) AS y_bin, count(*) AS n FROM ("

@@ -1,3 +1,4 @@
+import hashlib
 import numpy as np
 import pandas as pd
 import pytest
@@ -95,3 +96,12 @@ def test_infinite_values_count_as_missing(spark):
     plain = df.filter("abs(x) < 100")
     assert sorted(eda.histogram(df).collect()) == sorted(eda.histogram(plain).collect())
     assert sorted(eda.kde_curve(df, "x").collect()) == sorted(eda.kde_curve(plain, "x").collect())
+
+
+def test_scatter_sample_is_the_same_on_every_partitioning(spark):
+    rows = [(i, float(i % 7), None if i % 3 else float(i), float(i * i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, y double")
+    found = [sorted(map(tuple, eda.scatter_sample(df.repartition(p), "y", ["k"], points=40).collect())) for p in (1, 6)]
+    assert found[0] == found[1] and len(found[0]) == 80
+    want = sorted((r for r in rows if r[2] is not None), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest())[:40]
+    assert {r[1] for r in found[0] if r[0] == "b"} == {r[0] for r in want}

@@ -1,3 +1,4 @@
+import time
 from statistics import NormalDist
 
 import numpy as np
@@ -294,8 +295,42 @@ def test_nearly_collinear_columns(spark, eps):
     others = z[:, 2:]
     left = ((z[:, 1:2] - others @ np.linalg.lstsq(others, z[:, 1:2], rcond=None)[0]) ** 2).sum()
     assert dict(ols.vif_values(fit))["numeric__a"] == pytest.approx(400 / left, rel=1e-4)
-    table = models.compare_models(df, "y", ["a", "b"], ["k"]).table.filter("model = 'Linear Regression'").first()
-    assert table["r2"] == pytest.approx(1, abs=1e-6)
+    found = {r.model: r.r2 for r in models.compare_models(df, "y", ["a", "b"], ["k"]).table.collect()}
+    assert found["Linear Regression"] == pytest.approx(1, abs=1e-6) and found["Polynomial Degree 2"] == pytest.approx(1, abs=1e-6)
+
+
+def test_factor_of_fewer_columns_comes_from_that_of_more(frame):
+    _, df = frame
+    spec = features.FeatureSpec.fit(df, ["a", "b", "c"], "y")
+    more, fewer = (gram.triangle(df, spec, "y", spec.target.mean, d) for d in (2, 1))
+    part = gram.leading(more, spec.width)
+    assert np.allclose(part.T @ part, fewer.T @ fewer)
+
+
+@pytest.mark.parametrize("kind", ["independent", "correlated", "copies"])
+@pytest.mark.parametrize("ratio", [1.0, 0.15])
+def test_penalised_paths_are_optimal(kind, ratio):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1500, 200))
+    if kind == "correlated":
+        x = rng.normal(size=(1500, 1)) + 0.3 * x
+    if kind == "copies":
+        x[:, 100:] = x[:, :100]
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    y = x[:, :20] @ rng.normal(size=20) + rng.normal(size=1500)
+    y -= y.mean()
+    xx, xy, yy = x.T @ x / 1500, x.T @ y / 1500, float(y @ y / 1500)
+    alphas = sorted(models.LASSO_ALPHAS, reverse=True)
+    started = time.perf_counter()
+    path = models.net_path(xx, xy, yy, ratio, alphas)
+    assert time.perf_counter() - started < 10
+    for alpha, w in zip(alphas, path):
+        pull, on = xy - xx @ w - alpha * (1 - ratio) * w, w != 0
+        assert np.allclose(pull[on], alpha * ratio * np.sign(w[on]), atol=1e-8) and (np.abs(pull) <= alpha * ratio + 1e-8).all()
+    if kind == "independent":
+        k = 12
+        other = models._descended(xx, xy, yy, alphas[k] * ratio, alphas[k] * (1 - ratio), np.zeros(200), 1e-18, 3000)
+        assert np.allclose(other, path[k], atol=1e-7)
 
 
 def test_more_columns_than_the_display_limits(spark):
@@ -376,3 +411,40 @@ def test_constant_and_empty_features(spark):
     assert fit.spec.names == ["numeric__x", "numeric__c"]
     assert fit.statistics()["r2"] == pytest.approx(1.0)
     assert dict(ols.vif_values(fit))["numeric__c"] is None
+
+
+def test_shapiro_by_group_equals_each_group_alone(spark):
+    rng = np.random.default_rng(21)
+    groups = np.where(rng.random(3000) < 0.95, "hot", rng.choice(["a", "b", None], 3000))
+    values = np.where(rng.random(3000) < 0.3, 2.5, np.round(rng.exponential(size=3000), 2) - 1e3)
+    rows = [(g, float(v)) for g, v in zip(groups, values)]
+    rows += [("few", 1.0), ("few", 2.0), ("three", 1.0), ("three", 2.0), ("three", 5.0), *[("same", 4.0)] * 6, ("gap", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: (r.n, r.w, r.p) for r in ols.shapiro_by_group(df, "v", ["g"]).collect()}
+    alone = {}
+    for g, v in rows:
+        if v is not None:
+            alone.setdefault(g, []).append(v)
+    assert set(got) == set(alone)
+    for g, own in alone.items():
+        want = shapiro_wilk(own) or (None, None)
+        assert got[g][0] == len(own) and got[g][1:] == (want if want[0] is None else pytest.approx(want, rel=1e-6, abs=1e-9))
+
+
+@pytest.mark.parametrize("n, points", [(50, 7), (50, 200), (1000, 100), (2, 5)])
+def test_qq_grid_holds_points_of_the_whole(spark, n, points):
+    rng = np.random.default_rng(n)
+    values = [*np.round(rng.normal(size=n - n // 3), 1).tolist(), *[0.5] * (n // 3)]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    whole = {r["rank"]: (r.theoretical, r.sample) for r in ols.qq_points(df, "v").collect()}
+    got = {r["rank"]: (r.theoretical, r.sample) for r in ols.qq_grid(df, "v", points).collect()}
+    steps = min(points, n) - 1
+    assert set(got) == {1 + i * (n - 1) // steps for i in range(steps + 1)}
+    assert all(got[r] == pytest.approx(whole[r]) for r in got)
+
+
+def test_residual_sample_does_not_depend_on_partitions(frame):
+    _, df = frame
+    fit = ols.ols_fit(df, "y", ["a", "b"])
+    one, other = (sorted(map(tuple, ols.residual_sample(fit, df.repartition(p), ["k"], 50).collect())) for p in (1, 7))
+    assert [r[0] for r in one] == [r[0] for r in other] and len(one) == 50 and np.allclose(one, other)
