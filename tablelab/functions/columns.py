@@ -68,6 +68,20 @@ def is_missing(df: DataFrame, name: str) -> Column:
     return col(name).isNull()
 
 
+def stamp(value: Column) -> Column:
+    """A time as the report shows it, without a time zone."""
+    return F.date_format(value, "yyyy-MM-dd HH:mm:ss")
+
+
+KEY_BYTES = 16  # of an MD5
+
+
+def text_key(value: Column) -> Column:
+    """A key of at most 16 bytes that tells texts apart: up to 15 bytes the text itself, beyond that its MD5."""
+    text = value.cast("string")
+    return F.when(F.octet_length(text) < KEY_BYTES, text.cast("binary")).otherwise(F.unhex(F.md5(text.cast("binary"))))
+
+
 def as_label(name: str) -> Column:
     """The value as text, missing shown as its own label."""
     return F.coalesce(col(name).cast("string"), F.lit(NULL_LABEL))

@@ -123,14 +123,24 @@ class Cleaned:
 
     data: DataFrame
     before: DataFrame
-    steps: list[tuple[str, str, str | None, str, float | None, float | None]] = field(default_factory=list)
+    steps: list[tuple[str, str | None, str, float | None, float | None]] = field(default_factory=list)
+    renames: list[tuple[str, str]] = field(default_factory=list)
 
     def log(self) -> DataFrame:
-        rows = [(i + 1, ACTIONS[s[0]], *s) for i, s in enumerate(self.steps)]
-        return small_table(self.data.sparkSession, 
-            rows, "ord int, action string, operation string, column string, detail string, low double, high double"
+        """The steps in order: what was done to which column, with fill values and fences, and the names before and after."""
+        names = ", ".join(f"{old} -> {new}" for old, new in self.renames)
+        rows = [(i + 1, ACTIONS[s[0]], *s, names if s[0] == "normalize_columns" else None) for i, s in enumerate(self.steps)]
+        return small_table(
+            self.data.sparkSession,
+            rows,
+            "ord int, action string, operation string, column string, detail string, low double, high double, names string",
         )
 
+    def renamed(self) -> DataFrame:
+        """The columns that got another name, in their order."""
+        rows = [(i + 1, *pair) for i, pair in enumerate(self.renames)]
+        return small_table(self.data.sparkSession, rows, "ord int, before string, after string")
+
     def summary(self) -> DataFrame:
         """Rows, columns and missing cells of both tables, and what was done."""
         sides = [
@@ -186,8 +196,8 @@ def apply_cleaning(df: DataFrame, accepted: Sequence[str], approx: bool = False)
     data = df
     if "normalize_columns" in steps:
         data = normalize_columns(data)
-        renamed = sum(a != b for a, b in zip(df.columns, data.columns))
-        out.steps.append(("normalize_columns", None, f"{renamed} renamed", None, None))
+        out.renames = [(a, b) for a, b in zip(df.columns, data.columns) if a != b]
+        out.steps.append(("normalize_columns", None, f"{len(out.renames)} renamed", None, None))
     if "drop_duplicates" in steps:
         groups = data.groupBy(*[col(c) for c in data.columns]).agg(F.count("*").alias(COPIES))
         written = materialise(groups, "distinct")

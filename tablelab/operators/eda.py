@@ -20,7 +20,7 @@ from tablelab.functions.columns import (
     row_digest,
 )
 from tablelab.operators.blocks import BLOCK, block_batch, merged
-from tablelab.operators.stats import column_moments, label_counts, numeric_summary
+from tablelab.operators.stats import column_moments, numeric_summary, top_labels
 from tablelab.session import small_table
 
 # Bins of a histogram, rows of a top list, points of a density curve.
@@ -97,34 +97,62 @@ def _bin(v: Column, low: float, high: float, bins: int) -> Column:
 
 
 def kde_curve(df: DataFrame, column: str, grid: int = KDE_GRID) -> DataFrame:
-    """Gaussian density with Scott's bandwidth on an even grid over the column's range.
+    """The density of one column, as :func:`density_curves` has it."""
+    return density_curves(df, [column], grid).select("grid_no", "x", "density")
+
+
+def density_curves(df: DataFrame, columns: Sequence[str] | None = None, grid: int = KDE_GRID) -> DataFrame:
+    """Gaussian densities with Scott's bandwidth on an even grid over each column's range.
 
     Rows are counted in bins of a 256th of the bandwidth, with the mean and the
-    variance of each: a map-side combined aggregate in generated code. A bin adds
-    to the grid points within nine bandwidths the kernel at its mean, corrected to
-    the second order; what is left out is below 1e-9 of the density. Infinite
-    values count as missing.
+    variance of each: a map-side combined aggregate in generated code, one for all
+    columns. A bin adds to the grid points within nine bandwidths the kernel at its
+    mean, corrected to the second order; what is left out is below 1e-9 of the
+    density. Infinite values count as missing. A column of fewer than two values,
+    or of equal ones, has no curve.
     """
-    df = df.select(as_finite(column).alias(column))
-    s = column_moments(df, [column])[column]
-    schema = "grid_no int, x double, density double"
-    if s.count < 2 or not s.var_pop:
-        return small_table(df.sparkSession, [], schema)
-    width = s.std * s.count**-0.2
-    step, v = (s.max - s.min) / (grid - 1), col(column)
-    bins = df.filter(v.isNotNull()).groupBy(F.floor((v - F.lit(s.min)) / F.lit(width / KDE_FINE)).alias("bin"))
-    bins = bins.agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("var"))
-    place, reach = (F.col("mean") - F.lit(s.min)) / F.lit(step), 9 * width / step  # beyond it a kernel is below 3e-18
-    low, high = F.greatest(F.ceil(place - reach), F.lit(0)), F.least(F.floor(place + reach), F.lit(grid - 1))
-    near = bins.filter(low <= high).select("n", "mean", "var", F.explode(F.sequence(low, high)).alias("grid_no"))
-    z = (F.col("mean") - F.lit(s.min) - F.col("grid_no") * F.lit(step)) / F.lit(width)
-    near = near.select("grid_no", "n", (z * z).alias("z2"), (F.col("var") / F.lit(2 * width * width)).alias("spread"))
-    sums = near.groupBy("grid_no").agg(F.sum(F.col("n") * F.exp(F.col("z2") * -0.5) * (1 + (F.col("z2") - 1) * F.col("spread"))).alias("s"))
-    points = df.sparkSession.range(grid).select(F.col("id").alias("grid_no"))
-    return points.join(F.broadcast(sums), "grid_no", "left").select(  # as many rows as grid points
+    columns = list(columns or numeric_columns(df))
+    df = df.select(*[as_finite(c).alias(c) for c in columns])
+    kept = [(c, s) for c, s in column_moments(df, columns).items() if s.count >= 2 and s.var_pop]
+    if not kept:
+        return small_table(df.sparkSession, [], "column string, grid_no int, x double, density double")
+    facts = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("column"),
+                F.lit(float(s.min)).alias("low"),
+                F.lit(float((s.max - s.min) / (grid - 1))).alias("step"),
+                F.lit(float(s.std * s.count**-0.2)).alias("width"),
+                F.lit(float(s.count)).alias("count"),
+            )
+            for c, s in kept
+        ]
+    )
+    cells = df.select(*[col(c).alias(f"{i}") for i, (c, _) in enumerate(kept)])
+    if len(kept) == 1:
+        long = cells.select(F.lit(0).alias("i"), col("0").alias("v"))
+    else:
+        long = cells.unpivot([], [col(f"{i}") for i in range(len(kept))], "i", "v").select(F.col("i").cast("int").alias("i"), "v")
+    f, v = facts[F.col("i")], F.col("v")
+    bins = long.filter(v.isNotNull()).groupBy("i", F.floor((v - f["low"]) / (f["width"] / KDE_FINE)).alias("bin"))
+    bins = bins.agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("var")).withColumn("f", f)
+    low, step, width = F.col("f.low"), F.col("f.step"), F.col("f.width")
+    place, reach = (F.col("mean") - low) / step, 9 * width / step  # beyond it a kernel is below 3e-18
+    first, last = F.greatest(F.ceil(place - reach), F.lit(0)), F.least(F.floor(place + reach), F.lit(grid - 1))
+    near = bins.filter(first <= last).select("i", "f", "n", "mean", "var", F.explode(F.sequence(first, last)).alias("grid_no"))
+    z = (F.col("mean") - low - F.col("grid_no") * step) / width
+    near = near.select("i", "grid_no", "n", (z * z).alias("z2"), (F.col("var") / (2 * width * width)).alias("spread"))
+    kernels = F.col("n") * F.exp(F.col("z2") * -0.5) * (1 + (F.col("z2") - 1) * F.col("spread"))
+    sums = near.groupBy("i", "grid_no").agg(F.sum(kernels).alias("s"))
+    points = df.sparkSession.range(len(kept)).select(
+        F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(grid - 1).cast("bigint"))).alias("grid_no")
+    )
+    curves = points.join(F.broadcast(sums), ["i", "grid_no"], "left").withColumn("f", f)  # as many rows as grid points
+    return curves.select(
+        "f.column",
         F.col("grid_no").cast("int").alias("grid_no"),
-        (F.lit(s.min) + F.col("grid_no") * F.lit(step)).alias("x"),
-        (F.coalesce("s", F.lit(0.0)) / F.lit(s.count * width * math.sqrt(2 * math.pi))).alias("density"),
+        (low + F.col("grid_no") * step).alias("x"),
+        (F.coalesce("s", F.lit(0.0)) / (F.col("f.count") * width * math.sqrt(2 * math.pi))).alias("density"),
     )
 
 
@@ -230,16 +258,13 @@ def scatter_bins(
 def top_categories(df: DataFrame, columns: Sequence[str] | None = None, rows: int = CATEGORY_ROWS) -> DataFrame:
     """The most frequent values of the categorical columns, missing as a value of its own.
 
-    Equal counts are ordered by value. Spark keeps only ``rows`` values per
-    partition before the ranking shuffle.
+    Equal counts are ordered by value. No text is shuffled but those of the
+    values that can be listed.
     """
     columns = list(columns or categorical_columns(df))
     if not columns:
         return small_table(df.sparkSession, [], "column string, value string, n bigint, rank int")
-    counts = label_counts(df, columns, NULL_LABEL)
-    order = Window.partitionBy("column").orderBy(F.col("n").desc(), "label")
-    ranked = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
-    return ranked.select("column", F.col("label").alias("value"), "n", "rank")
+    return top_labels(df, columns, rows, NULL_LABEL).select("column", F.col("label").alias("value"), "n", "rank")
 
 
 def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -247,6 +272,5 @@ def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) ->
     columns = list(columns or categorical_columns(df))
     if not columns:
         return small_table(df.sparkSession, [], "column string, unique bigint, top string, top_count bigint")
-    best = F.min(F.struct((-F.col("n")).alias("m"), "label")).alias("x")
-    facts = label_counts(df, columns, NULL_LABEL).groupBy("column").agg(F.count_if(F.col("real") > 0).alias("unique"), best)
-    return facts.select("column", "unique", F.col("x.label").alias("top"), (-F.col("x.m")).alias("top_count"))
+    best = top_labels(df, columns, 1, NULL_LABEL)
+    return best.select("column", "unique", F.col("label").alias("top"), F.col("n").alias("top_count"))

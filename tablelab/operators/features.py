@@ -17,8 +17,10 @@ from tablelab.functions.columns import (
     digest_word,
     numeric_columns,
     parse_number,
+    text_key,
 )
 from tablelab.operators.stats import Summary, column_moments, medians, numeric_summary, value_counts
+from tablelab.session import materialise
 
 # Sizes of the encoding, the split and the folds.
 MAX_LEVELS = 20
@@ -26,6 +28,8 @@ TEST_PER_10000 = 2200
 MIN_ROWS = 12
 INFREQUENT = "infrequent_sklearn"
 
+SEEN_LEVELS = 200_000  # most rare levels, of 16 bytes each, that are sent to every task
+
 
 def select_features(df: DataFrame, target: str, features: Sequence[str] = ()) -> list[str]:
     """The named features, or every column where none is named, without the target. Unknown names are errors."""
@@ -255,20 +259,30 @@ class FeatureSpec:
     def mark_seen(self, df: DataFrame, fitted_on: DataFrame) -> DataFrame:
         """Flag, per capped column, whether a row's value occurred in the fitted rows.
 
-        A rare level scores as "infrequent", a new one as nothing. The levels
-        come as a joined table, never as a driver-side list, for there may be
-        any number of them. Kept levels, the frequent ones, are known: only other
+        A rare level scores as "infrequent", a new one as nothing. The rare levels
+        of all columns are written once, as keys of at most 16 bytes. Up to
+        ``SEEN_LEVELS`` of them are sent to the tasks, and the rows are not shuffled;
+        more are joined. Kept levels, the frequent ones, are known: only other
         rows are looked up, and kept ones spread over all tasks.
         """
-        for f in self.category:
-            if f.capped:
-                kept = f.text().isin(*f.levels)
-                levels = fitted_on.filter(~kept).select(f.text().alias("_level")).distinct()
-                flagged = levels.withColumn(f.seen, F.lit(True)).withColumn("_spread", F.lit(0))
+        capped = [f for f in self.category if f.capped]
+        if not capped:
+            return df
+        rare = [F.when(~f.text().isin(*f.levels), text_key(f.text())).alias(f"{i}") for i, f in enumerate(capped)]
+        cells = fitted_on.select(*rare).unpivot([], [col(f"{i}") for i in range(len(capped))], "i", "_level")
+        levels = materialise(cells.filter("_level is not null").select(F.col("i").cast("int").alias("i"), "_level").distinct(), "levels")
+        few = levels.count() <= SEEN_LEVELS
+        for i, f in enumerate(capped):
+            kept = f.text().isin(*f.levels)
+            own = levels.filter(F.col("i") == i).select("_level", F.lit(True).alias(f.seen))
+            if few:
+                df = df.withColumn("_kept", kept).join(F.broadcast(own), text_key(f.text()) == F.col("_level"), "left").drop("_level")
+            else:
+                own = own.withColumn("_spread", F.lit(0))
                 spread = F.when(kept, F.pmod(F.xxhash64(*[col(c) for c in df.columns]), F.lit(1023)) + 1).otherwise(0)
-                on = (f.text() == F.col("_level")) & (spread == F.col("_spread"))
-                df = df.withColumn("_kept", kept).join(flagged, on, "left").drop("_level", "_spread")
-                df = df.withColumn(f.seen, F.coalesce(col(f.seen), F.col("_kept"))).drop("_kept")
+                on = (text_key(f.text()) == F.col("_level")) & (spread == F.col("_spread"))
+                df = df.withColumn("_kept", kept).join(own, on, "left").drop("_level", "_spread")
+            df = df.withColumn(f.seen, F.coalesce(col(f.seen), F.col("_kept"))).drop("_kept")
         return df
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -69,18 +70,26 @@ def first_rows(df: DataFrame, position: str, rows: int = TABLE_ROWS) -> DataFram
     return df.orderBy(position).limit(rows)
 
 
+def preview_lines(df: DataFrame, item: Column, value: Column, order: Sequence[str], rows: int = TABLE_ROWS) -> DataFrame:
+    """The first rows of a bounded result table as lines ``(ord, item, detail)``, then one line with the number left out."""
+    lines = ranked(df, [F.col(c) for c in order]).select("ord", item.cast("string").alias("item"), value.cast("string").alias("detail"))
+    return finding_lines(lines, "item", "detail", rows)
+
+
 def insight_summary(rows: int, columns: int, target: str, best: DataFrame, metrics: DataFrame, stats: DataFrame) -> DataFrame:
-    """One row of JSON: sizes, target, best model, diagnostics and the first numeric columns.
+    """One row of JSON: sizes, target, best model, diagnostics, the first numeric columns and how many others there are.
 
-    Its inputs are result tables of one row, or one row per column.
+    Its inputs are result tables of one row, or one row per column in the order of the columns.
     """
+    described = [r.asDict() for r in stats.collect()]
     body = {
         "rows": rows,
         "columns": columns,
         "target": target,
         "best_model": best.first().asDict(),
         "diagnostics": metrics.first().asDict(),
-        "numeric_stats": [r.asDict() for r in stats.limit(SUMMARISED).collect()],
+        "numeric_stats": described[:SUMMARISED],
+        "numeric_columns_left_out": max(0, len(described) - SUMMARISED),
     }
     return small_table(stats.sparkSession, [(json.dumps(body, ensure_ascii=False),)], "summary string")
 

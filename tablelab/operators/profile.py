@@ -16,6 +16,7 @@ from tablelab.functions.columns import (
     numeric_columns,
     parse_grouped_number,
     require_scalars,
+    text_key,
 )
 from tablelab.operators.stats import numeric_summary
 from tablelab.session import small_table
@@ -56,7 +57,8 @@ def _distinct_counts(df: DataFrame) -> DataFrame:
     """``(i, missing, unique)`` for every column from one scan and one shuffle.
 
     Values travel in a field of their own kind, so that integers keep all
-    digits and doubles stay eight bytes. Missing values are not counted.
+    digits and doubles stay eight bytes; texts travel as keys of at most 16
+    bytes. Missing values are not counted.
     """
     cells = []
     for i, name in enumerate(df.columns):
@@ -68,7 +70,7 @@ def _distinct_counts(df: DataFrame) -> DataFrame:
             (col(name) if whole else F.lit(None)).cast("bigint"),
             # adding zero makes -0.0 and 0.0 one value
             ((as_double(name) + F.lit(0.0)) if real else F.lit(None)).cast("double"),
-            (F.lit(None) if whole or real else col(name)).cast("string"),
+            (F.lit(None) if whole or real else text_key(col(name))).cast("binary"),
         ]
     long = df.select(F.stack(F.lit(len(df.columns)), *cells).alias("i", "whole", "real", "text"))
     groups = long.groupBy("i", "whole", "real", "text").agg(F.count("*").alias("n"))
@@ -109,8 +111,9 @@ def profile_columns(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows that repeat an earlier row; missing values equal each other."""
-    copies = df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("copies"))
+    """Rows that repeat an earlier row; missing values equal each other. Texts are shuffled as keys of at most 16 bytes."""
+    keys = [text_key(col(f.name)) if isinstance(f.dataType, T.StringType) else col(f.name) for f in df.schema.fields]
+    copies = df.groupBy(*[k.alias(f"{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("copies"))
     return copies.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates"))
 
 
@@ -207,8 +210,8 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, approx: bo
 def cleaning_proposal(df: DataFrame, approx: bool = False) -> DataFrame:
     """The fixes this table calls for, in the order they are listed.
 
-    Three passes and one shuffle of the rows: flat counts, quartiles with their
-    outlier counts, and the duplicate count.
+    Flat counts, the duplicate count (the one shuffle of the rows), the quartiles
+    (:func:`numeric_summary`) and one more pass for the outliers.
     """
     require_scalars(df)
     flat = _flat_counts(df)

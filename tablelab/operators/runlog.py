@@ -24,7 +24,8 @@ ALLOWED = (
 )
 STAGES = ((12, "cleaning"), (32, "eda"), (58, "ols"), (72, "models"), (82, "report"))
 RECENT = 20
-TIME_PARTS = 1024
+PARTS = 256  # an id with more than this share of the rows is cut
+GROUP = 16  # cuts that are compared at once
 
 RUN_LOG = "id string, status string, progress int, stage string, payload string, updated_at timestamp"
 
@@ -37,13 +38,18 @@ def latest_state(log: DataFrame, id: str, at: Sequence[str], columns: Sequence[s
 
 
 def recent_runs(log: DataFrame, id: str, at: Sequence[str], rows: int = RECENT) -> DataFrame:
-    """The newest state of the ids that were created last."""
+    """The newest state of the ids that were created last.
+
+    The ids are chosen by their times alone; whole rows are compared for these
+    few ids only, which are as many as the list is long.
+    """
     rest = [c for c in log.columns if c != id]
     when = F.struct(*[col(c) for c in at])
-    states = log.groupBy(col(id)).agg(
-        F.min(col(at[0])).alias("created_at"), F.max_by(F.struct(*[col(c) for c in rest]), when).alias("_s")
-    )
-    return states.orderBy(F.col("created_at").desc(), col(id)).limit(rows).select(col(id), "created_at", "_s.*")
+    created = log.groupBy(col(id).alias("_id")).agg(F.min(col(at[0])).alias("created_at"))
+    chosen = F.broadcast(created.orderBy(F.col("created_at").desc(), "_id").limit(rows))
+    states = log.join(chosen, col(id).eqNullSafe(F.col("_id"))).groupBy(col(id), "created_at")
+    newest = states.agg(F.max_by(F.struct(*[col(c) for c in rest]), when).alias("_s"))
+    return newest.orderBy(F.col("created_at").desc(), col(id)).select(col(id), "created_at", "_s.*")
 
 
 def drop_runs(log: DataFrame, deletions: DataFrame, id: str, status: str | None = None, at: Sequence[str] = ()) -> DataFrame:
@@ -71,12 +77,41 @@ def status_counts(states: DataFrame, status: str, active: Sequence[str] = ACTIVE
     )
 
 
-def _seconds(log: DataFrame, name: str) -> Column:
-    """Whole seconds, without a time zone in the way for zoneless timestamps."""
+def _micros(log: DataFrame, name: str) -> Column:
+    """Microseconds, without a time zone in the way for zoneless timestamps."""
     t = col(name)
     if isinstance(log.schema[name].dataType, T.TimestampType):
-        return F.unix_seconds(t)
-    return F.unix_date(F.to_date(t)).cast("bigint") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
+        return F.unix_micros(t)
+    minutes = F.unix_date(F.to_date(t)).cast("bigint") * 1440 + F.hour(t) * 60 + F.minute(t)
+    return minutes * 60_000_000 + (F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
+
+
+def _stretches(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``part``, the stretch of its id's history that a row lies in.
+
+    Only an id with more than one in ``PARTS`` of all rows is cut, at approximate
+    quantiles of its own times. Such ids are fewer than ``PARTS``, so that all
+    cuts together are at most the square of that number. Rows of one id and one
+    microsecond stay together.
+    """
+    busy = F.broadcast(  # fewer than PARTS rows
+        rows.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") > F.lit(rows.count() / PARTS)).select(F.col("id").alias("_id"))
+    )
+    cut = F.percentile_approx("micros", [k / PARTS for k in range(1, PARTS)], 100 * PARTS)
+    cuts = rows.join(busy, F.col("id").eqNullSafe(F.col("_id")), "left_semi").groupBy(F.col("id").alias("_id")).agg(
+        F.array_distinct(cut).alias("cuts")
+    )
+    # Every GROUP-th cut first, then the cuts up to the next of these.
+    cuts = cuts.withColumn("firsts", F.filter("cuts", lambda c, i: i % GROUP == 0))
+    placed = rows.join(F.broadcast(cuts), F.col("id").eqNullSafe(F.col("_id")), "left")
+
+    def reached(some: Column) -> Column:
+        return F.size(F.filter(some, lambda c: c <= F.col("micros")))
+
+    group = F.greatest(reached(F.col("firsts")) - 1, F.lit(0))
+    placed = placed.withColumn("group", F.when(F.col("micros").isNotNull(), group))
+    part = F.col("group") * GROUP + reached(F.slice("cuts", F.col("group") * GROUP + 1, F.lit(GROUP)))
+    return placed.withColumn("part", F.coalesce(F.when(F.col("cuts").isNotNull(), part), F.lit(0))).drop("_id", "cuts", "firsts", "group")
 
 
 def invalid_transitions(
@@ -84,25 +119,24 @@ def invalid_transitions(
 ) -> DataFrame:
     """State changes of an id that the list of allowed pairs does not hold.
 
-    An id's history is cut into stretches of time that are compared apart, so
-    that a busy id spreads over many tasks. The changes across the cuts come
-    from the first and last row of each stretch.
+    The history of a busy id is cut into stretches of about equally many rows
+    that are compared apart, so that it spreads over many tasks. The changes
+    across the cuts come from the first and last row of each stretch.
     """
-    second = _seconds(log, at[0])
-    low, high = log.agg(F.min(second), F.max(second)).first()
-    width = ((high or 0) - (low or 0)) // TIME_PARTS + 1
-    rows = log.select(
-        col(id).alias("id"),
-        F.floor((second - F.lit(low)) / width).alias("part"),
-        F.struct(*[col(c) for c in at]).alias("at"),
-        col(status).alias("status"),
+    rows = _stretches(
+        log.select(
+            col(id).alias("id"),
+            _micros(log, at[0]).alias("micros"),
+            F.struct(*[col(c) for c in at]).alias("at"),
+            col(status).alias("status"),
+        )
     )
     inside = Window.partitionBy("id", "part").orderBy("at")
     steps = rows.select("id", "at", F.lag("status").over(inside).alias("before"), "status").filter("before is not null")
     ends = rows.groupBy("id", "part").agg(
         F.min_by("status", "at").alias("status"), F.max_by("status", "at").alias("last"), F.min("at").alias("at")
     )
-    across = Window.partitionBy("id").orderBy("part")  # at most TIME_PARTS + 1 rows per id
+    across = Window.partitionBy("id").orderBy("part")  # at most PARTS rows per id
     cuts = ends.select("id", "at", F.lag("last").over(across).alias("before"), "status").filter("before is not null")
     fine = F.struct("before", "status").isin(*[F.struct(F.lit(a).alias("before"), F.lit(b).alias("status")) for a, b in allowed])
     bad = steps.unionByName(cuts).filter(~fine)

@@ -14,13 +14,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablelab.functions.columns import as_double, col
+from tablelab.functions.columns import KEY_BYTES, as_double, col, text_key
+from tablelab.session import small_table
 
 BINS_PER_E = 128  # first-pass bins per factor e of magnitude, 0.8 % wide
 SPLIT = 4096  # parts a large bin is split into
 GATHER = 1 << 20  # most values that are brought together to pick the ranks
+START = 16  # characters that order equally frequent values before their texts are looked up
+LOOKUP = 10_000  # most values whose texts are looked up by keys sent to every task
 WIDE = 48  # most columns of one flat aggregate or one pass over bins
 
 
@@ -183,7 +186,7 @@ def _binned_summary(df: DataFrame, columns: Sequence[str], probs: Sequence[float
             F.min(v).alias("low"),
             F.max(v).alias("high"),
         )
-        # One row per column and bin, some thousands for a column of any length.
+        # One row per column and bin: at most BINS_PER_E for each factor e between least and largest size, of either sign.
         .toPandas()
     )
     out = {c: Summary() for c in columns}
@@ -241,25 +244,43 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.select(_named(columns), "value", "n")
 
 
-def label_counts(df: DataFrame, columns: Sequence[str], missing: str) -> DataFrame:
-    """``(column, label, n, real)``: as above, missing cells counted under a label.
+def top_labels(df: DataFrame, columns: Sequence[str], rows: int, missing: str | None = None) -> DataFrame:
+    """``(column, label, n, rank, unique)``: the most frequent values of each column, equal counts in order of the value.
 
-    ``real`` leaves them out, so that a text equal to the label stays apart.
+    Missing cells count as the label ``missing``, or not at all; ``unique`` never
+    counts them. Values are counted by keys of at most 16 bytes and their first
+    ``START`` characters. Those that can be among the first ``rows`` get their
+    texts in a second scan, which is left out if keys are texts. There are ``rows`` of
+    them and what ties with the last one; more than ``LOOKUP`` in all are joined
+    instead of sent to the tasks.
     """
-    label = F.coalesce("value", F.lit(missing)).alias("label")
-    counts = _long_texts(df, columns).groupBy("i", label).agg(F.count("*").alias("n"), F.count("value").alias("real"))
-    return counts.select(_named(columns), "label", "n", "real")
+    cells = _long_texts(df, columns)
+    label = F.col("value") if missing is None else F.coalesce("value", F.lit(missing))
+    cells = cells.select(F.col("i").cast("int").alias("i"), "value", label.alias("label")).filter("label is not null")
+    key = text_key(F.col("label")).alias("key")
+    groups = cells.groupBy("i", key, F.substring("label", 1, START).alias("start"))
+    groups = groups.agg(F.count("*").alias("n"), F.count("value").alias("real"))
+    unique = F.broadcast(groups.groupBy("i").agg(F.count_if(F.col("real") > 0).alias("unique")))  # a row a column
+    place = F.rank().over(Window.partitionBy("i").orderBy(F.col("n").desc(), "start"))
+    near = groups.withColumn("place", place).filter(F.col("place") <= rows).join(unique, "i").select("i", "key", "n", "unique")
+    first = near.limit(LOOKUP + 1).collect()
+    few = len(first) <= LOOKUP
+    if few:
+        near = small_table(df.sparkSession, [(r["i"], bytes(r["key"]), r["n"], r["unique"]) for r in first], "i int, key binary, n bigint, unique bigint")
+    short = F.octet_length("key") < KEY_BYTES
+    out = near.filter(short).select("i", F.col("key").cast("string").alias("label"), "n", "unique")
+    if not few or any(len(r["key"]) >= KEY_BYTES for r in first):
+        asked = near.filter(~short)
+        texts = cells.filter(F.octet_length("label") >= KEY_BYTES).select("i", key, "label")
+        found = texts.join(F.broadcast(asked) if few else asked, ["i", "key"]).select("i", "label", "n", "unique").distinct()
+        out = out.unionByName(found)
+    order = Window.partitionBy("i").orderBy(F.col("n").desc(), "label")
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows).select(_named(columns), "label", "n", "rank", "unique")
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
     """Most frequent value of each column, the lowest one on a tie."""
     if not columns:
         return {}
-    best = (
-        value_counts(df, columns)
-        .filter(F.col("value").isNotNull())
-        .groupBy("column")
-        .agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("x"))
-    )
-    found = {r["column"]: r["x"]["value"] for r in best.collect()}
+    found = {r["column"]: r["label"] for r in top_labels(df, columns, 1).collect()}
     return {c: found.get(c) for c in columns}

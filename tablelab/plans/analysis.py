@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tablelab.functions.columns import categorical_columns, limited_names, numeric_columns
+from tablelab.functions.columns import categorical_columns, limited_names, numeric_columns, stamp
 from tablelab.operators import eda, findings, models, ols
 from tablelab.operators.cleaning import Cleaned, apply_cleaning, resolve_columns
 from tablelab.operators.features import prepare_target, select_features
@@ -54,9 +54,30 @@ class Results:
     comparison: models.Comparison
     best: DataFrame
     sample_count: int
+    key: list[str]
+    fit: ols.OlsFit
+    model_rows: DataFrame
 
-    def report(self) -> DataFrame:
-        return report_table(self)
+    def report(self, file: str = "", created: str = "") -> DataFrame:
+        return report_table(self, file, created)
+
+    def charts(self) -> dict[str, DataFrame]:
+        """The data of every chart, each of a bounded number of rows a column."""
+        data, rows = self.cleaned.data, self.model_rows
+        measured = [c for c in self.features if c in numeric_columns(rows)]
+        out = {
+            "histogram": eda.histogram(data),
+            "density": eda.density_curves(data),
+            "top_categories": eda.top_categories(data),
+            "correlation": self.correlation,
+            "residuals": ols.residual_sample(self.fit, rows, self.key),
+            "residual_quantiles": ols.qq_grid(ols.ols_residuals(self.fit, rows), "residual"),
+            "model_errors": self.comparison.table.select("candidate", "model", "rmse"),
+            "predictions": self.comparison.prediction_sample(self.best.first()["model"]),
+        }
+        if measured:
+            out["scatter"] = eda.scatter_sample(rows, self.target, self.key, measured)
+        return out
 
 
 def analyse(
@@ -102,6 +123,9 @@ def analyse(
         comparison=compared,
         best=hold(compared.best()),
         sample_count=fit.n,
+        key=list(key),
+        fit=fit,
+        model_rows=rows,
     )
 
 
@@ -116,8 +140,17 @@ def _lines(df: DataFrame, section: int, item: Column, value: Column, order: Sequ
     )
 
 
-def report_table(r: Results) -> DataFrame:
-    """What the report states, as rows of the sections they belong to."""
+def _positioned(stats: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A table of one row per column with the column's place."""
+    return stats.withColumn("position", F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("column")))
+
+
+def report_table(r: Results, file: str = "", created: str = "") -> DataFrame:
+    """What the report states, as rows of the sections they belong to.
+
+    Long lists show their first rows in the order of the columns, and a line
+    with the number left out. ``file`` and ``created`` are shown if given.
+    """
     data = r.cleaned.data
     spark = data.sparkSession
 
@@ -129,7 +162,8 @@ def report_table(r: Results) -> DataFrame:
         return small_table(spark, cells, REPORT)
 
     best = r.best.first()
-    head = [
+    head = [(k, v) for k, v in (("file", file), ("created", created)) if v]
+    head += [
         ("rows", r.rows),
         ("columns", len(data.columns)),
         ("target", r.target),
@@ -149,26 +183,38 @@ def report_table(r: Results) -> DataFrame:
     def js(df: DataFrame, *drop: str) -> Column:
         return F.to_json(F.struct(*[F.col(c) for c in df.columns if c not in drop]))
 
+    def preview(df: DataFrame, section: int, item: Column, value: Column, order: Sequence[str], start: int) -> DataFrame:
+        lines = findings.preview_lines(df, item, value, order)
+        return _lines(lines, section, F.col("item"), F.col("detail"), ["ord"], start)
+
+    def listed(df: DataFrame, value: Column, group: str, start: int) -> DataFrame:
+        named = df.select("ord", F.concat_ws(" ", group, "column").alias("item"), value.alias("detail"))
+        return _lines(findings.finding_lines(named, "item", "detail"), 2, F.col("item"), F.col("detail"), ["ord"], start)
+
+    low, high = F.col("low").cast("string"), F.col("high").cast("string")
+    figures = F.when(F.col("operation") == "cap_outliers", F.concat_ws(" to ", low, high)).otherwise(low)
+    stats = _positioned(r.numeric_stats, data.columns)
+    groups = _positioned(r.categorical_stats, data.columns)
     table = r.comparison.table
     pieces = [
         pairs(1, head),
-        _lines(findings.finding_lines(r.proposal, "category", "detail"), 2, F.col("item"), F.col("detail"), ["ord"], 0),
-        _lines(findings.finding_lines(r.cleaned.log(), "action", "detail"), 2, F.col("item"), F.col("detail"), ["ord"], 100),
+        listed(r.proposal, F.concat_ws(", ", "detail", F.concat("affected", F.lit(" affected"))), "category", 0),
+        listed(r.cleaned.log(), F.concat_ws(": ", "detail", figures, "names"), "action", 100),
         pairs(2, change, 200),
-        _lines(r.numeric_stats.limit(findings.TABLE_ROWS), 3, F.col("column"), js(r.numeric_stats, "column"), ["column"], 0),
-        _lines(r.categorical_stats.limit(findings.TABLE_ROWS), 3, F.col("column"), js(r.categorical_stats, "column"), ["column"], 100),
+        preview(stats, 3, F.col("column"), js(r.numeric_stats, "column"), ["position"], 0),
+        preview(groups, 3, F.col("column"), js(r.categorical_stats, "column"), ["position"], 100),
         _lines(
             findings.top_correlations(r.correlation).withColumn("_a", -F.abs("r")),
             3, F.concat_ws(" ~ ", "col_a", "col_b"), F.col("r"), ["_a", "col_a", "col_b"], 200,
         ),
         pairs(4, base),
-        _lines(findings.first_rows(r.coefficients, "position"), 4, F.col("feature"), F.col("coefficient"), ["position"], 100),
+        preview(r.coefficients, 4, F.col("feature"), F.col("coefficient"), ["position"], 100),
         _lines(
             findings.top_coefficients(r.coefficients).withColumn("_a", -F.abs("coefficient")),
             4, F.col("feature"), F.col("coefficient"), ["_a", "feature"], 200,
         ),
         _lines(flags, 5, F.col("diagnostic"), js(flags, "diagnostic"), ["diagnostic"], 0),
-        _lines(findings.first_rows(r.vif, "position"), 5, F.col("feature"), F.col("vif"), ["position"], 100),
+        preview(r.vif, 5, F.col("feature"), F.col("vif"), ["position"], 100),
         _lines(r.recommendations, 6, F.col("rule"), F.col("text"), ["ord"], 0),
         _lines(table, 7, F.col("model"), js(table, "model", "candidate"), ["candidate"], 0),
         pairs(7, [("overfit", overfit)], 100),
@@ -182,7 +228,7 @@ def report_table(r: Results) -> DataFrame:
     return out
 
 
-OUTPUTS = ("cleaned_data", "model_comparison", "ols_coefficients", "vif_diagnostics", "analysis_summary", "report")
+OUTPUTS = ("cleaned_data", "model_comparison", "ols_coefficients", "vif_diagnostics", "analysis_summary", "chart_data", "report")
 
 
 def run_analysis(
@@ -232,7 +278,9 @@ def run_analysis(
             "best_model": results.best,
         }
         write_summary(parts, f"{out}/analysis_summary")
-        write_table(results.report().orderBy("section", "ord"), f"{out}/report")
+        write_summary(results.charts(), f"{out}/chart_data")
+        now = spark.range(1).select(stamp(F.current_timestamp())).first()[0]
+        write_table(results.report(path.rstrip("/").rsplit("/", 1)[-1], now).orderBy("section", "ord"), f"{out}/report")
         note("completed", 100, "done")
     except Exception as error:
         note("failed", 100, "failed", str(error).splitlines()[0] if str(error) else type(error).__name__)

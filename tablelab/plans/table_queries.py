@@ -262,6 +262,15 @@ def _(spark, folder):
     return log.select("ord", "operation", "column", "detail", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
+@query(
+    "renamed_columns",
+    "SELECT * FROM (VALUES (1, 'Order Key', 'order_key'), (2, ' Total Value ', 'total_value'), (3, 'Status-Code', 'status_code'), "
+    "(4, 'cust/text', 'cust_text')) AS t(ord, before, after)",
+)
+def _(spark, folder):
+    return cleaning.apply_cleaning(dirty_orders(spark, folder), ["normalize_columns"]).renamed()
+
+
 def _sizes(side: str, source: str, names: list[str]) -> str:
     gaps = " + ".join(f"count(*) - count({_q(n)})" for n in names)
     return f"""SELECT '{side}' AS side, count(*) AS "rows", CAST(6 AS BIGINT) AS "columns", CAST({gaps} AS BIGINT) AS missing,
@@ -569,3 +578,32 @@ def _(spark, folder):
     return table(spark, folder, "events").select(
         "event_id", runlog.stage_reached(value).alias("stages"), runlog.stage_name(value).alias("stage")
     )
+
+
+@query("event_stamps", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp FROM events")
+def _(spark, folder):
+    return table(spark, folder, "events").select("event_id", C.stamp(F.col("ts")).alias("stamp"))
+
+
+@query(
+    "duplicate_documents",
+    """SELECT CAST((SELECT count(*) FROM documents) - (SELECT count(*) FROM (SELECT DISTINCT text, lang, source FROM documents)) AS BIGINT) AS duplicates""",
+)
+def _(spark, folder):
+    return profile.duplicate_count(table(spark, folder, "documents").select("text", "lang", "source"))
+
+
+@query("profile_documents", _profile_sql("documents", ["doc_id", "text", "lang", "source", "n_chars"], ["bigint", "string", "string", "string", "bigint"]))
+def _(spark, folder):
+    return profile.profile_columns(table(spark, folder, "documents"))
+
+
+@query(
+    "density_curves_rows",
+    f"""SELECT "column", 200::BIGINT AS points, round(min(v), 6) AS low, round(max(v), 6) AS high FROM (
+      {_union([f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS v FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount")])}) GROUP BY 1""",
+)
+def _(spark, folder):
+    curves = eda.density_curves(table(spark, folder, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    ends = curves.groupBy("column").agg(F.count("*").alias("points"), F.round(F.min("x"), 6).alias("low"), F.round(F.max("x"), 6).alias("high"))
+    return ends.select("column", "points", "low", "high")

@@ -105,3 +105,17 @@ def test_scatter_sample_is_the_same_on_every_partitioning(spark):
     assert found[0] == found[1] and len(found[0]) == 80
     want = sorted((r for r in rows if r[2] is not None), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest())[:40]
     assert {r[1] for r in found[0] if r[0] == "b"} == {r[0] for r in want}
+
+
+def test_density_of_many_columns_equals_that_of_each(spark):
+    df = spark.range(500).selectExpr("cast(id as double) a", "sin(id) b", "1.5 c", "if(id % 3 = 0, null, id * id) d", "cast('Infinity' as double) e")
+    many = eda.density_curves(df, ["a", "b", "c", "d", "e"]).toPandas()
+    assert sorted(set(many["column"])) == ["a", "b", "d"] and len(many) == 600
+    for c in "abd":
+        one = eda.kde_curve(df, c).toPandas().sort_values("grid_no")
+        part = many[many["column"] == c].sort_values("grid_no")
+        assert np.allclose(one["density"], part["density"], rtol=1e-12) and np.allclose(one["x"], part["x"])
+        values = np.array([r[0] for r in df.select(c).dropna().collect()])
+        width = values.std(ddof=1) * len(values) ** -0.2
+        want = np.exp(-0.5 * ((part["x"].to_numpy()[:, None] - values) / width) ** 2).sum(1) / (len(values) * width * np.sqrt(2 * np.pi))
+        assert np.allclose(part["density"], want, rtol=0, atol=1e-6 * want.max())

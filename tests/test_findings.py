@@ -56,6 +56,14 @@ def test_insight_summary(spark):
     stats = small_table(spark, [(f"c{i}", i) for i in range(9)], "column string, count bigint")
     got = json.loads(findings.insight_summary(20, 3, "y", best, metrics, stats).first()["summary"])
     assert got["best_model"]["model"] == "Ridge" and len(got["numeric_stats"]) == 6 and got["rows"] == 20
+    assert got["numeric_columns_left_out"] == 3
+
+
+def test_previews_count_what_they_leave_out(spark):
+    df = small_table(spark, [(f"c{i}", 20 - i) for i in range(14)], "column string, position int")
+    lines = [tuple(r) for r in findings.preview_lines(df, F.col("column"), F.col("position"), ["position"]).orderBy("ord").collect()]
+    assert lines[0] == (1, "c13", "7") and lines[9] == (10, "c4", "16") and lines[10] == (11, "more", "4") and len(lines) == 11
+    assert findings.preview_lines(df.limit(0), F.col("column"), F.col("position"), ["position"]).count() == 0
 
 
 def test_run_log(spark, tmp_path):
@@ -93,3 +101,28 @@ def test_transitions_across_cuts(spark):
     found = runlog.invalid_transitions(df, "id", ["ts"], "status")
     # running -> queued happens once in every three steps
     assert found.count() == 200 and {(r["from_status"], r["to_status"]) for r in found.collect()} == {("running", "queued")}
+
+
+def test_a_busy_id_is_cut_into_even_stretches(spark):
+    # 95 % of the rows belong to one id, nearly all of them within one hour of ten years.
+    when = F.when(F.col("i") < 200, F.col("i") * 1_500_000).otherwise(F.col("i") * 0.05 + 100_000_000).cast("decimal(20,6)")
+    rows = spark.range(20_000).select(
+        F.col("id").alias("i"),
+        F.when(F.col("id") % 20 > 0, F.lit("busy")).otherwise(F.when(F.col("id") % 40 > 0, F.concat(F.lit("u"), F.col("id") % 7))).alias("id"),
+    ).withColumn("ts", when.cast("timestamp").cast("timestamp_ntz"))
+    rows = rows.withColumn("status", F.element_at(F.array(*[F.lit(s) for s in ("queued", "running", "failed")]), (F.col("i") % 3 + 1).cast("int")))
+    log = rows.select("id", F.col("i").alias("micros"), F.struct("ts").alias("at"), "status")
+    parts = runlog._stretches(log).groupBy("id", "part").count().collect()
+    largest = max(r["count"] for r in parts)
+    assert largest <= 4 * 20_000 / runlog.PARTS and len({r["part"] for r in parts if r["id"] == "busy"}) > runlog.PARTS // 2
+    found = runlog.invalid_transitions(rows, "id", ["ts", "i"], "status")
+    want, last = set(), {}
+    for r in sorted(rows.collect(), key=lambda r: (r["ts"], r["i"])):
+        if r["id"] in last and (last[r["id"]], r["status"]) not in runlog.ALLOWED:
+            want.add((r["id"], r["i"], last[r["id"]], r["status"]))
+        last[r["id"]] = r["status"]
+    assert {(r["id"], r["i"], r["from_status"], r["to_status"]) for r in found.collect()} == want and len(want) > 500
+    nothing = runlog.invalid_transitions(rows.limit(0), "id", ["ts", "i"], "status")
+    assert nothing.count() == 0
+    one = rows.withColumn("ts", F.lit("2024-01-01").cast("timestamp_ntz")).withColumn("ts", F.when(F.col("i") % 5 > 0, F.col("ts")))
+    assert runlog.invalid_transitions(one, "id", ["ts", "i"], "status").count() > 500  # one instant, and no time at all

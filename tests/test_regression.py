@@ -64,7 +64,9 @@ def test_feature_matrix(frame):
     assert np.allclose(got, want, atol=1e-9)
 
 
-def test_seen_and_new_levels(frame, spark):
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_seen_and_new_levels(frame, spark, monkeypatch, limit):
+    monkeypatch.setattr(features, "SEEN_LEVELS", limit)
     data, df = frame
     spec = features.FeatureSpec.fit(df, ["d"], "y")
     rare = sorted(set(data["d"].dropna()) - set(spec.category[0].levels))[0]

@@ -6,7 +6,7 @@ import pytest
 from tablelab.operators import runlog
 from tablelab.plans.analysis import OUTPUTS, SECTIONS, run_analysis
 from tablelab.sources.readers import csv_encoding, read_table
-from tablelab.sources.writers import write_summary, write_table
+from tablelab.sources.writers import read_summary, write_summary, write_table
 
 
 def test_csv_encodings(spark, tmp_path):
@@ -77,6 +77,14 @@ def test_formats(spark, tmp_path):
     write_summary({"x": df, "y": df.limit(1)}, str(tmp_path / "sum"))
     row = spark.read.json(str(tmp_path / "sum")).first()
     assert len(row["x"]) == 2 and len(row["y"]) == 1
+    parts = {"x": df, "none": df.limit(0), "odd name": spark.createDataFrame([(float("inf"), None, [1, 2])], "`a b` double, n string, l array<int>")}
+    write_summary(parts, str(tmp_path / "typed"))
+    back = read_summary(spark, str(tmp_path / "typed"))
+    assert list(sorted(back)) == sorted(parts)
+    for name, part in parts.items():
+        assert back[name].collect() == part.collect() and back[name].dtypes == part.dtypes, name
+    with pytest.raises(ValueError):
+        write_summary({"schemas": df}, str(tmp_path / "bad"))
 
 
 def test_whole_analysis(spark, tmp_path):
@@ -101,7 +109,22 @@ def test_whole_analysis(spark, tmp_path):
     assert {r["section"] for r in report} == set(SECTIONS)
     facts = {(r["section"][0], r["item"]): r["value"] for r in report}
     assert facts["1", "target"] == "price_text" and facts["2", "original rows"] == "121" and facts["2", "cleaned rows"] == "120"
+    assert facts["1", "file"] == "in.csv" and len(facts["1", "created"]) == 19
+    assert "Sales Value  -> sales_value" in facts["2", "列名规范化"]
+    assert facts["2", "缺失值填补 sales_value"].startswith("median: ") and facts["2", "缺失值填补 region"] in ("East", "West", "North")
+    assert {"缺失值  Sales Value", "缺失值 Region", "类型转换 Price-Text"} <= {r["item"].strip() for r in report}
+    order = [r["item"] for r in report if r["section"].startswith("3.") and int(r["ord"]) < 100]
+    assert order == ["row_id", "sales_value", "price_text"]
     assert read_table(spark, str(out / "model_comparison"), fmt="csv").count() == 6
+    charts = read_summary(spark, str(out / "chart_data"))
+    assert set(charts) == {
+        "histogram", "density", "top_categories", "correlation", "residuals", "residual_quantiles", "model_errors", "predictions", "scatter",
+    }
+    assert charts["histogram"].agg({"n": "sum"}).first()[0] == 360 and charts["density"].count() == 600
+    assert charts["residuals"].count() == 120 and charts["residual_quantiles"].count() == 120 and charts["model_errors"].count() == 6
+    assert {r["feature"] for r in charts["scatter"].collect()} == {"sales_value"}
+    summary = read_summary(spark, str(out / "analysis_summary"))
+    assert summary["roles"].first()["target"] == "price_text" and summary["numeric_stats"].count() == 3
     assert [r["status"] for r in log.states().filter(f"id = '{run}'").collect()] == ["completed"]
     with pytest.raises(ValueError):
         run_analysis(spark, str(tmp_path / "in.csv"), str(tmp_path / "o2"), ["Row Id"], target="nope", log=log, run="r2")

@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -70,3 +73,34 @@ def test_value_counts_keep_missing_apart_from_its_label(spark):
     df = spark.createDataFrame([("空值",), (None,), (None,)], "x string")
     found = {(r["value"], r["n"]) for r in stats.value_counts(df, ["x"]).collect()}
     assert found == {("空值", 1), (None, 2)}
+
+
+@pytest.mark.parametrize("lookup", [10_000, 0])
+def test_top_labels_of_long_texts(spark, monkeypatch, lookup):
+    monkeypatch.setattr(stats, "LOOKUP", lookup)
+    rng = np.random.default_rng(4)
+    same = "one beginning that many texts share, "
+    pool = [same + str(i) for i in range(40)] + ["short", "", "x" * 15, "x" * 16, "é" * 8, "z" * 100_000] + [f"other {i} of the long ones" for i in range(30)]
+    texts = [pool[i] for i in rng.integers(0, len(pool), 400)] + [None] * 9 + ["x" * 16] * 150
+    df = spark.createDataFrame([(t, None if i % 2 else "b", None) for i, t in enumerate(texts)], "t string, u string, v string").repartition(7)
+    for missing in (None, "none"):
+        for rows in (1, 12, 500):
+            got = stats.top_labels(df, ["t", "u", "v"], rows, missing).collect()
+            for c, values in (("t", texts), ("u", [None if i % 2 else "b" for i in range(len(texts))]), ("v", [None] * len(texts))):
+                held = Counter(v if v is not None else missing for v in values if v is not None or missing is not None)
+                want = sorted(held.items(), key=lambda x: (-x[1], x[0].encode()))[:rows]
+                found = sorted((r for r in got if r["column"] == c), key=lambda r: r["rank"])
+                assert [(r["label"], r["n"]) for r in found] == want, (c, missing, rows)
+                assert {r["unique"] for r in found} <= {len({v for v in values if v is not None})}
+    assert stats.top_labels(df.limit(0), ["t"], 3, "none").count() == 0
+
+
+def test_plans_carry_no_long_text(spark, tmp_path):
+    from tablelab.operators import profile
+
+    spark.createDataFrame([("y" * 50, 1)], "t string, k int").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for out in (profile.profile_columns(df), profile.duplicate_count(df)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        assert exchanges and "octet_length" in plan and not any(re.search(r"\bt#", line) for line in exchanges)
