@@ -36,6 +36,7 @@ FIT_ROWS, FOLDS = 20_000, 3
 SLOTS_LOG, SLOTS = 20, 1024
 PREFIXES = (4, 5)
 RIDGE = 1.0
+SLICE = 1 << 20  # bytes of text that are taken apart at once; a byte takes some forty in numbers
 
 
 def _slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +166,7 @@ def _slot_counts(sample: DataFrame, categories: Sequence[str]) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((c + 1, 1 << SLOTS_LOG), np.int32)
         for batch in batches:
-            for part in kernels.slices(batch, 0):
+            for part in kernels.slices(batch, 0, SLICE):
                 row, slot = _present(*_slots(part.column(0)), 1 << SLOTS_LOG)
                 for i in range(c):
                     own = part.column(i + 1).to_numpy(zero_copy_only=False)[row] == 1
@@ -235,7 +236,7 @@ def fit_chain(
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in kernels.slices(batch, 0):
+            for part in kernels.slices(batch, 0, SLICE):
                 rows, slots = shared.value.found(part.column(0))
                 at = np.searchsorted(rows, np.arange(part.num_rows + 1))
                 held = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(slots, pa.int32()))
@@ -283,7 +284,7 @@ def score(docs: DataFrame, chain: Chain, id: str = "doc_id", text: str = "text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in kernels.slices(batch, 1):
+            for part in kernels.slices(batch, 1, SLICE):
                 p = shared.value.probabilities(part.column(1))
                 decided = p > np.array(shared.value.limits)
                 columns = [part.column(0), *[pa.array(c) for c in p.T], *[pa.array(c) for c in decided.T]]
@@ -299,7 +300,7 @@ def drop_rejected(docs: DataFrame, chain: Chain, category: str, text: str = "tex
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in kernels.slices(batch, place):
+            for part in kernels.slices(batch, place, SLICE):
                 p = shared.value.probabilities(part.column(place))[:, which]
                 kept = part.filter(pa.array(p <= shared.value.limits[which]))
                 yield pa.RecordBatch.from_arrays(kept.columns[:place], names=names)
