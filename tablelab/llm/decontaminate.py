@@ -2,30 +2,41 @@
 
 A document is contaminated if some stretch of its words has an edit distance of
 at most ``1 - similarity`` times the item's number of words to a benchmark item
-(words in lower case, punctuation left out).
-
-The random walk of Chakraborty, Goldenberg and Koucky (2016) writes a string of n
-words as 3n words: each step copies the current word and moves on or stays by a
-random bit of step and word. Edits then cost few differing places, so that
-sampling places is a hash for edit distance. Each of the repetitions, with walks
-of their own, samples ``SAMPLED`` places; a window that equals its item in all of
-them in any repetition is a candidate. The number of repetitions follows from
-the target recall and the share of equal places at the distance limit (AGREE,
-measured in the tests). Candidates are verified by the exact distance to the
-best stretch around them.
-
-Only windows that can match are embedded: an item with at most e edits leaves
-one of its e + 1 pieces as it is, so windows start where a piece stands. This
-loses nothing and spares the walk for nearly all positions of the corpus.
-
-Items are taken in blocks of ``BLOCK_WORDS`` words, which bounds what is
-broadcast; each block is one pass over the documents.
-
-Defined cases: null and empty texts are clean; items with fewer than
-``MIN_WORDS`` words would match ordinary prose and are left out, null ones too;
-equal items are each reported; repeated rows are reported each time; of several
-stretches of a document for one item the one with the least distance counts,
-then the first; an empty table gives an empty result.
+(words in lower case, punctuation left out; each character of a script without
+spaces, such as Chinese, Japanese or Thai, is a word).
+
+Items are cut into chunks of at most ``CHUNK`` words. A match within the limit
+holds, by the pigeonhole principle, a chunk within the chunk's own limit, so
+only chunks are searched, whatever the length of the item, and the whole item is
+verified. The random walk of Chakraborty, Goldenberg and Koucky (2016) copies the
+current word of a chunk or of a window of its size, and moves on or stays by a
+random bit of step and word: edits then cost few differing places, so that
+sampling places is a hash for edit distance. Half of the repetitions walk from the
+end. Only the first n steps of n words are sampled, which every walk reaches
+before it runs out, so that windows of unrelated words differ there. Each
+repetition, with a walk of its own, samples ``SAMPLED`` places; a window that
+equals its chunk in all of them in any repetition is a candidate. The number of
+repetitions follows from the target recall and the share of equal places at the
+distance limit (AGREE, below the least over all lengths, 0.73 as the tests measure it).
+Candidates are verified by the exact distance to the best stretch around them.
+
+Only windows that can match are embedded: a chunk with at most e edits leaves
+one of its e + 1 pieces as it is, so windows start where a piece stands, at most
+e words to either side. This loses nothing and spares the walk for nearly all
+positions of the corpus.
+
+Items are taken in blocks of ``BLOCK_CHARS`` characters (a larger one by itself),
+which bounds what the driver holds and what is broadcast; each block is one pass
+over the documents.
+
+Defined cases: null and empty texts are clean; items without words, null ones too,
+are found nowhere; items so short that the limit allows no edit (below five words
+at a similarity of 0.8) are found where their words stand one after another. Such
+words stand in ordinary prose, too: ``contaminated`` reports them, while
+``drop_contaminated`` drops no document for an item with fewer than ``drop_words``
+words. Equal items are each reported; repeated rows are reported each time; of
+several stretches of a document for one item the one with the least distance
+counts, then the first; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,13 +46,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tablelab.llm import kernels
 
-AGREE, SAMPLED, RECALL = 0.5, 2, 0.99
-MIN_WORDS, BLOCK_WORDS, AT_ONCE = 5, 2_000_000, 2048
+AGREE, SAMPLED, RECALL = 0.65, 4, 0.99
+CHUNK, MIN_WORDS, BLOCK_CHARS = 19, 5, 4_000_000
+AT_ONCE, CELLS = 2048, 1 << 21
 _FILTER_LOG = 20
+#: Thai, Lao, Myanmar, Khmer, kana, and the Han blocks; then the punctuation that goes with them.
+UNSPACED = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3041}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}"
+MARKS = r"\x{3000}-\x{3040}\x{30FB}\x{FF01}-\x{FF0F}\x{FF1A}-\x{FF20}\x{FF3B}-\x{FF40}\x{FF5B}-\x{FF65}"
+
+
+def prepared(text: Column) -> Column:
+    """Texts in lower case, with spaces around each character of a script without spaces and instead of its punctuation."""
+    text = F.lower(text.cast("string"))
+    apart = F.regexp_replace(F.regexp_replace(text, f"[{MARKS}]", " "), f"([{UNSPACED}])", " $1 ")
+    return F.when(text.rlike(f"[{UNSPACED}{MARKS}]"), apart).otherwise(text)
 
 
 def repetitions(recall: float = RECALL, agree: float = AGREE, sampled: int = SAMPLED) -> int:
@@ -57,20 +79,30 @@ def _grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return kernels.mix(out)
 
 
-def walk_keys(text: np.ndarray, sizes: np.ndarray, reps: int) -> np.ndarray:
-    """LSH keys, one row a repetition, of strings that fill the rows of ``text`` up to ``sizes``; 0 stands beyond."""
-    place = np.linspace(0, 1, 4096)[(kernels.numbers(31, reps * SAMPLED) >> np.uint64(52)).astype(np.int64)]
-    place = np.floor(place.reshape(SAMPLED, reps, 1) * (3 * sizes - 1)).astype(np.int64)
-    padded = np.concatenate([text, np.zeros((len(text), 1), np.uint64)], axis=1)
-    at, rows = np.zeros((reps, len(text)), np.int64), np.arange(len(text))
-    keys = np.zeros((reps, len(text)), np.uint64)
-    for step in range(int(place.max()) + 1):
-        here = padded[rows, at]
+def _cut(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
+    """The words from ``begin`` to ``end``, one row each, zeros beyond."""
+    at = begin[:, None] + np.arange(width)
+    return np.where(at < end[:, None], hashes[np.minimum(at, len(hashes) - 1)], np.uint64(0))
+
+
+def walk_keys(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, sizes: np.ndarray, reps: int) -> np.ndarray:
+    """LSH keys, one row a repetition, of the words from ``begin`` to ``end``, for chunks of ``sizes`` words."""
+    n, width = len(begin), int(sizes.max(initial=1)) + 1
+    part = np.linspace(0, 1, 4096, endpoint=False)[(kernels.numbers(31, reps * SAMPLED) >> np.uint64(52)).astype(np.int64)]
+    part = (np.arange(SAMPLED).reshape(SAMPLED, 1, 1) + part.reshape(SAMPLED, reps, 1)) / SAMPLED
+    place = np.floor(part * sizes).astype(np.int64)
+    ahead = _cut(hashes, begin, end, width)
+    back = _cut(hashes[::-1], len(hashes) - end, len(hashes) - begin, width)
+    text = np.stack([ahead, back])
+    side, rows = (np.arange(reps) % 2)[:, None], np.arange(n)
+    at, keys = np.zeros((reps, n), np.int64), np.zeros((reps, n), np.uint64)
+    for step in range(int(place.max(initial=-1)) + 1):
+        here = text[side, rows, at]
         for s in range(SAMPLED):
             hit = place[s] == step
             keys[hit] += here[hit] * kernels.numbers(41, SAMPLED)[s]
         bits = (here * kernels.numbers(1000 + step, reps)[:, None]) >> np.uint64(63)
-        at = np.minimum(at + bits.astype(np.int64), sizes)
+        at += bits.astype(np.int64)  # below the next step, so within the row
     return kernels.mix(keys)
 
 
@@ -92,31 +124,45 @@ class Items:
     """A block of benchmark items, ready to be looked for."""
 
     def __init__(self, ids: list[int], texts: list[str], similarity: float, recall: float) -> None:
-        hashes, _, rows = _words(pa.array(texts, pa.string()))
-        self.ids = [i for i, n in zip(ids, np.diff(rows)) if n >= MIN_WORDS]
-        self.words = [hashes[a:b] for a, b in zip(rows[:-1], rows[1:]) if b - a >= MIN_WORDS]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
-        self.edits = np.floor(self.sizes * (1 - similarity) + 1e-9).astype(np.int64)
+        self.hashes, _, rows = _words(pa.array(texts, pa.string()))
+        held = np.flatnonzero(np.diff(rows))
+        self.ids = np.array(ids, np.int64)[held]
+        self.first, self.sizes = rows[:-1][held], np.diff(rows)[held]
+        self.edits = self._allowed(self.sizes, similarity)
+        parts = -(-self.sizes // CHUNK)  # of nearly equal size
+        self.owner = np.repeat(np.arange(len(held)), parts)
+        nth = np.arange(len(self.owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+        self.offset = self.sizes[self.owner] * nth // parts[self.owner]
+        self.length = self.sizes[self.owner] * (nth + 1) // parts[self.owner] - self.offset
+        self.slack = self._allowed(self.length, similarity)
+        self.exact = ((self.edits == 0) & (parts == 1))[self.owner]  # its only piece is the item
         self.reps = repetitions(recall)
-        self.keys = np.zeros((self.reps, len(self.words)), np.uint64)
-        for i in range(0, len(self.words), AT_ONCE):
-            part = slice(i, i + AT_ONCE)
-            self.keys[:, part] = walk_keys(*_padded(self.words[part]), self.reps)
-        pieces: dict[int, list[tuple]] = {}
-        for item, (own, edits) in enumerate(zip(self.words, self.edits)):
-            cuts = np.linspace(0, len(own), int(edits) + 2).astype(int)
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                pieces.setdefault(int(b - a), []).append((_grams(own[a:b], int(b - a))[0], item, int(a)))
+        begin = self.first[self.owner] + self.offset
+        self.keys = np.zeros((self.reps, len(begin)), np.uint64)
+        walked = np.flatnonzero(~self.exact)
+        for i in range(0, len(walked), AT_ONCE):
+            own = walked[i : i + AT_ONCE]
+            self.keys[:, own] = walk_keys(self.hashes, begin[own], begin[own] + self.length[own], self.length[own], self.reps)
+        pieces = self.slack + 1
+        chunk = np.repeat(np.arange(len(begin)), pieces)
+        nth = np.arange(len(chunk)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        low = self.length[chunk] * nth // pieces[chunk]
+        k = self.length[chunk] * (nth + 1) // pieces[chunk] - low
         self.pieces = {}
-        for k, found in pieces.items():
-            key = np.array([x[0] for x in found], np.uint64)
+        for size in np.unique(k).tolist():
+            own = np.flatnonzero(k == size)
+            key = _grams(self.hashes, size)[begin[chunk[own]] + low[own]]
             order = np.argsort(key, kind="stable")
             marks = np.zeros(1 << _FILTER_LOG, bool)
             marks[key >> np.uint64(64 - _FILTER_LOG)] = True
-            self.pieces[k] = (key[order], np.array([x[1:] for x in found], np.int64)[order], marks)
+            self.pieces[size] = (key[order], np.stack([chunk[own], low[own]], axis=1)[order], marks)
+
+    @staticmethod
+    def _allowed(sizes: np.ndarray, similarity: float) -> np.ndarray:
+        return np.floor(sizes * (1 - similarity) + 1e-9).astype(np.int64)
 
     def windows(self, hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """(row, item, start) of all windows in which a piece of an item stands at its place."""
+        """(row, chunk, start) of all windows in which a piece of a chunk stands at its place."""
         out = [np.empty((0, 3), np.int64)]
         for k, (key, owner, marks) in self.pieces.items():
             grams = _grams(hashes, k)
@@ -130,26 +176,53 @@ class Items:
             out.append(np.stack([np.repeat(row, n), owner[hit, 0], np.repeat(at, n) - owner[hit, 1]], axis=1))
         return np.unique(np.concatenate(out), axis=0)
 
+    def candidates(self, windows: np.ndarray, hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The windows that equal their chunk in all sampled places of a repetition, moved by no more words than the chunk allows edits."""
+        passed = np.zeros(len(windows), bool)
+        for i in range(0, len(windows), AT_ONCE):
+            row, chunk, start = windows[i : i + AT_ONCE].T
+            shifts = 2 * self.slack[chunk] + 1
+            base = np.repeat(np.arange(len(row)), shifts)
+            moved = np.arange(len(base)) - np.repeat(np.cumsum(shifts) - shifts, shifts) - self.slack[chunk[base]]
+            row, chunk, start = row[base], chunk[base], start[base] + moved
+            begin, end = np.maximum(start, rows[row]), np.minimum(start + self.length[chunk], rows[row + 1])
+            keys = walk_keys(hashes, begin, end, self.length[chunk], self.reps)
+            passed[i + base[(keys == self.keys[:, chunk]).any(axis=0)]] = True
+        return windows[passed]
+
     def matches(self, hashes: np.ndarray, rows: np.ndarray) -> list[tuple]:
         """(row, item, distance, first word, end word) of each contaminated row and item, words counted within the row."""
         found: dict[tuple, tuple] = {}
         windows = self.windows(hashes, rows)
-        for i in range(0, len(windows), AT_ONCE):
-            row, item, start = windows[i : i + AT_ONCE].T
-            begin, end = np.maximum(start, rows[row]), np.minimum(start + self.sizes[item], rows[row + 1])
-            text, _ = _padded([hashes[a:b] for a, b in zip(begin, end)], int(self.sizes[item].max()))
-            keys = walk_keys(text, self.sizes[item], self.reps)
-            near = np.flatnonzero((keys == self.keys[:, item]).any(axis=0))
-            for which in np.unique(item[near]):
-                own = near[item[near] == which]
-                edits = self.edits[which]
-                a = np.maximum(start[own] - edits, rows[row[own]])
-                b = np.minimum(start[own] + self.sizes[which] + edits, rows[row[own] + 1])
-                around, _ = _padded([hashes[x:y] for x, y in zip(a, b)])
-                for r, x, cost, left, right in zip(row[own], a, *edit_spans(self.words[which], around)):
-                    if cost <= edits:
-                        first = int(x - rows[r])
-                        spot = (int(cost), first + int(left), first + int(right))
+        exact = self.exact[windows[:, 1]]
+        row, chunk, start = windows[exact].T
+        _, once = np.unique(windows[exact][:, :2], axis=0, return_index=True)  # windows are sorted: the first of each
+        for r, c, x in zip(row[once], chunk[once], start[once] - rows[row[once]]):
+            found[r, self.owner[c]] = (0, int(x), int(x + self.length[c]))
+        row, chunk, start = self.candidates(windows[~exact], hashes, rows).T
+        item, start = self.owner[chunk], start - self.offset[chunk]
+        order = np.lexsort([start, row, item])
+        row, item, start = row[order], item[order], start[order]
+        # Places of an item close to each other are verified as one stretch, up to the item's length.
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (np.diff(start) > self.edits[item[1:]])
+        part = (start - start[new][np.cumsum(new) - 1]) // self.sizes[item]
+        new[1:] |= part[1:] != part[:-1]
+        lead = np.flatnonzero(new)
+        tail = np.append(lead, len(row))[1:] - 1
+        row, item, edits = row[lead], item[lead], self.edits[item[lead]]
+        begin = np.maximum(start[lead] - edits, rows[row])
+        end = np.minimum(start[tail] + self.sizes[item] + edits, rows[row + 1])
+        for which in np.unique(item):
+            own = np.flatnonzero(item == which)
+            words, limit = self.hashes[self.first[which] : self.first[which] + self.sizes[which]], self.edits[which]
+            width = int((end - begin)[own].max())
+            for i in range(0, len(own), max(1, CELLS // width)):
+                part = own[i : i + max(1, CELLS // width)]
+                around = _cut(hashes, begin[part], end[part], width)
+                for r, x, cost, left, right in zip(row[part], begin[part] - rows[row[part]], *edit_spans(words, around)):
+                    if cost <= limit:
+                        spot = (int(cost), int(x + left), int(x + right))
                         found[r, which] = min(spot, found.get((r, which), spot))
         return [(int(r), int(which), *spot) for (r, which), spot in sorted(found.items())]
 
@@ -158,24 +231,16 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kernels.words(*kernels.byte_rows(column), kernels.MARKS)
 
 
-def _padded(parts: list[np.ndarray], width: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(p) for p in parts], np.int64)
-    out = np.zeros((len(parts), max(width, int(sizes.max(initial=0)))), np.uint64)
-    for i, part in enumerate(parts):
-        out[i, : len(part)] = part
-    return out, sizes
-
-
 def _blocks(items: DataFrame, id: str, text: str) -> Iterator[tuple[list, list]]:
     ids, texts, size = [], [], 0
-    rows = items.select(F.col(id).alias("id"), F.lower(F.col(text).cast("string")).alias("t")).filter("t IS NOT NULL AND id IS NOT NULL")
+    rows = items.select(F.col(id).alias("id"), prepared(F.col(text)).alias("t")).filter("t IS NOT NULL AND id IS NOT NULL")
     for row in rows.toLocalIterator():
-        ids.append(row.id)
-        texts.append(row.t)
-        size += row.t.count(" ") + 1
-        if size >= BLOCK_WORDS:
+        if ids and size + len(row.t) > BLOCK_CHARS:
             yield ids, texts
             ids, texts, size = [], [], 0
+        size += len(row.t)
+        ids.append(row.id)
+        texts.append(row.t)
     if ids:
         yield ids, texts
 
@@ -185,7 +250,7 @@ def contaminated(
     similarity: float = 0.8, recall: float = RECALL,
 ) -> DataFrame:
     """One row a document and item found in it: ``id``, ``item_id``, ``distance``, ``similarity`` and the words ``from_word`` to ``to_word`` (left out)."""
-    rows = docs.select(F.col(id).alias("id"), F.lower(F.col(text).cast("string")).alias("text"))
+    rows = docs.select(F.col(id).alias("id"), prepared(F.col(text)).alias("text"))
     names = ["id", "item_id", "distance", "similarity", "from_word", "to_word"]
     schema = f"id {rows.schema['id'].dataType.simpleString()}, item_id long, distance long, similarity double, from_word long, to_word long"
     out = docs.sparkSession.createDataFrame([], schema)
@@ -199,7 +264,7 @@ def contaminated(
                     hashes, _, at = _words(part.column(1))
                     found = block.matches(hashes, at)
                     row, item, cost, left, right = (np.array(x, np.int64) for x in zip(*found)) if found else [np.empty(0, np.int64)] * 5
-                    known = np.array(block.ids, np.int64)[item]
+                    known = block.ids[item]
                     near = 1 - cost / block.sizes[item]
                     columns = [part.column(0).take(pa.array(row)), *map(pa.array, (known, cost, near, left, right))]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -210,21 +275,22 @@ def contaminated(
 
 def drop_contaminated(
     docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8,
-    recall: float = RECALL,
+    recall: float = RECALL, drop_words: int = MIN_WORDS,
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no item is found."""
+    """The rows of ``docs``, all columns, in which no item of at least ``drop_words`` words is found."""
     for ids, texts in _blocks(items, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(Items(ids, texts, similarity, recall))
         columns, place = docs.columns, len(docs.columns)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared, place=place, columns=columns) -> Iterator[pa.RecordBatch]:
+            block: Items = shared.value
             for batch in batches:
                 for part in kernels.slices(batch, place):
                     hashes, _, at = _words(part.column(place))
                     kept = np.ones(part.num_rows, bool)
-                    kept[[x[0] for x in shared.value.matches(hashes, at)]] = False
+                    kept[[x[0] for x in block.matches(hashes, at) if block.sizes[x[1]] >= drop_words]] = False
                     kept = part.filter(pa.array(kept))
                     yield pa.RecordBatch.from_arrays(kept.columns[:place], names=columns)
 
-        docs = docs.select("*", F.lower(F.col(text).cast("string"))).mapInArrow(clean, docs.schema)
+        docs = docs.select("*", prepared(F.col(text))).mapInArrow(clean, docs.schema)
     return docs

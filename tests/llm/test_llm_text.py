@@ -268,20 +268,70 @@ def test_contaminated_documents_are_found(spark):
 
 def test_walks_reach_their_recall():
     rng = random.Random(11)
-    for n in (15, 40, 60):
-        texts, others = [], []
-        for _ in range(200):
-            words = [rng.getrandbits(62) for _ in range(n)]
-            other = edited(rng, words, 0)
-            for _ in range(n // 5):
+    reps = decontaminate.repetitions()
+    for n in range(5, decontaminate.CHUNK + 1):
+        slack, trials = int(n * 0.2 + 1e-9), 200
+        words, near = [], []
+        for _ in range(trials):
+            item = [rng.getrandbits(62) for _ in range(n)]
+            other = list(item)
+            for _ in range(slack):
                 p = rng.randrange(len(other))
                 rng.choice([lambda: other.__setitem__(p, rng.getrandbits(62)), lambda: other.pop(p), lambda: other.insert(p, rng.getrandbits(62))])()
-            texts.append(np.array(words, np.uint64))
-            others.append(np.array(other[:n], np.uint64))
-        sizes, reps = np.full(200, n), decontaminate.repetitions()
-        keys = [decontaminate.walk_keys(decontaminate._padded(x, n)[0], sizes, reps) for x in (texts, others)]
-        same = keys[0] == keys[1]
-        assert same.mean() ** (1 / decontaminate.SAMPLED) > decontaminate.AGREE and same.any(axis=0).mean() >= decontaminate.RECALL
+            around = [[rng.getrandbits(62) for _ in range(k)] for k in (slack, 2 * n)]
+            words.append(item)
+            near.append((around[0] + other + around[1])[: n + 2 * slack])
+        sizes = np.full(trials, n)
+        at = np.arange(trials) * n
+        keys = decontaminate.walk_keys(np.array(sum(words, []), np.uint64), at, at + n, sizes, reps)
+        flat, same = np.array(sum(near, []), np.uint64), []
+        for shift in range(2 * slack + 1):
+            at = np.arange(trials) * (n + 2 * slack) + shift
+            same.append(decontaminate.walk_keys(flat, at, at + n, sizes, reps) == keys)
+        same = np.array(same)
+        assert same.any(axis=(0, 1)).mean() >= decontaminate.RECALL
+        assert same.mean(axis=1).max(axis=0).mean() ** (1 / decontaminate.SAMPLED) > decontaminate.AGREE  # at the best place
+        unrelated = decontaminate.walk_keys(flat, np.roll(at, 1), np.roll(at, 1) + n, sizes, reps) == keys
+        assert unrelated.any(axis=0).mean() < 0.01
+
+
+def test_unrelated_windows_do_not_pass():
+    rng = random.Random(12)
+    zipf = np.cumsum(1 / np.arange(1, 20_001)).tolist()  # every tenth word is the most frequent one
+    for weights in (None, zipf):
+        for n in (5, 9, 15, 38, 59, 200, 1000):
+            size = 400 if weights is None else 20_000
+            texts = [" ".join(f"w{x}" for x in rng.choices(range(size), cum_weights=weights, k=k)) for k in [n] * 200 + [20_000]]
+            block = decontaminate.Items(list(range(200)), texts[:200], 0.8, decontaminate.RECALL)
+            hashes, _, rows = decontaminate._words(pa.array(texts[200:]))
+            chunk, start = [rng.randrange(len(block.owner)) for _ in range(3000)], [rng.randrange(19_000) for _ in range(3000)]
+            passed = len(block.candidates(np.stack([np.zeros(3000, np.int64), chunk, start], axis=1), hashes, rows))
+            assert passed < (0.01 if n >= 15 else 0.1) * 3000  # each tried at all its shifts
+
+
+def test_short_unspaced_and_long_items(spark):
+    rng = random.Random(13)
+    long = prose(rng, 3000, 5000)
+    near = edited(rng, long, 250)
+    del near[100:300:4]
+    chinese = "机器学习模型需要大量的训练数据才能得到好的结果"
+    docs = [
+        (1, "so the answer is forty two indeed"), (2, "forty and two"), (3, "前面的话。" + chinese.replace("大量", "许多") + "，后面的话"),
+        (4, "今天天气很好我们去公园散步吧大家都很高兴"), (5, " ".join([*prose(rng, 50), *near, *prose(rng, 50)])), (6, "a b\u3000c " + "x" * 50_000),
+        (7, " ".join(long[:1200])), (8, "w " * 30_000),
+    ]
+    items = [(1, "Forty two"), (2, chinese), (3, " ".join(long)), (4, "..."), (5, "c"), (6, "w " * 12), (7, "two"), (8, "w " * 45)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.contaminated(frame, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(1, 1), (1, 7), (2, 7), (3, 2), (5, 3), (6, 5), (8, 6), (8, 8)}
+    by = {(r.doc_id, r.item_id): r for r in rows}
+    assert by[1, 1].asDict() | {"similarity": 1.0} == dict(doc_id=1, item_id=1, distance=0, similarity=1.0, from_word=4, to_word=6)
+    assert by[3, 2].distance == least_distance(list(chinese), list(docs[2][1].replace("。", "").replace("，", ""))) == 2
+    assert by[5, 3].distance <= 600 and by[8, 6].distance == by[8, 8].distance == 0
+    # Items below five words are reported, but no document goes for their sake.
+    assert {r.doc_id for r in decontaminate.drop_contaminated(frame, bench).collect()} == {1, 2, 4, 6, 7}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(frame, bench, drop_words=1).collect()} == {4, 7}
 
 
 def test_columns_with_any_name(spark):
