@@ -46,6 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablelab.llm import kernels
@@ -273,6 +274,22 @@ def contaminated(
     return out.withColumnRenamed("id", id)
 
 
+def _clean(shared: Broadcast, drop_words: int):
+    """A function of texts: whether no item of at least ``drop_words`` words is found."""
+
+    @F.arrow_udf("boolean")
+    def clean(column: pa.Array) -> pa.Array:
+        block: Items = shared.value
+        kept, first = np.ones(len(column), bool), 0
+        for part in kernels.slices(pa.RecordBatch.from_arrays([column], names=["text"]), 0):
+            hashes, _, at = _words(part.column(0))
+            kept[[first + x[0] for x in block.matches(hashes, at) if block.sizes[x[1]] >= drop_words]] = False
+            first += part.num_rows
+        return pa.array(kept)
+
+    return clean
+
+
 def drop_contaminated(
     docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = 0.8,
     recall: float = RECALL, drop_words: int = MIN_WORDS,
@@ -280,17 +297,5 @@ def drop_contaminated(
     """The rows of ``docs``, all columns, in which no item of at least ``drop_words`` words is found."""
     for ids, texts in _blocks(items, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(Items(ids, texts, similarity, recall))
-        columns, place = docs.columns, len(docs.columns)
-
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared, place=place, columns=columns) -> Iterator[pa.RecordBatch]:
-            block: Items = shared.value
-            for batch in batches:
-                for part in kernels.slices(batch, place):
-                    hashes, _, at = _words(part.column(place))
-                    kept = np.ones(part.num_rows, bool)
-                    kept[[x[0] for x in block.matches(hashes, at) if block.sizes[x[1]] >= drop_words]] = False
-                    kept = part.filter(pa.array(kept))
-                    yield pa.RecordBatch.from_arrays(kept.columns[:place], names=columns)
-
-        docs = docs.select("*", prepared(F.col(text))).mapInArrow(clean, docs.schema)
+        docs = docs.filter(_clean(shared, drop_words)(prepared(F.col(text))))
     return docs

@@ -295,14 +295,13 @@ def score(docs: DataFrame, chain: Chain, id: str = "doc_id", text: str = "text")
 
 def drop_rejected(docs: DataFrame, chain: Chain, category: str, text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that the chain does not put into ``category``."""
-    shared = docs.sparkSession.sparkContext.broadcast(chain)
-    place, names, which = len(docs.columns), docs.columns, chain.categories.index(category)
+    shared, which = docs.sparkSession.sparkContext.broadcast(chain), chain.categories.index(category)
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in kernels.slices(batch, place, SLICE):
-                p = shared.value.probabilities(part.column(place))[:, which]
-                kept = part.filter(pa.array(p <= shared.value.limits[which]))
-                yield pa.RecordBatch.from_arrays(kept.columns[:place], names=names)
+    @F.arrow_udf("boolean")
+    def stays(texts: pa.Array) -> pa.Array:
+        kept = [np.empty(0, bool)]
+        for part in kernels.slices(pa.RecordBatch.from_arrays([texts], names=["text"]), 0, SLICE):
+            kept.append(shared.value.probabilities(part.column(0))[:, which] <= shared.value.limits[which])
+        return pa.array(np.concatenate(kept))
 
-    return docs.select("*", F.lower(F.col(text).cast("string"))).mapInArrow(apply, docs.schema)
+    return docs.filter(stays(F.lower(F.col(text).cast("string"))))
