@@ -256,6 +256,25 @@ class FeatureSpec:
     def expanded_width(self, degree: int = 1) -> int:
         return self.width if degree == 1 else self.width * (self.width + 3) // 2
 
+    def expansion(self, degree: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The products that are columns of their own, as positions ``left`` and ``right`` of encoded columns, and the ``place`` of every expanded column.
+
+        An output of a category is 0 or 1, so its square is that output itself, and
+        the product of two outputs of one category is zero (place -1). Places count
+        the encoded columns first, then the products.
+        """
+        of = [-1 - i for i in range(len(self.numeric))] + [i for i, f in enumerate(self.category) for _ in f.names]
+        left, right, place = [], [], list(range(len(of)))
+        for i in range(len(of)) if degree == 2 else ():
+            for j in range(i, len(of)):
+                if of[i] == of[j] >= 0:
+                    place.append(i if i == j else -1)
+                else:
+                    place.append(len(of) + len(left))
+                    left.append(i)
+                    right.append(j)
+        return np.array(left, int), np.array(right, int), np.array(place, int)
+
     def mark_seen(self, df: DataFrame, fitted_on: DataFrame) -> DataFrame:
         """Flag, per capped column, whether a row's value occurred in the fitted rows.
 

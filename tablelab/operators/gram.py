@@ -15,6 +15,7 @@ from tablelab.operators.features import FeatureSpec
 from tablelab.session import small_table
 
 NARROW = 16  # design columns up to which plain sums are used
+FACTOR_ROWS = 4096  # least rows that are added to a triangular factor at once
 EIGEN_CUT = 1e-11  # relative size below which an eigenvalue counts as zero
 
 
@@ -126,26 +127,32 @@ def triangle(df: DataFrame, spec: FeatureSpec, target: str, shift: float, degree
 
     It has the singular values of the rows themselves, where cross products
     would square them. Each task reduces its batches to a factor of its own,
-    many rows at a time.
+    many rows at a time. Only the columns that can differ are factored
+    (:meth:`FeatureSpec.expansion`); the others are zero or copies, in the factor as in the rows.
     """
-    block, k, size = spec.reader(degree), len(spec.compact()), spec.expanded_width(degree) + 2
+    block, k = spec.reader(), len(spec.compact())
+    left, right, place = spec.expansion(degree)
+    size = spec.width + len(left) + 2
+    many = max(size, FACTOR_ROWS)
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, waiting, rows = np.zeros((0, size)), [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, max(size, 1024)):
-                part = batch.slice(at, max(size, 1024))
-                y = part.column(k).to_numpy(zero_copy_only=False)
-                waiting.append(np.column_stack([np.ones(len(y)), block(part), y]))
+            for at in range(0, batch.num_rows, many):
+                part = batch.slice(at, many)
+                x, y = block(part), part.column(k).to_numpy(zero_copy_only=False)
+                waiting.append(np.column_stack([np.ones(len(y)), x, x[:, left] * x[:, right], y]))
                 rows += len(y)
-                if rows >= max(size, 1024):
+                if rows >= many:
                     r, waiting, rows = r_factor(r, np.vstack(waiting)), [], 0
         if rows:
             r = r_factor(r, np.vstack(waiting))
         yield block_batch({0: r} if len(r) else {})
 
     packed = df.select(*spec.compact(), (col(target) - F.lit(float(shift))).alias("y"))
-    return merged(packed.mapInArrow(reduce, BLOCK), size, r_factor).get(0, np.zeros((0, size)))
+    r = merged(packed.mapInArrow(reduce, BLOCK), size, r_factor).get(0, np.zeros((0, size)))
+    at = np.concatenate([[0], np.where(place < 0, size, place + 1), [size - 1]])
+    return np.column_stack([r, np.zeros(len(r))])[:, at]
 
 
 def leading(factor: np.ndarray, width: int) -> np.ndarray:

@@ -25,7 +25,7 @@ from tablelab.operators.features import (
 from tablelab.operators.gram import NARROW, Gram, grams, leading, pseudo_inverse, triangle
 from tablelab.operators.ols import linear_expr, singular
 from tablelab.operators.stats import column_moments
-from tablelab.session import materialise, small_table
+from tablelab.session import dealt, materialise, small_table
 
 # The candidates' settings.
 RIDGE_ALPHAS = tuple(np.logspace(-3, 3, 30))
@@ -440,7 +440,7 @@ def compare_models(df: DataFrame, target: str, features: Sequence[str], key: Seq
     rows = prepare_target(df, target, features, key)
     # Read many times from here on, so the split and the folds are worked out once and written.
     rows = with_split(rows, key)
-    rows = materialise(rows, "model-rows", ["_test"])
+    rows = materialise(dealt(rows), "model-rows", ["_test"])
     train, test = rows.filter(~F.col("_test")), rows.filter("_test")
     spec = FeatureSpec.fit(train, features, target)
     if not spec.width:

@@ -111,7 +111,7 @@ def _rank_pair(n: int, p: float) -> tuple[int, int, float]:
 
 def _cells_in(df: DataFrame, columns: Sequence[str], bins: list[_Bin], part: bool) -> DataFrame:
     """``(b, v[, s])`` for every cell inside one of the value ranges ``bins``."""
-    structs, inside = [], F.lit(False)
+    structs = []
     for b, r in enumerate(bins):
         v = col(f"{r.column}")
         fields = [F.lit(b).alias("b"), v.alias("v")]
@@ -119,11 +119,10 @@ def _cells_in(df: DataFrame, columns: Sequence[str], bins: list[_Bin], part: boo
             share = (v - F.lit(r.low)) / F.lit(r.high - r.low)
             fields.append(F.least(F.floor(share * SPLIT), F.lit(SPLIT - 1)).alias("s"))
         structs.append(F.when(v.between(r.low, r.high), F.struct(*fields)))
-        inside = inside | v.between(r.low, r.high)
     used = sorted({r.column for r in bins})
     cells = df.select(*[as_double(columns[i]).alias(f"{i}") for i in used])
-    kept = cells.filter(inside).select(F.explode(F.array_compact(F.array(*structs))).alias("x"))
-    return kept.select("x.*")
+    # No filter before: it would work out each cell anew for every bound it is held against.
+    return cells.select(F.explode(F.array_compact(F.array(*structs))).alias("x")).select("x.*")
 
 
 def _descend(df: DataFrame, columns: Sequence[str], bins: list[_Bin]) -> dict[tuple[int, int], float]:

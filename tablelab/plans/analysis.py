@@ -14,7 +14,7 @@ from tablelab.operators.cleaning import Cleaned, apply_cleaning, resolve_columns
 from tablelab.operators.features import prepare_target, select_features
 from tablelab.operators.profile import cleaning_proposal, default_roles, require_rows
 from tablelab.operators.runlog import RunLog
-from tablelab.session import hold, materialise, small_table
+from tablelab.session import dealt, hold, materialise, small_table
 from tablelab.sources.readers import read_table
 from tablelab.sources.writers import write_summary, write_table
 
@@ -102,10 +102,10 @@ def analyse(
     data = cleaned.data
     names = select_features(data.drop(*[k for k in key if k != target and k not in chosen]), target, chosen)
 
-    rows = prepare_target(data, target, names, key)
+    rows = materialise(dealt(prepare_target(data, target, names, key)), "analysed")
     fit = ols.ols_fit(rows, target, names)
     metrics = ols.diagnostics(fit, rows)
-    compared = models.compare_models(data, target, names, key)
+    compared = models.compare_models(rows, target, names, key)
     return Results(
         proposal=proposal,
         cleaned=cleaned,

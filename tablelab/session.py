@@ -59,6 +59,15 @@ def materialise(df: DataFrame, label: str, split_by: Sequence[str] = ()) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows shuffled, for :func:`materialise` before work that is heavy for each row.
+
+    A table of few bytes comes in few splits, which are too few tasks for such
+    work. Rows are dealt by all their columns: only copies of a row meet.
+    """
+    return df.repartition(*["`" + c.replace("`", "``") + "`" for c in df.columns])
+
+
 def written(spark: SparkSession) -> list[str]:
     """The folders that :func:`materialise` has written for this application, in order."""
     return list(_written.get(spark.sparkContext.applicationId, []))

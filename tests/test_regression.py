@@ -8,7 +8,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tablelab.functions.distributions import add_normal_quantile, chi_square_tail, shapiro_wilk
-from tablelab.operators import features, gram, models, ols
+from tablelab.operators import features, gram, models, ols, stats
 
 
 @pytest.fixture(scope="module")
@@ -309,6 +309,29 @@ def test_factor_of_fewer_columns_comes_from_that_of_more(frame):
     assert np.allclose(part.T @ part, fewer.T @ fewer)
 
 
+def test_factor_leaves_out_columns_that_cannot_differ(frame, monkeypatch):
+    data, df = frame
+    spec = features.FeatureSpec.fit(df, ["a", "b", "c", "d"], "y")
+    merged, widths = gram.merged, []
+    monkeypatch.setattr(gram, "merged", lambda blocks, width, merge: widths.append(width) or merged(blocks, width, merge))
+    got = gram.triangle(df, spec, "y", spec.target.mean, 2)
+    packed = df.select(*spec.compact(), (F.col("y") - spec.target.mean).alias("y")).toArrow().combine_chunks().to_batches()[0]
+    x = spec.reader(2)(packed)
+    z = np.column_stack([np.ones(len(x)), x, packed.column("y").to_numpy()])
+    assert got.shape[1] == z.shape[1] and np.allclose(got.T @ got, z.T @ z)
+    assert widths == [len(np.unique(z[:, z.any(axis=0)], axis=1).T)] and widths[0] < z.shape[1]
+
+
+def test_values_are_not_worked_out_in_filters(frame):
+    _, df = frame
+    rows = ols.ols_residuals(ols.ols_fit(df, "y", ["a", "c"]), df)
+    filters = [line for line in ols.placed(rows, "residual")[0]._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert filters and not any("LN(" in line.upper() for line in filters)
+    cells = stats._cells_in(df.select(F.expr("sqrt(abs(a))").alias("v")), ["v"], [stats._Bin(0, 0.1, 0.5, 0, 9, [1])], True)
+    assert "Filter" not in cells._jdf.queryExecution().optimizedPlan().toString()
+    assert cells.count() == sum(0.1 <= abs(r["a"]) ** 0.5 <= 0.5 for r in df.select("a").collect() if r["a"] is not None and r["a"] == r["a"])
+
+
 @pytest.mark.parametrize("kind", ["independent", "correlated", "copies"])
 @pytest.mark.parametrize("ratio", [1.0, 0.15])
 def test_penalised_paths_are_optimal(kind, ratio):
