@@ -137,8 +137,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_suffix_array")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents without the bytes that strings of 400 bytes cover which also start elsewhere."""
-    done = suffix.remove_repeats(table(spark, folder, "documents"))
+    """All documents without the bytes that strings of 400 bytes cover which also start elsewhere, and which share more than 50 words in a row."""
+    done = suffix.remove_repeats(table(spark, folder, "documents"), words=51)
     return done.select(
         "doc_id",
         "n_bytes",
@@ -146,6 +146,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
         (F.size("spans") > 0).alias("has_repeats"),
+        "shares_passage",
     )
 
 

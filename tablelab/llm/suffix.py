@@ -20,6 +20,11 @@ Rows of one rank are read as a sorted stream. Repeats within a slice of a task's
 input are found there and send one row on, so that a string that a third of all
 documents hold reaches its task as a row for each slice.
 
+The same search over words instead of bytes tells which documents share a passage:
+a run of ``words`` words (runs of bytes other than space and 0x09-0x0D, A-Z in lower
+case) that another document holds, too. A document's own repeats don't count there,
+but a repeated row does. Its rows are ranked at a quarter and at half of that length.
+
 Defined cases: texts are their UTF-8 bytes; a null text is empty; matches never
 cross documents; overlapping matches and matches within one document count; all
 are judged on the input; repeated rows are documents of their own; an empty table
@@ -38,10 +43,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tablelab.llm import kernels
-from tablelab.session import materialise
+from tablelab.session import materialise, release, written
 
 SIZE, FIRST, SPREAD = 400, 100, 64
-CHUNK = 1 << 20
+CHUNK, ROWS = 1 << 20, 1 << 16
 _BASE, _BYTES = kernels.numbers(61, 1)[0], kernels.numbers(62, 256)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _KEY = "id long, h long"
@@ -58,12 +63,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Prints:
-    """Fingerprints of the stretches of a byte string of at most ``CHUNK + size`` bytes, from sums over its prefixes."""
+    """Fingerprints of the stretches of a string of at most ``CHUNK + size`` bytes, or hashes of words, from sums over its prefixes."""
 
     def __init__(self, data: np.ndarray, size: int) -> None:
         up, self.back = _powers(CHUNK + size + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTES[data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum((_BYTES[data] if data.dtype == np.uint8 else data) * up[: len(data)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return kernels.mix((self.sums[end] - self.sums[start]) * self.back[start])
@@ -93,13 +98,15 @@ def window_minima(values: np.ndarray, width: int, bits: int) -> np.ndarray:
 
 def _asked(at: np.ndarray, spans: pa.Array | None, size: int) -> np.ndarray:
     """Which windows of some documents, one behind the other, are still asked for: all that lie in a document, or those in its spans."""
-    steps = np.zeros(int(at[-1]) + 2, np.int32)
     if spans is None:
         long = np.flatnonzero(np.diff(at) >= size)
-        low, high = at[long], at[long + 1] - size + 1
-    else:
-        owner, low, high = _flat(spans)
-        low, high = at[owner] + low, at[owner] + high + 1
+        return _marked(at, at[long], at[long + 1] - size + 1)
+    owner, low, high = _flat(spans)
+    return _marked(at, at[owner] + low, at[owner] + high + 1)
+
+
+def _marked(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    steps = np.zeros(int(at[-1]) + 2, np.int32)
     np.add.at(steps, low, 1)
     np.add.at(steps, high, -1)
     return np.cumsum(steps) > 0
@@ -133,19 +140,39 @@ def _flat(spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(spans)), sizes), *(cells.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
 
 
-def _positions(docs: DataFrame, length: int, size: int, runs: bool, squeezed: bool) -> DataFrame:
+def _units(texts: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes, or hashes of the words, of all texts one behind the other, and where each text's start."""
+    data, at = kernels.byte_rows(texts)
+    if words:
+        data, _, at = kernels.words(data, at)
+    return data, at
+
+
+def _once(owner: np.ndarray, *columns: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
+    """The first row of those that are alike within one document, one marked in ``last`` only if all are."""
+    order = np.lexsort((*([] if last is None else [last]), *columns, owner))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[order][1:] != c[order][:-1] for c in (owner, *columns)], axis=0)
+    return np.sort(order[new])
+
+
+def _positions(docs: DataFrame, length: int, size: int, runs: bool, squeezed: bool, words: bool = False) -> DataFrame:
     """Rows ``rank``, ``run``, ``id``, ``h``, ``lo``, ``hi``, ``known``: runs of windows by their sample; ``known``: repeated within the slice.
 
     Of the rows of a slice that are alike only one keeps the rank as ``key``.
+    Runs of words that are alike in one document are one row.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.slices(batch, 2, (1 if squeezed else 8) << 20):
-                data, at = kernels.byte_rows(kernels.expanded(part.column(2)) if squeezed else part.column(2))
+                data, at = _units(kernels.expanded(part.column(2)) if squeezed else part.column(2), words)
                 rows = sampled(data, _asked(at, part.column(3) if squeezed else None, size), length, size)
                 owner = np.searchsorted(at, rows[:, 1].astype(np.int64), "right") - 1
                 rows[:, 1:3] -= at[owner].astype(np.uint64)[:, None]
+                if words and runs:
+                    first = _once(owner, rows[:, 0], rows[:, 3])
+                    rows, owner = rows[first], owner[first]
                 rank, run = rows[:, 0], rows[:, 3] if runs else rows[:, 0]
                 order = np.lexsort((run, rank))
                 alike = (rank[order][1:] == rank[order][:-1]) & (run[order][1:] == run[order][:-1])
@@ -214,22 +241,37 @@ def _repeated(rows: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(stream, f"{_KEY}, lo long, hi long, whole boolean, mixed boolean")
 
 
-def _windows(docs: DataFrame, size: int) -> DataFrame:
-    """One row a window of the spans that are to be looked at singly; ``known`` if the window is repeated already."""
+def _windows(docs: DataFrame, size: int, words: bool = False) -> DataFrame:
+    """One row a window of the spans that are to be looked at singly; ``known`` if the window is repeated already.
+
+    Windows of words that are alike in one document are one row.
+    """
+
+    def keys(data: np.ndarray, asked: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, len(data) - size + 1, CHUNK):
+            here = data[at : at + CHUNK + size - 1]
+            own = np.flatnonzero(asked[at : at + len(here) - size + 1])
+            if len(own):
+                yield Prints(here, size).all(size)[own].view(np.int64), own + at
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernels.slices(batch, 2, 1 << 20):
-                data, at = kernels.byte_rows(kernels.expanded(part.column(2)))
-                for i, spans in enumerate(part.column(3).to_pylist()):
-                    text = data[at[i] : at[i + 1]]
-                    for lo, hi, whole in sorted((s["lo"], s["hi"], s["whole"]) for s in spans):
-                        prints = Prints(text[lo : hi + size], size)
-                        key = prints.all(size).view(np.int64)
-                        starts = np.arange(lo, hi + 1)
-                        one = pa.array(np.full(len(key), i))
+                data, at = _units(kernels.expanded(part.column(2)), words)
+                owner, low, high = _flat(part.column(3))
+                low, high, whole = at[owner] + low, at[owner] + high + 1, part.column(3).flatten().field(2).to_numpy(zero_copy_only=False)
+                known, found = _marked(at, low[whole], high[whole]), keys(data, _marked(at, low, high))
+                if words:  # a document's own repeats are one row
+                    key, starts = (np.concatenate(c) for c in zip(*found))
+                    first = _once(np.searchsorted(at, starts, "right") - 1, key, last=~known[starts])
+                    found = [(key[first], starts[first])]
+                for key, starts in found:
+                    for i in range(0, len(key), ROWS):
+                        some = starts[i : i + ROWS]
+                        owner = np.searchsorted(at, some, "right") - 1
+                        one, own, place = pa.array(owner), pa.array(key[i : i + ROWS]), pa.array(some - at[owner])
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(key), pa.array(key), part.column(0).take(one), part.column(1).take(one), pa.array(starts), pa.array(starts), pa.array(np.full(len(key), whole))],
+                            [own, own, part.column(0).take(one), part.column(1).take(one), place, place, pa.array(known[some])],
                             names=["key", "run", "id", "h", "lo", "hi", "known"],
                         )
 
@@ -242,7 +284,7 @@ def _by_document(rows: DataFrame, *columns: str) -> DataFrame:
 
 def _with(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
     same = F.col("d.id").eqNullSafe(F.col("s.id")) & F.col("d.h").eqNullSafe(F.col("s.h"))
-    return docs.alias("d").join(spans.alias("s"), same, how).select("d.id", "d.h", "d.text", "s.spans")
+    return docs.alias("d").join(spans.alias("s"), same, how).select("d.*", *(f"s.{c}" for c in spans.columns if c not in ("id", "h")))
 
 
 def _squeezed(docs: DataFrame) -> DataFrame:
@@ -253,16 +295,48 @@ def _squeezed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(squeeze, f"{_KEY}, text binary")
 
 
-def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE, first: int = FIRST) -> DataFrame:
-    """One row a document: ``id``, ``kept`` (the bytes that are left), ``spans`` (removed, start and end) and ``n_bytes``."""
+def _passages(stored: DataFrame, words: int) -> DataFrame:
+    """Runs of windows of words as :func:`_repeated` tells them, of the documents that have any to look at."""
+    docs = stored.filter("passages IS NOT NULL").select("id", "h", "text", "passages")
+    return _repeated(_positions(docs, words // 4 * 2, words, True, True, True))
+
+
+def _sharing(stored: DataFrame, runs: DataFrame, words: int) -> DataFrame:
+    """``id`` and ``h`` of the documents that share a run of words with another one."""
+    mixed = _with(stored.select("id", "h", "text"), _by_document(runs.filter("mixed"), "whole"), "inner")
+    single = _repeated(_windows(mixed, words, True)).filter("whole")
+    return runs.filter("whole").select("id", "h").unionAll(single.select("id", "h")).distinct()
+
+
+def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE, first: int = FIRST, words: int | None = None) -> DataFrame:
+    """One row a document: ``id``, ``kept`` (the bytes that are left), ``spans`` (removed, start and end) and ``n_bytes``.
+
+    With ``words`` (4 at least) also ``shares_passage``: whether another document holds that many of its words in a row.
+    """
+    if words is not None and words < 4:
+        raise ValueError("passages have four words at least")
+    spark = docs.sparkSession
     rows = docs.select(F.col(id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).cast("string").alias("text"))
     spread, length = min(SPREAD, size // 4), first // 2 * 2
-    spans = _by_document(_repeated(_positions(rows, length, size, False, False)).filter("whole"))
-    stored = materialise(_with(_squeezed(rows), spans, "left"), "doubling")
+    joined = _with(_squeezed(rows), _by_document(_repeated(_positions(rows, length, size, False, False)).filter("whole")), "left")
+    sharing = None
+    if words is not None:
+        passages = _repeated(_positions(rows, words // 8 * 2 or 2, words, False, False, True)).filter("whole")
+        joined = _with(joined, _by_document(passages).withColumnRenamed("spans", "passages"), "left")
+    stored = materialise(joined, "doubling")
+    texts = written(spark)[-1:]
+    if words is not None:
+        runs = materialise(_passages(stored, words), "passages")
+        done_with = written(spark)[-1:]
+        sharing = materialise(_sharing(stored, runs, words), "sharing").withColumn("shares", F.lit(True))
+        release(spark, done_with)
+        stored = stored.drop("passages")
     while 2 * length <= size - spread:
         length *= 2
         spans = _by_document(_repeated(_positions(stored.filter("spans IS NOT NULL"), length, size, False, True)).filter("whole"))
         stored = materialise(_with(stored.drop("spans"), spans, "left"), "doubling")
+        release(spark, texts)  # the copy before is read no more
+        texts = written(spark)[-1:]
 
     longest = (size - spread) // 2 * 2
     runs = materialise(_repeated(_positions(stored.filter("spans IS NOT NULL"), longest, size, True, True)), "runs")
@@ -293,8 +367,12 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", size
                 kept = np.concatenate([[0], np.cumsum(~gone)])[at].astype(np.int64)
                 left = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(kept.tobytes()), pa.py_buffer(data[~gone].tobytes())])
                 arrays = [part.column(0), left.cast(pa.binary()), pa.ListArray.from_arrays(pa.array(places, pa.int32()), cells), pa.array(np.diff(at))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "kept", "spans", "n_bytes"])
+                arrays += [pc.fill_null(c, False) for c in part.columns[4:]]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "kept", "spans", "n_bytes", "shares_passage"][: len(arrays)])
 
     done = _with(stored.drop("spans"), final, "left")
-    done = done.mapInArrow(cut, "id long, kept binary, spans array<struct<start:long,end:long>>, n_bytes long")
+    schema = "id long, kept binary, spans array<struct<start:long,end:long>>, n_bytes long"
+    if sharing is not None:
+        done, schema = _with(done, sharing, "left"), schema + ", shares_passage boolean"
+    done = done.mapInArrow(cut, schema)
     return done.withColumnRenamed("id", id)

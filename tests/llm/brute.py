@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 
 def shingle_set(text: str | None, k: int) -> set:
     found = (text or "").encode().lower().split()
@@ -75,6 +77,18 @@ def without_repeats(rows: list[tuple], size: int) -> list[tuple]:
     return sorted(out, key=str)
 
 
+def sharing(rows: list[tuple], size: int) -> list[bool]:
+    """Whether another of the (id, text) rows holds the same ``size`` words in a row."""
+    runs = []
+    for _, text in rows:
+        found = (text or "").encode().lower().split()
+        runs.append({tuple(found[i : i + size]) for i in range(len(found) - size + 1)})
+    held: dict[tuple, int] = {}
+    for run in itertools.chain(*runs):
+        held[run] = held.get(run, 0) + 1
+    return [any(held[run] > 1 for run in own) for own in runs]
+
+
 def spelling(rows: list[tuple]) -> list[tuple]:
     """(word, form, root, n, near words, form's n) of (id, text) rows; near words by words that agree without one code point."""
     import collections

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from check import TABLES, compare
-from tablelab.llm import ann, decontaminate, pii, queries, tokens, toxicity, warc
+from tablelab.llm import ann, decontaminate, pii, queries, suffix, tokens, toxicity, warc
 
 FOLDER = "/root/testdata/sf0.001"
 VECTORS = "vec_id long, embedding array<float>, label int, vector int, code string"
@@ -293,6 +293,20 @@ def test_registered_queries(spark, documents):
     assert len(scored) == len(documents) and np.mean([scored[i] == bool(t) for i, t in marks.items()]) > 0.9
 
 
+def test_repeats_tell_shared_passages_of_over_50_words(spark, documents):
+    """Also those of fewer than 400 bytes, which stay in their documents."""
+    item = " ".join(f"w{i}" for i in range(51))
+    assert len(item) < 400
+    rows = [*documents, (-1, f"before {item} after"), (-2, f"{item}\nelsewhere"), (-3, f"not {item[:-1]}")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = suffix.remove_repeats(frame, words=51).collect()
+    want = {i: w for (i, _), w in zip(rows, brute.sharing(rows, 51))}
+    assert {r.doc_id: r.shares_passage for r in found} == want and want[-1] and want[-2] and not want[-3]
+    assert all(len(r.kept) == r.n_bytes for r in found if r.doc_id < 0)
+    plain = {i: w for (i, _), w in zip(documents, brute.sharing(documents, 51))}
+    assert {r.doc_id: r.shares_passage for r in queries.op6(spark, FOLDER).collect()} == plain
+
+
 @pytest.mark.parametrize("name", list(queries.SQL))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()

@@ -217,6 +217,28 @@ def test_repeats_match_plain_python(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_shared_passages_match_plain_python(spark, monkeypatch):
+    rng = random.Random(11)
+    parts = [" ".join(rng.choices(["a", "b", "é", "Word", "word"], k=rng.randint(2, 25))) for _ in range(40)]
+    texts = [" ".join(rng.choices(parts, k=rng.randint(1, 4)) + prose(rng, rng.randint(0, 60), 10**6)) for _ in range(60)]
+    texts += ["and " * 30, "the " * 30, "THE\t" * 12 + "x", (" ".join(prose(rng, 12, 10**6)) + "\n") * 3, None, "", "one", " \n", "\x0b".join(texts[0].split())]
+    texts += [" ".join(prose(rng, 3000, 10**6) + texts[3].split() + prose(rng, 300, 10**6))]
+    rows = [(i, t, 0, "") for i, t in enumerate(texts)]
+    rows += [(900, "only " * 40, 0, ""), (901, " ".join(prose(rng, 30, 10**6)), 0, "")]
+    rows += [rows[-1], (5, "other", 0, ""), (None, texts[3], 0, "")]
+    docs = spark.createDataFrame(rows, DOCS)
+    for words in (4, 10, 21):
+        if words == 21:
+            monkeypatch.setattr(suffix, "CHUNK", 100)
+        want = brute.sharing([r[:2] for r in rows], words)
+        assert len(set(want)) == 2
+        got = suffix.remove_repeats(docs, words=words).select("doc_id", "n_bytes", "shares_passage").collect()
+        assert sorted((tuple(r) for r in got), key=str) == sorted(((r[0], len((r[1] or "").encode()), w) for r, w in zip(rows, want)), key=str)
+    assert suffix.remove_repeats(docs.limit(0), words=51).count() == 0
+    with pytest.raises(ValueError):
+        suffix.remove_repeats(docs, words=3)
+
+
 def test_long_documents_are_cut_into_chunks(monkeypatch):
     monkeypatch.setattr(suffix, "CHUNK", 100)
     rng = random.Random(4)
